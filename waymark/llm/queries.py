@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import langid, mixing, neardup, packing, quality, tokencount
+from waymark.llm import imatch, langid, licenses, mixing, neardup, packing, quality, tokencount, urlfilter
 from waymark.llm.base import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,18 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), crf)
 
 
+#: Host and path prefix, and what it means.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
 
@@ -32,6 +44,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
 
@@ -42,8 +58,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op5_neardup, op6_mixing, op9_tokencount, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_urlfilter, op4_imatch, op5_neardup, op6_mixing, op7_licenses, op9_tokencount, op10_quality)}
+
+
+OP3_SQL = f"""
+WITH r(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)}),
+parts AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS n FROM parts),
+m AS (SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN r
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/')))
+  GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (n)"""
+
+
+OP7_SQL = f"""
+WITH known(id, sentence) AS (VALUES {", ".join(f"('{i}', '{t}')" for i, t in licenses.SENTENCES)}),
+rules(license, ids) AS (VALUES {", ".join(f"('{n}', ' {' '.join(q)} ')" for n, q in licenses.RULES)}),
+d AS (SELECT row_number() OVER () AS n, doc_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]'),
+  lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s FROM documents),
+e AS (SELECT n, unnest(s) AS raw, generate_subscripts(s, 1) AS pos FROM d),
+h AS (SELECT DISTINCT n, pos, id FROM (SELECT n, pos, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM e) x
+  JOIN (SELECT sentence, min(id) AS id FROM known GROUP BY sentence) k USING (sentence)),
+o AS (SELECT n, string_agg(id, ' ' ORDER BY pos) AS ids FROM h GROUP BY n),
+l AS (SELECT n, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS c FROM (SELECT DISTINCT n, license FROM o JOIN rules ON contains(' ' || o.ids || ' ', rules.ids)) y GROUP BY n)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, CAST(coalesce(c, 0) AS BIGINT) AS n_licenses
+FROM d LEFT JOIN o USING (n) LEFT JOIN l USING (n)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_urlfilter": OP3_SQL, "op7_licenses": OP7_SQL}
