@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import imatch, langid, licenses, mixing, neardup, packing, quality, tokencount, urlfilter
+from waymark.llm import imatch, langid, licenses, mixing, mixlm, neardup, packing, quality, tokencount, urlfilter
 from waymark.llm.base import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
+    return mixlm.score(docs, docs.where(~F.col("held_out")).select("text"))
+
+
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
 
@@ -58,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op3_urlfilter, op4_imatch, op5_neardup, op6_mixing, op7_licenses, op9_tokencount, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_urlfilter, op4_imatch, op5_neardup, op6_mixing, op7_licenses, op8_mixlm, op9_tokencount, op10_quality)}
 
 
 OP3_SQL = f"""
