@@ -7,15 +7,22 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import types as T
 
 HOP = T.StructType([T.StructField("pool", T.LongType()), T.StructField("token_in", T.LongType()), T.StructField("token_out", T.LongType()), T.StructField("amount_in", T.LongType()), T.StructField("amount_out", T.LongType())])
-POOLS = T.StructType.fromDDL("pool LONG, protocol STRING, status STRING, tokens ARRAY<LONG>, fee LONG")
-EDGES = T.StructType.fromDDL("pool LONG, token_in LONG, token_out LONG, r_in LONG, r_out LONG, fee LONG")
-RATES = T.StructType.fromDDL("pool LONG, token_in LONG, token_out LONG, num LONG, den LONG")
-BALANCES = T.StructType.fromDDL("pool LONG, token LONG, state STRING, amount LONG")
-REQUESTS = T.StructType.fromDDL("request_id LONG, token_in LONG, token_out LONG, amount_in LONG")
-ROUTES = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("hops", T.ArrayType(HOP)), T.StructField("path_key", T.StringType()), T.StructField("amount_in", T.LongType()), T.StructField("amount_out", T.LongType())])
-FAILURES = T.StructType.fromDDL("request_id LONG, path_key STRING, failed_pool LONG, reason STRING")
-GRAPH_DELTA = T.StructType.fromDDL("pool LONG, before ARRAY<LONG>, after ARRAY<LONG>, change STRING")
-ROUTE_RESPONSE = T.StructType.fromDDL("request_id LONG, rank INT, amount_in STRING, amount_out STRING, hops ARRAY<STRUCT<pool: STRING, token_in: STRING, token_out: STRING, amount_in: STRING, amount_out: STRING>>")
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "longs": T.ArrayType(T.LongType())}
+
+
+def _table(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+POOLS = _table(pool="long", protocol="string", status="string", tokens="longs", fee="long")
+EDGES = _table(pool="long", token_in="long", token_out="long", r_in="long", r_out="long", fee="long")
+RATES = _table(pool="long", token_in="long", token_out="long", num="long", den="long")
+BALANCES = _table(pool="long", token="long", state="string", amount="long")
+REQUESTS = _table(request_id="long", token_in="long", token_out="long", amount_in="long")
+ROUTES = T.StructType([*_table(request_id="long").fields, T.StructField("hops", T.ArrayType(HOP)), *_table(path_key="string", amount_in="long", amount_out="long").fields])
+FAILURES = _table(request_id="long", path_key="string", failed_pool="long", reason="string")
+GRAPH_DELTA = _table(pool="long", before="longs", after="longs", change="string")
+ROUTE_RESPONSE = T.StructType([*_table(request_id="long", rank="int", amount_in="string", amount_out="string").fields, T.StructField("hops", T.ArrayType(_table(pool="string", token_in="string", token_out="string", amount_in="string", amount_out="string")))])
 
 
 class ConfigError(ValueError):
