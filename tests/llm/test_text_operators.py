@@ -35,7 +35,7 @@ def ids_of(lib, text):
 def test_token_counts(spark):
     lib = library()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    rows = [(r["doc_id"], r["text"]) for r in docs] + [(1000 + (i or 0), t) for i, t in ODD]
+    rows = [(r["doc_id"], r["text"]) for r in docs] + [(1000 + k, t) for k, (_, t) in enumerate(ODD)]
     got = sorted(tuple(r) for r in tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BPE).collect())
     want = sorted((i, len((t or "").encode()), n := len(ids_of(lib, t)), n > 512) for i, t in rows)
     assert got == want
@@ -103,7 +103,7 @@ def test_packing_plan_is_complete():
 
 def test_quality_counts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
-    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()] + [(1000 + (i or 0), t, None) for i, t in ODD] + [(2000, "a b c d e\n" * 3 + "x\n\nx\n  x", "s")]
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()] + [(1000 + k, t, None) for k, (_, t) in enumerate(ODD)] + [(2000, "a b c d e\n" * 3 + "x\n\nx\n  x", "s")]
     got = {}
     for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
         got.setdefault(r["doc_id"], []).append((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]))
