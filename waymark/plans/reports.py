@@ -10,6 +10,7 @@ from waymark.operators import analytics, routes
 from waymark.plans.paths import BATCH, batch
 from waymark.plans.registry import query
 from waymark.sources import fixtures as fx
+from waymark.sources.session import with_package
 
 
 @query(BATCH + """, b AS (SELECT request_id, max(amount_out) AS best FROM route GROUP BY request_id)
@@ -105,5 +106,7 @@ def price_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.functions.wide import constant_product_wide
 
+    with_package(spark)
+
     p = fx.pools(spark, sf_dir)
     return p.select("pool_id", constant_product_wide(F.expr("CAST(CAST(r0 AS DECIMAL(38, 0)) * 1000000000000 AS STRING)"), F.col("r0").cast("string"), F.col("r1").cast("string"), F.lit(30)).alias("out"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.plans.bounded import TRANSFERS
 from waymark.plans.registry import query, walk
 from waymark.sources import fixtures as fx
+from waymark.sources.session import with_package
 from waymark.streaming import live
 from waymark.streaming.store import shared_folder
 
@@ -42,6 +43,8 @@ def balance_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful fold of transfers, in micro-batches, to its final state."""
     from waymark.plans.bounded import transfers
 
+    with_package(spark)
+
     feed, checkpoint = _feed(spark, transfers(spark, sf_dir))
     out = f"{checkpoint}-out"
     balances = fx.balances(spark, sf_dir)
