@@ -59,7 +59,7 @@ def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_rate")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -91,5 +91,38 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sente
 FROM d LEFT JOIN o USING (n) LEFT JOIN l USING (n)"""
 
 
+#: Near-duplicates by all shared shingles and the closure of their links.
+OP5_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS id, a AS root FROM both_ways UNION SELECT t.b, r.root FROM r JOIN both_ways t ON t.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""
+
+#: The counts by lists, the beta prior by moments.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w) x),
+rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, i + unnest([0, 1, 2, 3, 4]) AS pos FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) y WHERE c > 1) z GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) x WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+f AS (SELECT w.r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.r = w.r LEFT JOIN l ON l.r = w.r),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*) AS n, count_if(base_failed) AS k, count_if(base_failed) / count(*) AS q FROM b GROUP BY source),
+m AS (SELECT avg(q) AS m, var_pop(q) AS v, avg(1 / n) AS inv FROM h),
+o AS (SELECT m, CASE WHEN m * (1 - m) > 0 THEN least(0.99, greatest(0.0001, (v / (m * (1 - m)) - inv) / (1 - inv + 0.000000001))) ELSE 0.0001 END AS rho FROM m),
+t AS (SELECT source, n, (k + m * (1 / rho - 1)) / (n + 1 / rho - 1) AS rate, 1 / rho - 1 AS strength FROM h JOIN o ON true),
+u AS (SELECT source, rate, rate - 2 * sqrt(rate * (1 - rate) / (n + strength + 1)) <= 0.5 AS host_ok FROM t)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept, b.source, round(rate, 6) AS host_rate
+FROM b JOIN u ON u.source IS NOT DISTINCT FROM b.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urlfilter": OP3_SQL, "op7_licenses": OP7_SQL}
+    return {"op3_urlfilter": OP3_SQL, "op5_neardup": OP5_SQL, "op7_licenses": OP7_SQL, "op10_quality": OP10_SQL}
