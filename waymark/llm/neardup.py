@@ -17,6 +17,10 @@ LANES = HASHES * BITS // 64
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _ODD = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) | np.uint64(1)
 SALTS = 16
+#: How far under the threshold an estimate may be: 3.9 standard deviations of 160 two-bit lanes at 0.75.
+SLACK = 0.16
+#: Minima of the closer signature, and its slack of 4 standard deviations.
+FINE, FINE_SLACK = 1024, 0.065
 
 
 def sketch(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +64,34 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def estimate(a: str, b: str) -> str:
+def estimate(a: str, b: str, hashes: int = HASHES) -> str:
     """SQL: the resemblance that two signatures show, by the share of equal lanes less what chance makes equal."""
     # A lane of two bits differs if either of its bits does.
-    lanes = " + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & 6148914691236517205L)" for i in range(LANES))
-    return f"((1 - ({lanes}) / {float(HASHES)}) - {0.5**BITS}) / {1 - 0.5**BITS}"
+    words = range(hashes * BITS // 64)
+    lanes = " + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & 6148914691236517205L)" for i in words)
+    return f"((1 - ({lanes}) / {float(hashes)}) - {0.5**BITS}) / {1 - 0.5**BITS}"
+
+
+def fine_signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, fine array<long>: FINE minima's low bits of docs (doc_id, text), for what needs a closer estimate."""
+    seeds = mix(np.arange(5001, 5001 + FINE, dtype=np.uint64))
+    odd = mix(np.arange(9001, 9001 + FINE, dtype=np.uint64)) | np.uint64(1)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fine array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut_batches(batches, "text"):
+            doc, h = shingle_sets(b.column(1))
+            if not len(doc):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            packed = np.zeros((len(start), FINE * BITS // 64), np.uint64)
+            for j in range(FINE):
+                low = mix(np.minimum.reduceat((h ^ seeds[j]) * odd[j], start))
+                packed[:, j * BITS // 64] |= (low & np.uint64((1 << BITS) - 1)) << np.uint64(j * BITS % 64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * packed.shape[1], pa.int32()), pa.array(packed.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), lists], ["doc_id", "fine"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -125,9 +152,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     Null, empty or blank texts have empty sets and are linked with nothing, as are rows with a null id (component null, kept).
     Rows of one id are one document. Equal sets form a class of which one member is compared: hot copies cost no pairs.
 
-    160 minima in 40 bands of 4 rows miss a pair at the threshold with probability (1 - 0.75**4)**40 < 3e-7. Buckets are
-    first linked to their smallest and largest members; only between components that still share a bucket, all pairs are
-    then compared. A pair goes on if its 2-bit signature estimates at most 0.25 under the threshold (over 5 standard deviations).
+    160 minima in 40 bands of 4 rows miss a pair at the threshold with probability (1 - 0.75**4)**40 < 3e-7. In each bucket the
+    document that meets most others is compared with all; then, where a bucket still holds several components, the most met of the
+    others; at last all pairs across the components that are left, where a closer signature of 1024 minima decides. A pair goes on
+    if its signature's estimate is within the slack.
     """
     spark = docs.sparkSession
     facts = scratch(sketches(docs, doc_id, text))
@@ -139,30 +167,53 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     reps = full.join(member.select("doc_id"), "doc_id", "left_anti")
 
     rows = scratch(reps.selectExpr("doc_id", "explode(bands) AS bucket").distinct())
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    bucket = scratch(rows.join(shared, "bucket"))
-    sig = full.select("doc_id", "sig").dropDuplicates(["doc_id"])
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = scratch(rows.join(shared, "bucket"))
+    # How many others a document meets: an original meets its copies more often than they meet each other.
+    met = crowded.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("met"))
+    bucket = scratch(crowded.join(met, "doc_id"))
+    sig = scratch(full.join(met.select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]))
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    floor = percent / 100 - 0.25
+    floor = percent / 100 - SLACK
 
     def likely(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
         return p.where(f"{estimate('sa', 'sb')} >= {floor}").select("a", "b")
 
-    stars = bucket.selectExpr("doc_id AS a", "explode(array_distinct(array(low, high))) AS b").where("a <> b").distinct()
-    edges = confirm(likely(stars), texts, percent)
-    found = components(edges)
+    def named(found: DataFrame) -> DataFrame:
+        """The rows of buckets of three or more that still hold several components."""
+        comp = bucket.where("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = comp.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
+        return scratch(comp.join(mixed, "bucket"))
 
-    named = bucket.select("bucket", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2 AND n > 2").select("bucket")
-    open_rows = scratch(named.join(mixed, "bucket").join(sig, "doc_id"))
-    x, y = open_rows.toDF("a", "bucket", "ca", "sa"), open_rows.toDF("b", "bucket", "cb", "sb")
-    rest = x.join(y, "bucket").where(f"ca < cb AND {estimate('sa', 'sb')} >= {floor}").select("a", "b").distinct()
-    rest = rest.join(stars.select("a", "b").union(stars.select("b", "a")).distinct(), ["a", "b"], "left_anti")
-    more = confirm(rest, texts, percent)
+    # First each bucket's most met document against its others,
+    centre = bucket.groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"))).alias("c")).select("bucket", F.col("c.b").alias("b"))
+    tried = scratch(bucket.select("bucket", F.col("doc_id").alias("a")).join(centre, "bucket").where("a <> b").select("a", "b").distinct())
+    edges = confirm(likely(tried), texts, percent)
+    found = components(edges)
+    # then the most met outside the first one's component against all of other components,
+    left = named(found)
+    first = left.groupBy("bucket").agg(F.max(F.struct("met", "doc_id", F.col("component").alias("c"))).alias("f")).select("bucket", F.col("f.c").alias("fc"))
+    second = left.join(first, "bucket").where("component <> fc").groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"), F.col("component").alias("cb"))).alias("s")).select("bucket", "s.b", "s.cb")
+    again = left.select("bucket", F.col("doc_id").alias("a"), "component").join(second, "bucket").where("component <> cb").select("a", "b").distinct()
+    more = confirm(likely(again), texts, percent)
     if not more.isEmpty():
         edges = edges.union(more)
         found = components(edges)
+        left = named(found)
+    # at last all pairs across the components that remain.
+    # For them a signature of 1024 minima tells near from nearly near; each pair is looked at in its first common bucket.
+    facing = left.groupBy("doc_id").agg(F.collect_set("bucket").alias("all"))
+    fine = fine_signatures(texts.join(facing.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    open_rows = scratch(left.select("bucket", "doc_id", "component").join(facing.join(sig, "doc_id").join(fine, "doc_id"), "doc_id").select("bucket", "doc_id", "component", "sig", "fine", "all"))
+    x, y = open_rows.toDF("bucket", "a", "ca", "sa", "fa", "la"), open_rows.toDF("bucket", "b", "cb", "sb", "fb", "lb")
+    near = f"CASE WHEN ca >= cb OR {estimate('sa', 'sb')} < {floor} THEN false WHEN {estimate('fa', 'fb', FINE)} < {percent / 100 - FINE_SLACK} THEN false ELSE array_min(array_intersect(la, lb)) = bucket END"
+    rest = x.join(y.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & F.expr(near)).select("a", "b")
+    old = tried.union(again)
+    rest = rest.join(old.union(old.select("b", "a")).distinct(), ["a", "b"], "left_anti")
+    more = confirm(rest, texts, percent)
+    if not more.isEmpty():
+        found = components(edges.union(more))
     # A member takes its representative's component.
     of_reps = found.withColumnRenamed("node", "rep")
     hung = member.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
