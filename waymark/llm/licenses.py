@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sentences of well-known licences and notices, as they read after normalisation.
@@ -32,6 +32,13 @@ SENTENCES = [
     ("cc0-name", "licensed under cc0 1 0"),
     ("rights", "all rights reserved"),
 ]
+#: The same as the licences' own texts have them, to the full stop; found over wrapped lines, which the query's SQL doesn't join.
+WHOLE = [
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("as-is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("apache-basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+]
 #: Licence, and the identifiers that stand for it in this order (others of the known may not come between).
 RULES = [
     ("MIT", ["mit-name"]),
@@ -58,6 +65,22 @@ def sentences(text: Column) -> Column:
     return F.filter(lines, lambda s: s.rlike("[A-Za-z0-9]"))
 
 
+def candidates(text: Column) -> Column:
+    """Arrays, one for each sentence that may run over lines (up to `.`, `!` or `?` before a blank, or a line without letters and
+    digits), of (level, clause, line, raw): the sentence (0), and where it has several its clauses up to `;` or `:` (1) and their lines (2).
+    """
+    whole = F.split(F.regexp_replace(text, "\r\n?", "\n"), r"(?<=[.!?])[ \t\n]+|\n[^A-Za-z0-9]*\n")
+    one = lambda level, c, q, s: F.struct(F.lit(level).alias("level"), c.alias("clause"), q.alias("line"), s.alias("raw"))
+
+    def parts(s: Column) -> Column:
+        clauses, zero = F.split(s, r"(?<=[;:])[ \t\n]+"), F.lit(0)
+        lines = F.flatten(F.transform(clauses, lambda c, i: F.transform(F.split(c, "\n"), lambda q, j: one(2, i, j, q))))
+        first = F.array(one(0, zero, zero, s))
+        return F.when(s.rlike("\n|[;:][ \t]"), F.concat(first, F.transform(clauses, lambda c, i: one(1, i, zero, c)), lines)).otherwise(first)
+
+    return F.transform(F.filter(whole, lambda s: s.rlike("[A-Za-z0-9]")), parts)
+
+
 def normalised(sentence: Column) -> Column:
     """A-Z lower-cased, everything but a-z and 0-9 to single spaces, none at the ends."""
     low = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,19 +96,22 @@ def rule_hits(ids: str, rules: list[tuple[str, list[str]]]) -> Column:
 def scan(docs: DataFrame, sentence_table: DataFrame | None = None, rules: list[tuple[str, list[str]]] | None = None, doc_id: str = "doc_id", text: str = "text", broadcast_sentences: int = 200_000) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, n_licenses for each row of docs.
 
-    sentence_table: id, sentence (normalised); by default SENTENCES. Only documents with a known sentence cost a shuffle row:
+    sentence_table: id, sentence (normalised); by default SENTENCES and WHOLE. A sentence is known as a whole, over its lines, or
+    else by its clauses, or else by its single lines (n_sentences counts these). Only documents with a known sentence cost a shuffle row:
     all sentences are exploded, normalised and looked up where they are (the table is broadcast only after counting it,
     else joined by shuffle), and the identifiers found are gathered by document in order. licenses is joined by commas and
     empty where no rule matches. Null or empty texts have no sentences; rows that repeat a text get equal results;
     an empty table gives no rows; columns other than the two named are ignored. Built-in functions only.
     """
     spark = docs.sparkSession
-    known = sentence_table if sentence_table is not None else spark.createDataFrame(SENTENCES, "id string, sentence string")
+    known = sentence_table if sentence_table is not None else spark.createDataFrame(SENTENCES + WHOLE, "id string, sentence string")
     known = known.where("sentence IS NOT NULL").groupBy("sentence").agg(F.min("id").alias("id"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("key"), F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")).alias("s"))
-    each = rows.select("key", F.posexplode("s").alias("at", "raw")).select("key", "at", normalised(F.col("raw")).alias("sentence"))
-    found = each.join(F.broadcast(known) if known.count() <= broadcast_sentences else known, "sentence").select("key", "at", "id").distinct()
-    order = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("hits"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("key"), F.coalesce(F.size(sentences(F.col(text))), F.lit(0)).alias("n"), F.col(text).alias("t"))
+    each = rows.select("key", F.posexplode(candidates(F.col("t"))).alias("at", "parts")).select("key", "at", F.inline("parts")).withColumn("sentence", normalised(F.col("raw"))).drop("raw")
+    found = each.join(F.broadcast(known) if known.count() <= broadcast_sentences else known, "sentence").drop("sentence").distinct()
+    found = found.withColumn("widest", F.min("level").over(Window.partitionBy("key", "at"))).withColumn("wide", F.min("level").over(Window.partitionBy("key", "at", "clause")))
+    found = found.where("level = 0 OR widest > 0 AND level = wide")
+    order = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "clause", "line", "id"))).alias("hits"))
     order = order.select("key", F.concat(F.lit(" "), F.array_join(F.col("hits.id"), " "), F.lit(" ")).alias("ids")).withColumn("licenses", rule_hits("ids", rules or RULES))
-    out = rows.select("doc_id", "key", F.size("s").cast("long").alias("n_sentences")).join(order, "key", "left")
+    out = rows.select("doc_id", "key", F.col("n").cast("long").alias("n_sentences")).join(order, "key", "left")
     return out.select("doc_id", "n_sentences", F.coalesce(F.trim("ids"), F.lit("")).alias("sentence_ids"), F.coalesce(F.array_join("licenses", ","), F.lit("")).alias("licenses"), F.coalesce(F.size("licenses"), F.lit(0)).cast("long").alias("n_licenses"))
