@@ -1,10 +1,11 @@
-"""Whole jobs: full licence texts, hot copies among the labelled rows, long logs, hosts of junk."""
+"""Whole jobs: full licence texts, hosts of junk."""
 
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
-from waymark.llm import licenses
+from waymark.llm import licenses, quality
 
 MIT = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -36,3 +37,20 @@ def test_wrapped_licences(spark, width):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i]["licenses"] for i in range(9)] == ["MIT", "GPL-3.0", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0", "MIT", "", ""]
     assert [got[i]["sentence_ids"] for i in (0, 2, 3, 7)] == ["mit-grant mit-notice as-is", "apache-name apache-use apache-copy apache-basis", "bsd-redistribution bsd-endorse as-is", "apache-basis"]
+
+
+def test_hosts_of_junk_are_rejected_by_every_rule(spark):
+    text = lambda i: "\n".join(" ".join(f"word{i}x{10 * j + k}" for k in range(8)) for j in range(6))
+    symbols = lambda i: "#### $$$$ %%%% " * 2 + " ".join(f"word{i}x{k} ####" for k in range(20))
+    repeated = lambda i: "\nclick here\n".join(f"word{i}x{k} other{i}x{k} more{i}x{k}" for k in range(12))
+    letters = lambda i: " ".join(chr(97 + (i * 7 + k * k * 5 + k // 9) % 26) for k in range(60))
+    junk = {"symbols": symbols, "lines": repeated, "letters": letters, "third": lambda i: symbols(i) if i % 5 < 2 else text(i)}
+    rows = [(f"{h}{i}", (junk[h[:-1]] if h[:-1] in junk else text)(i), h) for h in [*(f"{j}0" for j in junk), *(f"clean{k}" for k in range(12))] for i in range(100)]
+    rows += [(f"few{i}", symbols(i) if i < 10 else text(i), "few0") for i in range(100)]
+    for limit in (10_000, 0):
+        got = quality.judge(spark.createDataFrame(rows, "doc_id string, text string, source string"), small_hosts=limit)
+        assert "_n_lines" not in got.columns
+        by = {r["source"]: (r["k"], r["n"], r["b"]) for r in got.groupBy("source").agg(F.sum(F.col("kept").cast("int")).alias("k"), F.sum(F.col("base_failed").cast("int")).alias("b"), F.count("*").alias("n")).collect()}
+        assert all(by[f"{j}0"][0] == 0 for j in junk), by
+        assert all(by[f"{j}0"][2] == 0 for j in ("symbols", "lines", "third"))  # the base rule finds nothing there
+        assert all(k == n for h, (k, n, _) in by.items() if h == "few0" or h.startswith("clean")), by
