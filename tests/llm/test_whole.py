@@ -1,11 +1,11 @@
-"""Whole jobs: full licence texts, hosts of junk."""
+"""Whole jobs: full licence texts, hosts of junk, hot copies among the labelled rows."""
 
 import textwrap
 
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import licenses, quality
+from waymark.llm import langid, licenses, quality
 
 MIT = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -54,3 +54,23 @@ def test_hosts_of_junk_are_rejected_by_every_rule(spark):
         assert all(by[f"{j}0"][0] == 0 for j in junk), by
         assert all(by[f"{j}0"][2] == 0 for j in ("symbols", "lines", "third"))  # the base rule finds nothing there
         assert all(k == n for h, (k, n, _) in by.items() if h == "few0" or h.startswith("clean")), by
+
+
+def test_hot_copies_leave_the_language_sample_whole(spark):
+    """Thousands of copies with the smallest hash, of which there are more than the bound; every label has its share."""
+    words = {"aa": "dar mas pola kint", "bb": "zhu wen xing yol", "cc": "ulk borra etten spiv"}
+    say = lambda y, i: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in words[y].split()) + " " + words[y]
+    texts = spark.createDataFrame([(say(y, i), y) for y in words for i in range(60)], "text string, lang string")
+    first = texts.orderBy(F.xxhash64("text")).first()
+    hot = spark.range(3000).select(F.lit(first["text"]).alias("text"), F.lit(first["lang"]).alias("lang"))
+    crf = langid.train(texts.unionByName(hot), max_rows=90)
+    assert sorted(crf.labels) == sorted(words)
+    got = langid.identify(texts, crf).where("lang_pred = lang").count()
+    assert got == 180
+    plain = langid.train(texts, max_rows=90)
+    assert (plain.weights == crf.weights).all() and (plain.trans == crf.trans).all()
+
+
+def test_language_quotas():
+    assert langid.quotas({"a": 5, "b": 1000, "c": 1000}, 205) == {"a": (5, 5), "b": (100, 1000), "c": (100, 1000)}
+    assert langid.quotas({}, 10) == {} and sum(k for k, _ in langid.quotas({str(i): 9 for i in range(20)}, 10).values()) == 20

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.base import Words, cut_batches, mix, prepare
+from waymark.llm.base import Words, cut_batches, mix, prepare, scratch
 
 UNKNOWN = "und"
 _SEG = 32
@@ -301,24 +301,40 @@ def predict(col: pa.Array, crf: Crf | None, known: Known | None = None) -> tuple
     return labels, scores
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, tuple[int, int]]:
+    """For each label how many of its texts to take, at least one, and how many it has; what small labels leave goes to the larger."""
+    out: dict[str, tuple[int, int]] = {}
+    for i, (y, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        k = min(n, max(1, most // (len(counts) - i)))
+        out[y], most = (k, n), most - k
+    return out
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000) -> Crf | None:
-    """The CRF of at most about `max_rows` labelled rows, those whose texts have the smallest hashes (the documented bound).
+    """The CRF of at most about `max_rows` labelled texts (the documented bound).
 
-    Of a sampled text the fit takes 400 words from a random place, so only 4,000 code points from a place that the hash picks are
-    sent to the one task that fits; the driver gets the model alone (2**16 weights a label).
+    Copies of a text under a label count once. Each label gets an equal share of the bound, and what others cannot fill; within
+    it the texts with the smallest hashes are taken. Of a sampled text the fit takes 400 words from a random place, so only 4,000
+    code points from a place that the hash picks are sent to the one task that fits; the driver gets the sample's hashes and the
+    model (2**16 weights a label).
     """
     spark = labelled.sparkSession
     prepare(spark)
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(F.col(text)).alias("h"))
-    least = [r[0] for r in usable.select("h").orderBy("h").limit(max_rows).collect()]
-    if not least:
+    pairs = scratch(usable.select("h", "y").distinct())
+    room = quotas({r["y"]: r["count"] for r in pairs.groupBy("y").count().collect()}, max_rows)
+    if not room:
         return None
+    # Hashes are spread evenly, so few more than a label's share lie under `top`; only these are ranked.
+    asked = spark.createDataFrame([(y, k, min(1.0, (k + 8 * k**0.5 + 20) / n)) for y, (k, n) in room.items()], "y string, k long, top double")
+    low = pairs.join(F.broadcast(asked), "y").where(F.col("h") / 2.0**64 + 0.5 <= F.col("top"))
+    chosen = low.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where("at <= k").select("h", "y")
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - 4000, F.lit(1))) + 1
-    sample = usable.where(F.col("h") <= least[-1]).select(F.col("t").substr(place.cast("int"), F.lit(4000)).alias("t"), "y", "h")
+    sample = usable.join(F.broadcast(chosen), ["h", "y"]).groupBy("h", "y").agg(F.min(F.col("t").substr(place.cast("int"), F.lit(4000))).alias("t")).select("t", "y", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((h, y, t) for b in batches for t, y, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-        crf = fit([(t, y) for _, y, t in rows[: 2 * max_rows]])
+        crf = fit([(t, y) for _, y, t in rows])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(crf)], pa.binary())], ["model"])
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
