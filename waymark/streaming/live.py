@@ -80,11 +80,14 @@ def subscription_states(events: DataFrame) -> DataFrame:
     Each `replace` starts an epoch; within the last epoch the last event tells: subscribe, replace and invalidate lead to
     pending, start to searching, result to ready, failure to failed, cancel to cancelled (which only a replacement leaves).
     """
-    ordered = events.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("log"))  # a subscription's own events
-    step = F.expr("""aggregate(log, named_struct('epoch', 0L, 'state', 'closed'), (s, e) -> named_struct('epoch', CASE WHEN e.kind = 'replace' THEN s.epoch + 1 ELSE s.epoch END, 'state',
-      CASE WHEN e.kind IN ('subscribe', 'replace') THEN 'pending' WHEN s.state IN ('cancelled', 'closed') THEN s.state WHEN e.kind = 'invalidate' THEN 'pending' WHEN e.kind = 'start' THEN 'searching'
-        WHEN e.kind = 'result' THEN 'ready' WHEN e.kind = 'failure' THEN 'failed' WHEN e.kind = 'cancel' THEN 'cancelled' ELSE s.state END))""")
-    return ordered.select("request_id", step.alias("s")).select("request_id", "s.epoch", "s.state")
+    at = F.struct("seq", "kind")
+    last = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), at))
+    seen = events.groupBy("request_id").agg(
+        F.count_if(F.col("kind") == "replace").alias("epoch"), last("subscribe", "replace").alias("opened"), last("cancel").alias("cancelled"), last("invalidate", "start", "result", "failure").alias("moved")
+    )
+    state = F.expr("""CASE WHEN opened IS NULL THEN 'closed' WHEN cancelled > opened THEN 'cancelled' WHEN moved > opened THEN
+      CASE moved.kind WHEN 'invalidate' THEN 'pending' WHEN 'start' THEN 'searching' WHEN 'result' THEN 'ready' ELSE 'failed' END ELSE 'pending' END""")
+    return seen.select("request_id", "epoch", state.alias("state"))
 
 
 BALANCE_OUT = "pool LONG, token LONG, state STRING, amount LONG, seq LONG"
