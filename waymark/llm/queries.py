@@ -50,7 +50,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
-    return mixlm.score(docs, docs.where(~F.col("held_out")).select("text"))
+    return mixlm.score(docs, ~F.col("held_out"))
 
 
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
