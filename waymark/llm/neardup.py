@@ -21,6 +21,10 @@ SALTS = 16
 SLACK = 0.16
 #: Minima of the closer signature, and its slack of 4 standard deviations.
 FINE, FINE_SLACK = 1024, 0.065
+#: Minima in a key of the closer signature: 128 keys miss a pair at the threshold with probability (1 - 0.75**8)**128 < 1e-5.
+TIGHT = 8
+#: Rows of a bucket that are joined in one place; larger buckets are split.
+PER_PART = 1000
 
 
 def sketch(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,10 +77,10 @@ def estimate(a: str, b: str, hashes: int = HASHES) -> str:
 
 
 def fine_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, fine array<long>: FINE minima's low bits of docs (doc_id, text), for what needs a closer estimate."""
+    """doc_id, fine, tight: of docs (doc_id, text) FINE minima's low bits and FINE / TIGHT keys of TIGHT minima each."""
     seeds = mix(np.arange(5001, 5001 + FINE, dtype=np.uint64))
     odd = mix(np.arange(9001, 9001 + FINE, dtype=np.uint64)) | np.uint64(1)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fine array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fine array<long>, tight array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut_batches(batches, "text"):
@@ -84,16 +88,45 @@ def fine_signatures(docs: DataFrame) -> DataFrame:
             if not len(doc):
                 continue
             start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            packed = np.zeros((len(start), FINE * BITS // 64), np.uint64)
+            packed, tight = np.zeros((len(start), FINE * BITS // 64), np.uint64), np.zeros((len(start), FINE // TIGHT), np.uint64)
             for j in range(FINE):
                 low = mix(np.minimum.reduceat((h ^ seeds[j]) * odd[j], start))
                 packed[:, j * BITS // 64] |= (low & np.uint64((1 << BITS) - 1)) << np.uint64(j * BITS % 64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * packed.shape[1], pa.int32()), pa.array(packed.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), lists], ["doc_id", "fine"])
+                tight[:, j // TIGHT] = tight[:, j // TIGHT] * np.uint64(0x9FB21C651E98DF25) + low
+            tight = mix(tight ^ np.arange(FINE // TIGHT, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * m.shape[1], pa.int32()), pa.array(m.view(np.int64).ravel())) for m in (packed, tight)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), *lists], ["doc_id", "fine", "tight"])
 
     return docs.mapInArrow(run, schema)
 
 
+def only(texts: DataFrame, ids: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows of texts whose doc_id is in ids (doc_id, distinct), without a shuffle of the others.
+
+    Hashed ids mark bits of maps of 4 KB that are broadcast (16 MB at most, by most_bits); few others pass these, and the exact
+    semi-join removes them. With very many ids the maps let more rows through to the join; the result is the same.
+    """
+    bits = 1 << 15
+    n = ids.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("_map")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("_bits"))
+    held = texts.withColumn("_p", place).withColumn("_map", F.expr("_p div 32768")).join(F.broadcast(maps), "_map")
+    held = held.where("(CAST(conv(hex(substring(_bits, CAST(_p % 32768 div 8 AS INT) + 1, 1)), 16, 10) AS INT) >> CAST(_p % 8 AS INT)) & 1 = 1")
+    return held.drop("_p", "_map", "_bits").join(ids, "doc_id", "left_semi")
+
+
+def split(rows: DataFrame, per: int) -> DataFrame:
+    """rows (bucket, doc_id, n: how many the bucket has) with `part`: a bucket's rows dealt into parts of about `per`."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.expr(f"(n - 1) div {per} + 1")))
+
+
+def spread(buckets: DataFrame, per: int) -> DataFrame:
+    """A row a bucket (with n), repeated for each part that split() makes."""
+    return buckets.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {per})")))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -101,6 +134,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     sorted order, so that a task holds one centre's set and one batch of texts, whatever the number of partners.
     """
     pairs = scratch(pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64))))
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    texts = scratch(only(texts, scratch(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"))))
     centres = pairs.select("b", "salt").distinct()
     schema = f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}"
     left = pairs.join(texts, F.col("a") == F.col("doc_id")).select("b", "salt", F.lit(1).alias("role"), "a", "text")
@@ -154,8 +190,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     160 minima in 40 bands of 4 rows miss a pair at the threshold with probability (1 - 0.75**4)**40 < 3e-7. In each bucket the
     document that meets most others is compared with all; then, where a bucket still holds several components, the most met of the
-    others; at last all pairs across the components that are left, where a closer signature of 1024 minima decides. A pair goes on
-    if its signature's estimate is within the slack.
+    others. What is left is banded anew by a closer signature of 1024 minima, in keys of 8, and there documents outside a key's
+    commonest component meet those of other components. A pair goes on if its signatures' estimates are within the slack; only
+    texts of such pairs are shuffled, once, and full sets decide. Buckets of any size are dealt into parts of about 1000 rows.
+
+    A text of any length is one set, made in one task by arrays of its words; ties cannot matter, as components take the
+    smallest id; columns other than the two named are ignored, so their names may clash; an empty table gives no rows.
     """
     spark = docs.sparkSession
     facts = scratch(sketches(docs, doc_id, text))
@@ -167,8 +207,18 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     reps = full.join(member.select("doc_id"), "doc_id", "left_anti")
 
     rows = scratch(reps.selectExpr("doc_id", "explode(bands) AS bucket").distinct())
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = scratch(rows.join(shared, "bucket"))
+    shared = scratch(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    # Rows of large buckets are dealt into parts before they meet their bucket's row.
+    large = shared.where(F.col("n") > 4 * PER_PART)
+    large = F.broadcast(large) if large.count() <= 10_000 else large
+    of_large = split(rows.join(large, "bucket"), PER_PART)
+    of_small = rows.join(shared.where(F.col("n") <= 4 * PER_PART), "bucket").withColumn("part", F.lit(0).cast("long"))
+    crowded = scratch(of_small.unionByName(of_large))
+
+    def repeated(buckets: DataFrame) -> DataFrame:
+        """A row a bucket, with n, for each part of its rows."""
+        return buckets.withColumn("part", F.explode(F.expr(f"sequence(0L, IF(n > {4 * PER_PART}, (n - 1) div {PER_PART}, 0L))")))
+
     # How many others a document meets: an original meets its copies more often than they meet each other.
     met = crowded.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("met"))
     bucket = scratch(crowded.join(met, "doc_id"))
@@ -182,43 +232,54 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     def named(found: DataFrame) -> DataFrame:
         """The rows of buckets of three or more that still hold several components."""
-        comp = bucket.where("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = comp.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-        return scratch(comp.join(mixed, "bucket"))
+        comp = scratch(bucket.where("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        mixed = comp.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.first("n").alias("n")).where("c1 < c2").select("bucket", "n")
+        return scratch(comp.join(repeated(mixed).select("bucket", "part"), ["bucket", "part"]))
 
     # First each bucket's most met document against its others,
-    centre = bucket.groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"))).alias("c")).select("bucket", F.col("c.b").alias("b"))
-    tried = scratch(bucket.select("bucket", F.col("doc_id").alias("a")).join(centre, "bucket").where("a <> b").select("a", "b").distinct())
+    centre = bucket.groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"))).alias("c"), F.first("n").alias("n"))
+    centre = repeated(centre).select("bucket", "part", F.col("c.b").alias("b"))
+    tried = scratch(bucket.select("bucket", "part", F.col("doc_id").alias("a")).join(centre, ["bucket", "part"]).where("a <> b").select("a", "b").distinct())
     edges = confirm(likely(tried), texts, percent)
     found = components(edges)
     # then the most met outside the first one's component against all of other components,
     left = named(found)
-    first = left.groupBy("bucket").agg(F.max(F.struct("met", "doc_id", F.col("component").alias("c"))).alias("f")).select("bucket", F.col("f.c").alias("fc"))
-    second = left.join(first, "bucket").where("component <> fc").groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"), F.col("component").alias("cb"))).alias("s")).select("bucket", "s.b", "s.cb")
-    again = left.select("bucket", F.col("doc_id").alias("a"), "component").join(second, "bucket").where("component <> cb").select("a", "b").distinct()
+    first = left.groupBy("bucket").agg(F.max(F.struct("met", "doc_id", F.col("component").alias("c"))).alias("f"), F.first("n").alias("n"))
+    others = scratch(left.join(repeated(first).select("bucket", "part", F.col("f.c").alias("fc")), ["bucket", "part"]).where("component <> fc"))
+    second = others.groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"), F.col("component").alias("cb"))).alias("s"), F.first("n").alias("n"))
+    second = repeated(second).select("bucket", "part", "s.b", "s.cb")
+    again = scratch(left.select("bucket", "part", F.col("doc_id").alias("a"), "component").join(second, ["bucket", "part"]).where("component <> cb").select("a", "b").distinct())
     more = confirm(likely(again), texts, percent)
     if not more.isEmpty():
         edges = edges.union(more)
         found = components(edges)
         left = named(found)
-    # at last all pairs across the components that remain.
-    # For them a signature of 1024 minima tells near from nearly near; each pair is looked at in its first common bucket.
-    facing = left.groupBy("doc_id").agg(F.collect_set("bucket").alias("all"))
-    fine = fine_signatures(texts.join(facing.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    open_rows = scratch(left.select("bucket", "doc_id", "component").join(facing.join(sig, "doc_id").join(fine, "doc_id"), "doc_id").select("bucket", "doc_id", "component", "sig", "fine", "all"))
-    x, y = open_rows.toDF("bucket", "a", "ca", "sa", "fa", "la"), open_rows.toDF("bucket", "b", "cb", "sb", "fb", "lb")
-    near = f"CASE WHEN ca >= cb OR {estimate('sa', 'sb')} < {floor} THEN false WHEN {estimate('fa', 'fb', FINE)} < {percent / 100 - FINE_SLACK} THEN false ELSE array_min(array_intersect(la, lb)) = bucket END"
-    rest = x.join(y.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & F.expr(near)).select("a", "b")
-    old = tried.union(again)
-    rest = rest.join(old.union(old.select("b", "a")).distinct(), ["a", "b"], "left_anti")
-    more = confirm(rest, texts, percent)
-    if not more.isEmpty():
-        found = components(edges.union(more))
+    # at last the documents of the buckets that remain, by keys of eight minima, which only near ones share: those outside a
+    # key's commonest component against all of other components.
+    facing = scratch(left.select("doc_id", "component").distinct())
+    if not facing.isEmpty():
+        fine = scratch(fine_signatures(only(texts, facing.select("doc_id")).dropDuplicates(["doc_id"])).join(facing, "doc_id"))
+        keys = fine.selectExpr("doc_id", "component", "explode(tight) AS bucket").distinct()
+        by = scratch(keys.groupBy("bucket", "component").agg(F.count("*").alias("n")))
+        by = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+        by = scratch(spread(by.select("bucket", "n", F.col("m.component").alias("main")), PER_PART))
+        open_rows = scratch(split(keys.join(by.where("part = 0").select("bucket", "n", "main"), "bucket"), PER_PART).join(sig, "doc_id"))
+        x = spread(open_rows.where("component <> main").drop("part"), PER_PART).select("bucket", "part", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), "main")
+        y = open_rows.select("bucket", "part", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"))
+        # Two that are both outside the commonest component meet once.
+        meet = f"CASE WHEN ca = cb OR (cb <> main AND ca > cb) THEN false ELSE {estimate('sa', 'sb')} >= {floor} END"
+        rest = scratch(x.join(y, ["bucket", "part"]).where(meet).select("a", "b").distinct())
+        old = tried.union(again)
+        rest = rest.join(old.union(old.select("b", "a")).distinct(), ["a", "b"], "left_anti")
+        rest = rest.join(fine.select(F.col("doc_id").alias("a"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("doc_id").alias("b"), F.col("fine").alias("fb")), "b")
+        more = confirm(rest.where(f"{estimate('fa', 'fb', FINE)} >= {percent / 100 - FINE_SLACK}").select("a", "b"), texts, percent)
+        if not more.isEmpty():
+            found = components(edges.union(more))
     # A member takes its representative's component.
     of_reps = found.withColumnRenamed("node", "rep")
     hung = member.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    spread = of_reps.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    of_members = hung.join(spread, ["rep", "s"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    salted = of_reps.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    of_members = hung.join(salted, ["rep", "s"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     every = of_members.union(found.select("node", "component")).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = facts.select("doc_id", "n_shingles").join(every, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
