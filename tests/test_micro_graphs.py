@@ -83,9 +83,30 @@ def balances(spark, rows):
 
 
 def test_balance_pruning_is_a_fold(spark):
-    q = spark.createDataFrame([(0, A, B, 10, 1, 200, 1000), (0, A, B, 11, 2, 10_000, 50), (0, A, B, 12, 3, 10_000, 50), (0, A, B, 13, 4, 300, None), (0, A, B, 14, 5, 1, 250)], "request_id long, token_in long, token_out long, pool long, position int, amount long, out_fresh long")
+    rows = [(0, A, B, 10, 1, 200, 1000, True), (0, A, B, 11, 2, 10_000, 50, True), (0, A, B, 12, 3, 10_000, 50, True), (0, A, B, 13, 4, 300, None, True), (0, A, B, 14, 5, 1, 250, True), (0, A, B, 15, 6, 1, 20, False)]
+    q = spark.createDataFrame(rows, "request_id long, token_in long, token_out long, pool long, position int, amount long, out_fresh long, sure boolean")
     got = {r["pool"]: r["pruned"] for r in heuristic.balance_pruned(q).collect()}
-    assert got == {10: False, 11: True, 12: True, 13: False, 14: True}
+    assert got == {10: False, 11: True, 12: True, 13: False, 14: True, 15: False}
+
+
+def test_half_known_balances_do_not_rank(spark):
+    e = spark.createDataFrame([(p, A, B, "v2", f) for p, f in ((10, 30), (11, 5), (12, 30), (13, 30))], "pool long, token_in long, token_out long, protocol string, fee long")
+    b = balances(spark, [(10, B, "fresh", 10**9), (11, A, "fresh", 1), (12, A, "fresh", 8), (12, B, "fresh", 9), (13, A, "fresh", 8), (13, B, "fresh", 15)])
+    order = [r["pool"] for r in liquidity.ranked_edges(e, b).orderBy("position").collect()]
+    assert order == [13, 12, 11, 10]  # known ones by their balances; then fees, though 10 holds most of B
+
+
+def test_traces_are_validated(spark):
+    e = rates(spark, [(10, A, B, 2, 1), (11, B, C, 2, 1)])
+    found = routes.enumerate_priced(request(spark, A, C), e, Search(), "linear")
+    good = routes.trace(found)
+    tell = lambda hops: routes.valid_traces(found, hops).first()["problem"]
+    assert tell(good) is None
+    assert tell(good.where("hop = 1")) == "length"
+    assert tell(good.withColumn("amount_in", F.when(F.col("hop") == 2, 7).otherwise(F.col("amount_in")))) == "amount_continuity"
+    assert tell(good.withColumn("amount_out", F.when(F.col("hop") == 2, 7).otherwise(F.col("amount_out")))) == "final_amount"
+    assert tell(good.withColumn("token_in", F.lit(A).cast("long"))) == "hops"
+    assert routes.valid_traces(found.withColumn("amount_in", F.lit(0).cast("long"))).first()["problem"] == "amount_in"
 
 
 def test_upper_bound(spark):
@@ -111,28 +132,65 @@ def test_bounded_search_finds_what_its_connectors_allow(spark):
     assert [r["path_key"] for r in none.collect()] == ["12"]
 
 
-def test_progress(spark):
+def told(spark, first, every, config):
     cols = "request_id long, hops long, path_key string, amount_out long"
-    first = spark.createDataFrame([(0, 1, "12", 300)], cols)
-    every = spark.createDataFrame([(0, 1, "12", 300), (0, 2, "10|11", 400)], cols)
-    log = progress.quote_log(first, every)
-    got = [(r["phase"], r["fraction_bps"], r["confidence_bps"], r["best"], r["best_updated"]) for r in progress.progress(log).orderBy("seq").collect()]
-    assert got == [("heuristic", 5000, 7000, 300, True), ("exhaustive", 10_000, 9999, 400, True)]
-    assert progress.duplicates(first, every).first()["duplicates"] == 1
-    report = progress.report(log).first()
-    assert (report["finality"], report["improvements"], report["heuristic_was_final"]) == ("exhaustive", 1, False)
+    log = progress.quote_log(spark.createDataFrame(first, cols), spark.createDataFrame(every, cols))
+    rows = progress.emitted(log, config).orderBy("seq", "event").collect()
+    return log, [(r["seq"], r["event"], r["path_key"], r["amount_out"], r["top"]) for r in rows]
+
+
+def test_progress(spark):
+    first, every = [(0, 1, "12", 300)], [(0, 1, "12", 300), (0, 2, "10|11", 400)]
+    log, rows = told(spark, first, every, Streaming(top_k=3))
+    got = [(r["step"], r["phase"], r["fraction_bps"], r["confidence_bps"], r["best"], r["best_updated"]) for r in progress.progress(log).orderBy("seq", "step").collect()]
+    # The reference's run: 7000 with the first quote, 9000 at the end of the first phase, the fraction once the total is known.
+    assert got == [
+        (0, "heuristic", None, 7000, 300, True), (1, "heuristic", None, 9000, 300, False), (2, "exhaustive", 5000, 9500, 300, False),
+        (0, "exhaustive", 10_000, 9999, 400, True), (3, "exhaustive", 10_000, 10_000, 400, False),
+    ]
+    assert rows == [(1, "best", "12", 300, None), (1, "route", "12", 300, None), (2, "best", "10|11", 400, None), (2, "route", "10|11", 400, None)]
+    report = progress.report(log, Streaming()).first()
+    assert (report["finality"], report["improvements"], report["heuristic_was_final"], report["evaluated"]) == ("exhaustive", 1, False, 2)
     assert [r["rank"] for r in progress.running_top(log, 3).orderBy("seq").collect()] == [1, 1]
-    stopped = progress.emitted(log, Streaming(stop=Threshold(confidence_bps=7000)))
-    assert [r["amount_out"] for r in stopped.collect()] == [300]
-    late = progress.emitted(log, Streaming(initial=Threshold(fraction_bps=9000), emit_all_viable=True))
-    assert [r["amount_out"] for r in late.collect()] == [400]
+    short = progress.report(log, Streaming(completion="heuristic")).first()
+    assert (short["finality"], short["best"], short["evaluated"], short["heuristic_was_final"]) == ("heuristic_only", 300, 1, None)
+    assert progress.report(log, Streaming(completion="fast_lane")).first()["finality"] == "fast_lane_only"
+    _, stopped = told(spark, first, every, Streaming(stop=Threshold(confidence_bps=7000)))
+    assert [r[3] for r in stopped] == [300, 300]
+    at_phase_end = progress.report(log, Streaming(stop=Threshold(confidence_bps=9000))).first()
+    assert (at_phase_end["finality"], at_phase_end["evaluated"]) == ("stop_policy_satisfied", 1)
+
+
+def test_no_confidence_without_a_best(spark):
+    cols = "request_id long, hops long, path_key string, amount_out long"
+    nothing = spark.createDataFrame([(0, 1, "12", None), (0, 1, "13", None)], cols)
+    log = progress.quote_log(nothing.limit(1), nothing)
+    assert {r["confidence_bps"] for r in progress.progress(log).collect()} == {0}
+    assert progress.report(log, Streaming(stop=Threshold(fraction_bps=1))).first()["finality"] == "exhaustive"
+    # All in the first phase: 7000 until its end, and 9999 as soon as the total is known.
+    every = spark.createDataFrame([(0, 1, "12", 5)], cols)
+    got = [(r["step"], r["confidence_bps"]) for r in progress.progress(progress.quote_log(every, every)).orderBy("seq", "step").collect()]
+    assert got == [(0, 7000), (1, 9000), (2, 9999), (3, 10_000)]
+
+
+def test_first_results_wait_for_their_policy(spark):
+    first = [(0, 1, "a", 100), (0, 1, "b", 300), (0, 1, "c", 200)]
+    every = first + [(0, 2, "d", 250), (0, 2, "e", 400)]
+    _, rows = told(spark, first, every, Streaming(top_k=2, initial=Threshold(confidence_bps=9000)))
+    assert rows == [(3, "initial", "b", 300, ["b", "c"]), (4, "route", "d", 250, None), (5, "best", "e", 400, None), (5, "route", "e", 400, None)]
+    # Released by the total's fraction of 6000, with what the first phase found.
+    _, rows = told(spark, first, every, Streaming(top_k=2, initial=Threshold(fraction_bps=6000)))
+    assert rows[0] == (3, "initial", "b", 300, ["b", "c"])
+    # Never met: told at the end, and nothing besides.
+    _, rows = told(spark, first, every, Streaming(top_k=2, completion="heuristic", initial=Threshold(fraction_bps=9000)))
+    assert rows == [(3, "initial", "b", 300, ["b", "c"])]
 
 
 def test_transfers(spark):
     b = balances(spark, [(10, A, "fresh", 100), (11, A, "fresh", 5), (12, A, "stale", None), (13, A, "unknown", None), (14, A, "fresh", 7)])
     t = spark.createDataFrame([(1, A, 10, 11, 20, False), (2, A, 12, 13, 1, False), (3, A, 14, None, 8, False), (4, A, 10, None, 1, True)], "seq long, token long, from_pool long, to_pool long, value long, removed boolean")
     got = {r["pool"]: (r["state"], r["amount"]) for r in liquidity.apply_transfers(b, t.where("seq < 4")).collect()}
-    assert got == {10: ("fresh", 80), 11: ("fresh", 25), 12: ("stale", None), 13: ("unknown", None), 14: ("stale", None)}
+    assert got == {10: ("fresh", 80), 11: ("fresh", 25), 12: ("stale", None), 13: ("stale", None), 14: ("stale", None)}
     got = {r["pool"]: r["state"] for r in liquidity.apply_transfers(b, t).collect()}
     assert got[10] == "stale"
 
@@ -148,7 +206,28 @@ def test_refresh_equals_a_full_search(spark):
     assert (got["amount_out"], got["path_key"], got["status"], got["repriced"]) == (want["amount_out"], want["path_key"], "updated", 1)
     one = found.where("path_key = '11|12'")
     probed = incremental.refresh(one, old, changed, with_probes=True).first()
-    assert probed["path_key"] == "10|12"
+    assert (probed["path_key"], probed["status"]) == ("10|12", "updated")
+    # Priced again to the same best: updated, as the source has it; nothing priced again: unchanged.
+    same = incremental.refresh(found, old, changed).first()
+    assert (same["status"], same["previous"] == same["amount_out"], same["repriced"]) == ("updated", True, 1)
+    far = incremental.refresh(found, old, spark.createDataFrame([(99,)], "pool long")).first()
+    assert (far["status"], far["repriced"]) == ("unchanged", 0)
+    # A request without routes stays; a session with a reason isn't refreshed.
+    asked = spark.createDataFrame([(0,), (7,)], "request_id long")
+    got = {r["request_id"]: (r["status"], r["amount_out"], r["path_key"]) for r in incremental.refresh(found, new, changed, requests=asked).collect()}
+    assert got[7] == ("unchanged", None, None) and got[0][0] == "updated"
+    barred = incremental.refresh(found, new, changed, reasons=spark.createDataFrame([(0, "removed_logs")], "request_id long, reason string")).first()
+    assert (barred["status"], barred["reason"], barred["amount_out"] == barred["previous"]) == ("recompute_required", "removed_logs", True)
+
+
+def test_probes_over_changed_pools_are_those_of_all_that_touch_them(spark):
+    e = spark.createDataFrame([(p, a, b) for p, x, y in ((10, A, B), (11, A, B), (12, B, C), (13, B, C), (14, B, C), (15, A, C)) for a, b in ((x, y), (y, x))], "pool long, token_in long, token_out long").withColumn("r_in", F.lit(1000).cast("long")).withColumn("r_out", F.lit(900).cast("long"))
+    found = routes.enumerate_priced(request(spark, A, C), e, Search()).where("path_key IN ('10|12', '11|13', '15')")
+    every = incremental.probes(found, e)
+    for pool in (10, 13, 14, 15):
+        want = {r["path_key"] for r in every.where(F.array_contains("pools", pool)).collect()}
+        got = {r["path_key"] for r in incremental.probes(found, e, spark.createDataFrame([(pool,)], "pool long")).collect()}
+        assert got == want
 
 
 def test_configurations_are_checked():
@@ -156,6 +235,10 @@ def test_configurations_are_checked():
         with pytest.raises(ConfigError):
             bad()
     assert Search.quality("fast")[1] == "fast_lane"
+    quick, even = Heuristic.latency_first(), Heuristic.balanced()
+    assert even == Heuristic() and even.target_first and even.dominance and even.fast_lane.enabled and even.upper_bound and not even.shortlist.enabled and even.shortlist.protocol_ordering
+    assert (quick.shortlist.enabled, quick.shortlist.initial, quick.shortlist.refinement) == (True, 1, 3)
+    assert (quick.auto_connectors, quick.beam_width, quick.finalists) == (8, 64, 16)
 
 
 def test_mutations_equal_a_rebuild(spark):

@@ -68,7 +68,7 @@ class Heuristic:
 
     auto_connectors: int = 8
     min_degree: int = 6
-    beam_width: int = 64
+    beam_width: int | None = 64
     parallel_edges: int = 1
     finalists: int = 16
     target_first: bool = True
@@ -80,7 +80,7 @@ class Heuristic:
 
     def __post_init__(self) -> None:
         _need(min(self.auto_connectors, self.min_degree) >= 0, "connector limits can't be negative")
-        _need(min(self.beam_width, self.parallel_edges, self.finalists) > 0, "beam, edges and finalists must be positive")
+        _need(min(self.beam_width or (1 if self.beam_width is None else 0), self.parallel_edges, self.finalists) > 0, "beam, edges and finalists must be positive")
 
     @classmethod
     def balanced(cls) -> Heuristic:
@@ -88,7 +88,8 @@ class Heuristic:
 
     @classmethod
     def latency_first(cls) -> Heuristic:
-        return cls(auto_connectors=4, beam_width=16, finalists=4)
+        """The same bounds, and the shortlist with its refinement pass."""
+        return cls(shortlist=Shortlist(enabled=True))
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from waymark.functions.pricing import REGISTRY
 from waymark.model import FastLane, Heuristic, Search
-from waymark.operators import liquidity, routes
+from waymark.operators import graph, liquidity, routes
+from waymark.streaming.store import written
 
 
 def fast_lane(requests: DataFrame, edges: DataFrame, balances: DataFrame, lane: FastLane, price: str = "constant_product") -> DataFrame:
@@ -26,7 +27,7 @@ def fast_lane(requests: DataFrame, edges: DataFrame, balances: DataFrame, lane:
 
 
 def keep_best_edges(grown: DataFrame, keep: int) -> DataFrame:
-    """Of the prefixes that differ in their last pool only, the `keep` with the largest outputs."""
+    """Of the prefixes that differ in their last pool only (a group of hops to one token), the `keep` with the largest outputs."""
     w = Window.partitionBy("request_id", F.slice("pools", 1, F.size("pools") - 1), "tokens").orderBy(F.desc("amount"), F.element_at("pools", -1))
     return grown.where("amount IS NOT NULL").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
@@ -37,76 +38,168 @@ def beam(front: DataFrame, width: int) -> DataFrame:
     return front.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= width).drop("_n")
 
 
+def future_blocked(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """front with blocked: the pools it has used that it would meet again at its token, toward a token that may follow."""
+    near = edges.select("pool", F.col("token_in").alias("cur"), F.col("token_out").alias("next")).distinct()
+    allowed = "next = target OR connectors IS NULL OR array_contains(connectors, next)"
+    used = front.select("request_id", "cur", "target", "connectors", "tokens", "pools", F.explode("pools").alias("pool"))
+    met = used.join(near, ["pool", "cur"]).where(f"NOT array_contains(tokens, next) AND ({allowed})").groupBy("request_id", "pools").agg(F.array_sort(F.collect_set("pool")).alias("blocked"))
+    return front.join(met, ["request_id", "pools"], "left").withColumn("blocked", F.coalesce("blocked", F.expr("CAST(array() AS ARRAY<BIGINT>)")))
+
+
 def undominated(front: DataFrame) -> DataFrame:
-    """Prefixes that no other at the same token dominates: at least the amount with no more tokens and pools used.
+    """Prefixes that no other at the same token dominates: at least the amount with no more tokens visited and pools blocked.
 
-    The order is partial; of equal labels the smaller path key stays. Labels meet only within a request and token.
+    Pools are those of `blocked` (see future_blocked) where front has it, else all used ones. The order is partial; of equal
+    labels the smaller path key stays. Labels meet only within a request and token, of which a bounded search has few.
     """
+    held = "blocked" if "blocked" in front.columns else "pools"
     key = F.array_join(F.col("pools").cast("array<string>"), "|")
-    a, b = front.withColumn("_k", key).alias("a"), front.withColumn("_k", key).alias("b")
-    subset = (F.size(F.array_except("b.tokens", "a.tokens")) == 0) & (F.size(F.array_except("b.pools", "a.pools")) == 0)
-    same = (F.col("a.amount") == F.col("b.amount")) & (F.size("a.tokens") == F.size("b.tokens")) & (F.size("a.pools") == F.size("b.pools"))
+    label = front.select("request_id", "cur", "amount", "tokens", F.col(held).alias("held"), key.alias("_k"))
+    a, b = front.withColumn("_k", key).withColumn("held", F.col(held)).alias("a"), label.alias("b")
+    subset = (F.size(F.array_except("b.tokens", "a.tokens")) == 0) & (F.size(F.array_except("b.held", "a.held")) == 0)
+    same = (F.col("a.amount") == F.col("b.amount")) & (F.size("a.tokens") == F.size("b.tokens")) & (F.size("a.held") == F.size("b.held"))
     better = (F.col("b.amount") >= F.col("a.amount")) & subset & (~same | (F.col("b._k") < F.col("a._k")))
     on = (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.cur") == F.col("b.cur")) & (F.col("a._k") != F.col("b._k")) & better
-    return a.join(b, on, "left_anti").drop("_k")
+    return a.join(b, on, "left_anti").drop("_k", "held")
 
 
 def capped(front: DataFrame, caps: DataFrame, incumbent: DataFrame) -> DataFrame:
-    """Prefixes whose target can still pay out more than the best route so far; an unknown cap never prunes."""
-    t = front.join(caps.withColumnRenamed("token", "target"), "target", "left").join(incumbent.select("request_id", F.col("amount_out").alias("_best")), "request_id", "left")
+    """Prefixes whose target can still pay out more than the best route so far; an unknown cap never prunes.
+
+    caps: token and cap; or node, target and cap, of what is near enough to the prefix's token.
+    """
+    if "node" in caps.columns:
+        t = front.join(caps.select(F.col("node").alias("cur"), "target", "cap"), ["cur", "target"], "left")
+    else:
+        t = front.join(caps.withColumnRenamed("token", "target"), "target", "left")
+    t = t.join(incumbent.select("request_id", F.col("amount_out").alias("_best")), "request_id", "left")
     return t.where("cap IS NULL OR _best IS NULL OR cap > _best").drop("cap", "_best")
 
 
 def balance_pruned(quotes: DataFrame) -> DataFrame:
     """quotes with pruned: edges of a group, in liquidity order, whose pool holds no more than the best output found before them.
 
-    quotes has group columns request_id, token_in, token_out and position, amount, out_fresh. A pruned edge isn't priced, so it does
-    not raise the best; hence a fold over each group's sorted edges and not a running maximum. Groups are parallel edges of a pair.
+    quotes has group columns request_id, token_in, token_out and position, amount, out_fresh, sure: whether the balance bounds the
+    output, as the edge closes at the target or its pool has two tokens only; others are never pruned. A pruned edge isn't priced,
+    so it does not raise the best; hence a fold over each group's sorted edges and not a running maximum. Groups are parallel
+    edges of a pair.
     """
+    quotes = quotes if "sure" in quotes.columns else quotes.withColumn("sure", F.lit(True))
+    keys = [c for c in ("request_id", "token_in", "token_out", "prefix") if c in quotes.columns]
     out = "CAST(array() AS ARRAY<STRUCT<pool: BIGINT, pruned: BOOLEAN>>)"
-    cut = "coalesce(e.out_fresh <= s.best, false)"
+    cut = "coalesce(e.sure AND e.out_fresh <= s.best, false)"
     step = F.expr(f"""aggregate(edges, named_struct('best', CAST(NULL AS BIGINT), 'out', {out}),
       (s, e) -> named_struct('best', CASE WHEN {cut} THEN s.best ELSE greatest(s.best, e.amount) END, 'out', concat(s.out, array(named_struct('pool', e.pool, 'pruned', {cut})))))""")
-    found = quotes.groupBy("request_id", "token_in", "token_out").agg(F.array_sort(F.collect_list(F.struct("position", "pool", "amount", "out_fresh"))).alias("edges"))
-    return found.select("request_id", "token_in", "token_out", F.explode(step["out"]).alias("e")).select("request_id", "token_in", "token_out", "e.pool", "e.pruned")
+    found = quotes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "pool", "amount", "out_fresh", "sure"))).alias("edges"))
+    return found.select(*keys, F.explode(step["out"]).alias("e")).select(*keys, "e.pool", "e.pruned")
+
+
+def with_connectors(requests: DataFrame, edges: DataFrame, h: Heuristic) -> DataFrame:
+    """requests with connectors: the automatic ones without the request's own tokens."""
+    hubs = [r["token"] for r in liquidity.auto_connectors(edges, h.auto_connectors + 2, h.min_degree).collect()]  # at most so many tokens
+    every = F.array(*map(F.lit, hubs)).cast("array<bigint>")
+    return requests.withColumn("connectors", F.slice(F.filter(every, lambda t: (t != F.col("token_in")) & (t != F.col("token_out"))), 1, h.auto_connectors) if h.auto_connectors else F.expr("CAST(array() AS ARRAY<BIGINT>)"))
 
 
 def search(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Search, price: str = "constant_product") -> DataFrame:
     """Finalists of the bounded search (columns of routes.enumerate_priced), at most `finalists` a request.
 
-    Each hop: join, price, keep the best parallel edges, prune by the target's cap, drop dominated prefixes, cut to the beam.
-    Connectors are the given ones, else the automatic ones, so there is always a list.
+    With a shortlist there are two passes: over the first `initial` ranked edges of each pair, and over the first `refinement`;
+    otherwise one over all. Each hop: join, leave out what can't reach the target in the hops that remain, prune parallel edges by
+    balance, price, keep the best parallel edges, prune by what the target can pay out, drop dominated prefixes, cut to the
+    beam. With target_first a hop's own closing routes already count against its other prefixes. Connectors are the given ones,
+    else the automatic ones without the request's endpoints.
     """
     h: Heuristic = bounds.heuristic
-    if bounds.connectors is None:
-        hubs = tuple(r["token"] for r in liquidity.auto_connectors(edges, h.auto_connectors, h.min_degree).collect())  # a few tokens
-        bounds = Search(bounds.min_hops, bounds.max_hops, bounds.max_candidates, hubs, "heuristic", h)
-    caps = liquidity.target_caps(edges, balances)
-    found = fast_lane(requests, edges, balances, h.fast_lane, price).drop("lane") if h.fast_lane.enabled and bounds.min_hops <= 2 else None
-    if found is not None and bounds.min_hops == 2:
-        found = found.where("hops >= 2")
-    front, done = routes.start(requests, bounds), []
+    if bounds.connectors is None and "connectors" not in requests.columns:
+        requests = with_connectors(requests, edges, h)
+    ranked = liquidity.ranked_edges(edges, balances)
+    two = edges.groupBy("pool").agg(F.count_distinct("token_in").alias("_t")).select("pool", (F.col("_t") == 2).alias("two"))
+    ranked = written(ranked.join(two, "pool"))
+    done = []
+    if h.fast_lane.enabled and bounds.min_hops <= 2:
+        lane = fast_lane(requests, edges, balances, h.fast_lane, price).drop("lane").where((F.col("hops") >= bounds.min_hops) & (F.col("hops") <= bounds.max_hops) & F.col("amount_out").isNotNull())
+        allowed = F.lit(None).cast("array<bigint>") if bounds.connectors is None else F.array(*map(F.lit, bounds.connectors)).cast("array<bigint>")
+        asked = requests.select("request_id", (F.col("connectors") if "connectors" in requests.columns else allowed).alias("_c"))
+        # The lane has connectors of its own; given ones hold for it too.
+        if bounds.connectors is not None:
+            lane = lane.join(asked, "request_id").where("hops = 1 OR array_contains(_c, tokens[1])").drop("_c")
+        done.append(lane)
+    limits = [h.shortlist.initial, h.shortlist.refinement] if h.shortlist.enabled else [None]
+    for limit in limits:
+        kept = ranked if limit is None else ranked.where(F.col("position") <= limit)
+        done.append(_pass(requests, kept, balances, bounds, price))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return routes.ranked(out.dropDuplicates(["request_id", "path_key"]), h.finalists).drop("rank")
+
+
+def _pass(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Search, price: str) -> DataFrame:
+    """Routes of one pass over ranked edges (with position, out_fresh and two)."""
+    h = bounds.heuristic
+    targets = requests.select(F.col("token_out").alias("target")).distinct()
+    near = written(reach(edges, targets, bounds.max_hops - 1)) if bounds.max_hops > 1 else None
+    caps = written(liquidity.caps_within(edges.drop("in_fresh", "out_fresh"), balances, targets, bounds.max_hops - 1)) if h.upper_bound and bounds.max_hops > 1 else None
+    carry = ("position", "out_fresh", "two")
+    front, done, incumbent = routes.start(requests, bounds), [], None
     for hop in range(1, bounds.max_hops + 1):
-        last = hop == bounds.max_hops
-        grown = keep_best_edges(routes.expand(front, edges, price, last, False), h.parallel_edges)
+        last, remaining = hop == bounds.max_hops, bounds.max_hops - hop
+        grown = routes.expand(front, edges, price, last, False, carry)
+        if not last:
+            grown = grown.join(near.where(F.col("need") <= remaining).select(F.col("node").alias("cur"), "target"), ["cur", "target"], "left_semi")
+        if h.balance_pruning:
+            q = grown.select("request_id", F.expr("array_join(CAST(slice(pools, 1, size(pools) - 1) AS ARRAY<STRING>), '|')").alias("prefix"), F.col("cur").alias("token_out"), F.element_at("pools", -1).alias("pool"), "position", "amount", "out_fresh", F.expr("two OR cur = target").alias("sure"))
+            cut = balance_pruned(q).where("pruned").select("request_id", F.concat_ws("|", F.when(F.col("prefix") != "", F.col("prefix")), F.col("pool").cast("string")).alias("_k"), F.col("token_out").alias("cur"))
+            grown = grown.withColumn("_k", F.array_join(F.col("pools").cast("array<string>"), "|")).join(cut, ["request_id", "_k", "cur"], "left_anti").drop("_k")
+        grown = written(keep_best_edges(grown.drop(*carry), h.parallel_edges))  # bounded by beam x tokens a request
         closed = grown.where("cur = target")
         if hop >= bounds.min_hops:
             done.append(closed)
         if last:
             break
         front = grown.where("cur <> target")
-        if h.upper_bound and hop >= bounds.min_hops:
-            front = capped(front, caps, closed.groupBy("request_id").agg(F.max("amount").alias("amount_out")))
+        if hop >= bounds.min_hops:
+            best = closed.select("request_id", "amount")
+            now = best if incumbent is None else incumbent.unionByName(best)
+        else:
+            now = incumbent
+        counts = now if h.target_first else incumbent
+        if caps is not None and counts is not None:
+            front = capped(front, caps.where(F.col("remaining") == remaining).drop("remaining"), counts.groupBy("request_id").agg(F.max("amount").alias("amount_out")))
+        incumbent = now
         if h.dominance:
-            front = undominated(front)
-        front = beam(front, h.beam_width)
+            front = undominated(written(future_blocked(front, edges))).drop("blocked")
+        if h.beam_width is not None:
+            front = beam(front, h.beam_width)
+        front = written(front)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.select(*routes.KEEP, "tokens", "pools", "amounts", F.col("amount").alias("amount_out"), F.size("pools").cast("long").alias("hops"), F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"))
-    if found is not None:
-        out = out.unionByName(found)
-    return routes.ranked(out.dropDuplicates(["request_id", "path_key"]), h.finalists).drop("rank")
+    return out.select(*routes.KEEP, "tokens", "pools", "amounts", F.col("amount").alias("amount_out"), F.size("pools").cast("long").alias("hops"), F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"))
+
+
+def find(requests: DataFrame, edges: DataFrame, bounds: Search, balances: DataFrame | None = None, price: str = "constant_product", cycles: bool = False) -> DataFrame:
+    """Routes in the mode that the bounds name: exhaustive, or bounded (which needs balances, if only an empty table)."""
+    if bounds.mode == "exhaustive" or cycles:
+        return routes.enumerate_priced(requests, edges, bounds, price, cycles)
+    if balances is None:
+        balances = edges.select("pool", F.col("token_in").alias("token"), F.lit("unknown").alias("state"), F.lit(None).cast("long").alias("amount")).limit(0)
+    return search(requests, edges, balances, bounds, price)
+
+
+def sorted_groups(requests: DataFrame, edges: DataFrame, balances: DataFrame, connectors: list[int]) -> DataFrame:
+    """request_id, token_out, edges, place: the first hop's groups of parallel edges in the order that a search tries them.
+
+    The one that closes at the target comes first; then groups with known input balances by the largest and the sum, connectors
+    before others, tokens of larger degree, and the token.
+    """
+    groups = edges.groupBy("token_in", "token_out").agg(F.count("*").alias("edges")).join(liquidity.branch_scores(edges, balances), ["token_in", "token_out"]).join(graph.degrees(edges).withColumnRenamed("token", "token_out"), "token_out")
+    r = requests.select("request_id", "token_in", F.col("token_out").alias("target"))
+    closes, known = F.expr("token_out = target"), F.expr("token_out <> target AND deepest IS NOT NULL")
+    order = [closes.desc(), known.desc(), F.when(known, F.col("deepest")).desc(), F.when(known, F.col("total")).desc(), F.col("token_out").isin(connectors).desc(), F.desc("degree"), F.col("token_out")]
+    return r.join(groups, "token_in").withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).select("request_id", "token_out", "edges", "place")
 
 
 def reach(edges: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:

@@ -27,40 +27,62 @@ def as_paths(found: DataFrame) -> DataFrame:
     return found.select(F.struct("request_id", "path_key").alias("path_id"), "amount_in", hops.alias("hops"))
 
 
-def probes(found: DataFrame, edges: DataFrame) -> DataFrame:
+def probes(found: DataFrame, edges: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """request_id, target, amount_in, tokens, pools, path_key: each route with one hop moved to a parallel pool that it doesn't use.
 
-    Only paths that the routes don't hold already; a route gives as many probes as its hops have parallel pools.
+    Only paths that the routes don't hold already; a route gives as many probes as its hops have parallel pools. With `changed`
+    (pool) only probes over one of these pools are made: a hop moves to a changed pool, or a route over a changed pool moves.
     """
     hop = found.select("request_id", "target", "amount_in", "tokens", "pools", F.posexplode("pools").alias("i", "old"))
     hop = hop.withColumn("token_in", F.expr("tokens[i]")).withColumn("token_out", F.expr("tokens[i + 1]"))
     other = edges.select("token_in", "token_out", F.col("pool").alias("new")).distinct()
-    moved = hop.join(other, ["token_in", "token_out"]).where(~F.array_contains("pools", F.col("new")))
+    if changed is None:
+        moved = hop.join(other, ["token_in", "token_out"])
+    else:
+        # Either the new pool has changed, or one of the route's other pools has.
+        fresh = other.join(changed.select(F.col("pool").alias("new")), "new", "left_semi")
+        held = index(found).join(changed.select("pool"), "pool", "left_semi").select("request_id", F.col("pool").alias("hit"), F.col("path_key").alias("k")).distinct()
+        key = F.array_join(F.col("pools").cast("array<string>"), "|")
+        stays = hop.withColumn("k", key).join(held, ["request_id", "k"]).where("old <> hit").drop("k", "hit").distinct()
+        moved = hop.join(fresh, ["token_in", "token_out"]).unionByName(stays.join(other, ["token_in", "token_out"]), allowMissingColumns=True)
+    moved = moved.where(~F.array_contains("pools", F.col("new")))
     moved = moved.withColumn("pools", F.expr("transform(pools, (p, j) -> CASE WHEN j = i THEN new ELSE p END)"))
     moved = moved.select("request_id", "target", "amount_in", "tokens", "pools", F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key")).dropDuplicates(["request_id", "path_key"])
     return moved.join(found.select("request_id", "path_key"), ["request_id", "path_key"], "left_anti")
 
 
-def refresh(found: DataFrame, edges: DataFrame, changed: DataFrame, with_probes: bool = False, price: str = "constant_product") -> DataFrame:
-    """request_id, previous, amount_out, path_key, repriced, status (unchanged, updated) of each request after some pools changed.
+def refresh(found: DataFrame, edges: DataFrame, changed: DataFrame, with_probes: bool = False, price: str = "constant_product", requests: DataFrame | None = None, reasons: DataFrame | None = None) -> DataFrame:
+    """request_id, previous, amount_out, path_key, repriced, status, reason of each request after some pools changed.
 
-    Routes (and probes) over a changed pool are priced at the new edges; all others keep their outputs.
+    Routes (and probes) over a changed pool are priced at the new edges; all others keep their outputs. status: unchanged if
+    nothing was priced again and the best is the same, else updated; recompute_required where `reasons` (request_id, reason; see
+    fallback) names one, and then nothing is priced and the previous best stays. Requests without a viable route, and those of
+    `requests` without any route, have null outputs.
     """
     pools = changed.select("pool").distinct()
-    touched = index(found).join(pools, "pool", "left_semi").select("request_id", "path_key").distinct()
-    again = found.join(touched, ["request_id", "path_key"], "left_semi")
+    barred = reasons.where("reason IS NOT NULL").select("request_id", "reason") if reasons is not None else None
+    live = found.join(barred, "request_id", "left_anti") if barred is not None else found
+    touched = index(live).join(pools, "pool", "left_semi").select("request_id", "path_key").distinct()
+    again = live.join(touched, ["request_id", "path_key"], "left_semi")
     kept = found.join(touched, ["request_id", "path_key"], "left_anti").select("request_id", "path_key", "amount_out", F.lit(0).alias("n"))
     if with_probes:
-        extra = probes(found, edges)
-        hit = index(extra).join(pools, "pool", "left_semi").select("request_id", "path_key").distinct()
         cols = ["request_id", "target", "amount_in", "tokens", "pools", "path_key"]
-        again = again.select(*cols).unionByName(extra.join(hit, ["request_id", "path_key"], "left_semi").select(*cols))
+        again = again.select(*cols).unionByName(probes(live, edges, pools).select(*cols))
     priced = routes.quote_paths(as_paths(again), edges, price).select("path_id.request_id", "path_id.path_key", "amount_out", F.lit(1).alias("n"))
-    best = kept.unionByName(priced).groupBy("request_id").agg(F.min_by(F.struct("amount_out", "path_key"), F.struct(-F.coalesce("amount_out", F.lit(-1)), "path_key")).alias("b"), F.sum("n").alias("repriced"))
-    was = routes.best(found).select("request_id", F.col("amount_out").alias("previous"), F.col("path_key").alias("_old"))
+    rank = lambda: F.struct(F.col("amount_out").isNull(), -F.coalesce("amount_out", F.lit(0)), "path_key")
+    best = kept.unionByName(priced).groupBy("request_id").agg(F.min_by(F.struct("amount_out", "path_key"), rank()).alias("b"), F.sum("n").alias("repriced"))
+    was = found.groupBy("request_id").agg(F.min_by(F.struct("amount_out", "path_key"), rank()).alias("w"))
+    if requests is not None:
+        was = requests.select("request_id").distinct().join(was, "request_id", "left")
     out = was.join(best, "request_id", "left")
-    same = F.col("previous").eqNullSafe(F.col("b.amount_out")) & F.col("_old").eqNullSafe(F.col("b.path_key"))
-    return out.select("request_id", "previous", F.col("b.amount_out").alias("amount_out"), F.col("b.path_key").alias("path_key"), "repriced", F.when(same, "unchanged").otherwise("updated").alias("status"))
+    if barred is not None:
+        out = out.join(barred, "request_id", "left")
+    else:
+        out = out.withColumn("reason", F.lit(None).cast("string"))
+    viable = lambda c: F.when(F.col(f"{c}.amount_out").isNotNull(), F.col(f"{c}.path_key"))
+    same = F.col("w.amount_out").eqNullSafe(F.col("b.amount_out")) & viable("w").eqNullSafe(viable("b")) & (F.coalesce("repriced", F.lit(0)) == 0)
+    status = F.when(F.col("reason").isNotNull(), "recompute_required").when(same, "unchanged").otherwise("updated")
+    return out.select("request_id", F.col("w.amount_out").alias("previous"), F.col("b.amount_out").alias("amount_out"), viable("b").alias("path_key"), F.coalesce("repriced", F.lit(0)).cast("long").alias("repriced"), status.alias("status"), "reason")
 
 
 #: Why a session must search again instead of refreshing; the first that holds is told.

@@ -53,10 +53,11 @@ def with_balances(edges: DataFrame, balances: DataFrame) -> DataFrame:
 
 
 def edge_order() -> list:
-    """Known first; then the score of the smaller balance and the protocol; then balances, fee, pool."""
-    score = f"({log2_floor('least(in_fresh, out_fresh)')}) * 100 + {protocol_bonus('protocol')}"
+    """Edges with both balances known first, by the score of the smaller balance and the protocol, then balances; all then by protocol, fee, pool."""
     known = "(in_fresh IS NOT NULL AND out_fresh IS NOT NULL)"
-    return [F.expr(f"CASE WHEN {known} THEN 0 ELSE 1 END"), F.expr(f"CASE WHEN {known} THEN {score} ELSE {protocol_bonus('protocol')} END").desc(), F.coalesce("out_fresh", F.lit(-1)).desc(), F.coalesce("in_fresh", F.lit(-1)).desc(), F.expr(fee_rank("fee")), F.col("pool")]
+    score = f"({log2_floor('least(in_fresh, out_fresh)')}) * 100 + {protocol_bonus('protocol')}"
+    both = lambda e: F.expr(f"CASE WHEN {known} THEN {e} END").desc()
+    return [F.expr(f"NOT {known}"), both(score), both("out_fresh"), both("in_fresh"), F.expr(f"CASE WHEN {known} THEN 0 ELSE {protocol_bonus('protocol')} END").desc(), F.expr(fee_rank("fee")), F.col("pool")]
 
 
 def ranked_edges(edges: DataFrame, balances: DataFrame) -> DataFrame:
@@ -77,8 +78,29 @@ def target_caps(edges: DataFrame, balances: DataFrame) -> DataFrame:
     return e.groupBy(F.col("token_out").alias("token")).agg(F.when(F.count_if(F.col("out_fresh").isNull()) == 0, F.max("out_fresh")).alias("cap"))
 
 
+def caps_within(edges: DataFrame, balances: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
+    """node, target, remaining, cap: the most that a route of at most `remaining` more hops from a node can pay out at a target.
+
+    Only last hops that lie so near count; cap is null (unknown) if the balance of one of them isn't fresh. One join a hop over
+    distinct pairs of tokens, for the targets (target) that are asked for.
+    """
+    e = with_balances(edges, balances)
+    closing = e.join(targets.select("target").distinct(), F.col("token_out") == F.col("target")).groupBy(F.col("token_in").alias("node"), "target").agg(F.max("out_fresh").alias("most"), F.max(F.col("out_fresh").isNull()).alias("open"))
+    steps = edges.select(F.col("token_in").alias("node"), F.col("token_out").alias("next")).distinct()
+    now = closing
+    out = now.withColumn("remaining", F.lit(1))
+    for r in range(2, max_hops + 1):
+        further = steps.join(now.withColumnRenamed("node", "next"), "next").where("next <> target").select("node", "target", "most", "open")
+        now = closing.unionByName(further).groupBy("node", "target").agg(F.max("most").alias("most"), F.max("open").alias("open"))
+        out = out.unionByName(now.withColumn("remaining", F.lit(r)))
+    return out.select("node", "target", "remaining", F.when(~F.col("open"), F.col("most")).alias("cap"))
+
+
 def branch_scores(edges: DataFrame, balances: DataFrame) -> DataFrame:
-    """token_in, token_out, deepest, total: usable input balances of each group of parallel edges; null if none is known."""
+    """token_in, token_out, deepest, total: usable input balances of each group of parallel edges; null if none is known.
+
+    A search ranks only groups that don't close at its target by them.
+    """
     e = with_balances(edges, balances)
     return e.groupBy("token_in", "token_out").agg(F.max("in_fresh").alias("deepest"), F.sum("in_fresh").alias("total"))
 
@@ -93,8 +115,9 @@ def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
 def apply_transfers(balances: DataFrame, transfers: DataFrame) -> DataFrame:
     """balances after an ordered log (seq, token, from_pool, to_pool, value, removed).
 
-    From a balance that is fresh, a holder's transfers add up; a removed (reorganised) log, an underflow or a balance that isn't
-    fresh leave it stale for good. Each log touches two balances; sums are taken per balance in log order.
+    From a balance that is fresh, a holder's transfers add up; a removed (reorganised) log or an underflow makes it stale for good.
+    A touched balance that isn't fresh, unknown ones too, becomes stale. Each log touches two balances; sums are taken per
+    balance in log order.
     """
     sides = transfers.select("seq", "token", F.explode(F.array(F.struct(F.col("from_pool").alias("pool"), (-F.col("value")).alias("delta")), F.struct(F.col("to_pool").alias("pool"), F.col("value").alias("delta")))).alias("s"), "removed")
     sides = sides.select("seq", "token", "s.pool", "s.delta", "removed").where("pool IS NOT NULL")
@@ -103,7 +126,7 @@ def apply_transfers(balances: DataFrame, transfers: DataFrame) -> DataFrame:
     net = running.groupBy("pool", "token").agg(F.sum("delta").alias("net"), F.min("sum").alias("low"), F.max(F.col("removed").cast("int")).alias("undone"))
     out = balances.join(net, ["pool", "token"], "left")
     ok = "state = 'fresh' AND undone = 0 AND amount + low >= 0"
-    return out.select("pool", "token", F.expr(f"CASE WHEN net IS NULL THEN state WHEN {ok} THEN 'fresh' WHEN state = 'unknown' THEN 'unknown' ELSE 'stale' END").alias("state"), F.expr(f"CASE WHEN net IS NULL AND state = 'fresh' THEN amount WHEN {ok} THEN amount + net END").alias("amount"))
+    return out.select("pool", "token", F.expr(f"CASE WHEN net IS NULL THEN state WHEN {ok} THEN 'fresh' ELSE 'stale' END").alias("state"), F.expr(f"CASE WHEN net IS NULL AND state = 'fresh' THEN amount WHEN {ok} THEN amount + net END").alias("amount"))
 
 
 def storage_updates(balances: DataFrame, writes: DataFrame) -> DataFrame:

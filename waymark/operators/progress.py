@@ -29,23 +29,46 @@ def duplicates(heuristic: DataFrame, exhaustive: DataFrame) -> DataFrame:
     return seen.groupBy("request_id").agg(F.count("*").alias("duplicates"))
 
 
-def confidence(phase: Column, fraction: Column, evaluated: Column, last: Column) -> Column:
-    """Basis points: 0 before any result, 7000 in the first phase, 9000 and a tenth of the fraction after it, 10000 at the end."""
-    later = F.when(fraction >= 10_000, COMPLETE).otherwise(F.least(F.lit(COMPLETE), F.lit(HEURISTIC_DONE) + (fraction / 10).cast("int")))
-    return F.when(last, FINAL).when(evaluated == 0, 0).when(phase == "heuristic", 7_000).otherwise(later)
+def confidence(best: Column, fraction: Column, complete: Column, heuristic_done: Column) -> Column:
+    """Basis points: 0 until there is a best; 9999 once all are evaluated; 9000 and a tenth of the fraction once the total is known; 9000 after the first phase; 7000 in it."""
+    share = F.least(F.lit(COMPLETE), F.lit(HEURISTIC_DONE) + F.floor(fraction / 10).cast("int"))
+    return F.when(best.isNull(), 0).when(complete, COMPLETE).when(fraction.isNotNull(), share).when(heuristic_done, HEURISTIC_DONE).otherwise(7_000)
 
 
 def progress(log: DataFrame) -> DataFrame:
-    """The log with evaluated, viable, failed, fraction_bps, confidence_bps, best and best_updated after each quote."""
+    """What an observer is told: a row after each quote (step 0), and at the end of the first phase (1), once the number of candidates is known (2), at the end (3).
+
+    request_id, seq, step, phase, path_key, amount_out, evaluated, viable, failed, fraction_bps (null in the first phase),
+    confidence_bps, best, best_updated. The order is (seq, step); milestones have the seq of the last quote before them.
+    """
     upto = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("request_id")
-    total = F.count("*").over(every)
-    out = log.withColumn("evaluated", F.count("*").over(upto)).withColumn("viable", F.count("amount_out").over(upto)).withColumn("failed", F.col("evaluated") - F.col("viable"))
-    out = out.withColumn("fraction_bps", (F.col("evaluated") * 10_000 / total).cast("int"))
-    out = out.withColumn("confidence_bps", confidence(F.col("phase"), F.col("fraction_bps"), F.col("evaluated"), F.lit(False)))
-    out = out.withColumn("best", F.max("amount_out").over(upto))
-    return out.withColumn("best_updated", F.coalesce(F.col("amount_out") > F.coalesce(F.max("amount_out").over(before), F.lit(-1)), F.lit(False)))
+    first, value = F.col("phase") == "heuristic", F.col("amount_out")
+    early = F.when(first, value)
+    out = log.withColumns({
+        "n": F.count("*").over(every), "nh": F.count_if(first).over(every), "v": F.count(value).over(every), "vh": F.count(early).over(every), "b": F.max(value).over(every), "bh": F.max(early).over(every),
+        "evaluated": F.count("*").over(upto), "viable": F.count(value).over(upto), "best": F.max(value).over(upto), "held": F.max(value).over(before),
+    })
+    none, yes, no, known = F.lit(None).cast("int"), F.lit(True), F.lit(False), F.expr("nh * 10000 div n").cast("int")
+
+    def told(step: int, seq: str, phase: Column, evaluated: str, viable: str, best: str, fraction: Column, conf: Column) -> Column:
+        quote = step == 0
+        return F.struct(
+            F.col(seq).cast("int").alias("seq"), F.lit(step).alias("step"), phase.alias("phase"), (F.col("path_key") if quote else F.lit(None).cast("string")).alias("path_key"), (value if quote else F.lit(None).cast("long")).alias("amount_out"),
+            F.col(evaluated).alias("evaluated"), F.col(viable).alias("viable"), (F.col(evaluated) - F.col(viable)).alias("failed"), fraction.alias("fraction_bps"), conf.cast("int").alias("confidence_bps"), F.col(best).alias("best"),
+            (F.coalesce(value > F.coalesce("held", F.lit(-1)), no) if quote else no).alias("best_updated"),
+        )
+
+    share = F.when(~first, F.expr("evaluated * 10000 div n").cast("int"))
+    quote = told(0, "seq", F.col("phase"), "evaluated", "viable", "best", share, confidence(F.col("best"), share, ~first & (F.col("evaluated") >= F.col("n")), no))
+    done = told(1, "nh", F.lit("heuristic"), "nh", "vh", "bh", none, confidence(F.col("bh"), none, no, yes))
+    total = told(2, "nh", F.lit("exhaustive"), "nh", "vh", "bh", known, confidence(F.col("bh"), known, F.col("nh") >= F.col("n"), yes))
+    end = told(3, "n", F.lit("exhaustive"), "n", "v", "b", F.lit(FINAL), F.when(F.col("b").isNull(), 0).otherwise(FINAL))
+    # Milestones hang on the last quote before them; where the first phase has none, on the first quote.
+    last_first, last = F.col("seq") == F.greatest("nh", F.lit(1)), F.col("seq") == F.col("n")
+    rows = F.filter(F.array(quote, F.when(last_first, done), F.when(last_first, total), F.when(last, end)), lambda r: r.isNotNull())
+    return out.select("request_id", F.inline(rows))
 
 
 def best_updates(log: DataFrame) -> DataFrame:
@@ -67,38 +90,72 @@ def running_top(log: DataFrame, k: int) -> DataFrame:
 
 
 def satisfied(t: Threshold) -> Column:
-    """Whether a row of progress() meets a threshold."""
+    """Whether a row of progress() meets a threshold: never before there is a best; a fraction that isn't known meets none."""
     neutral = F.lit(t.every)
     a = neutral if t.confidence_bps is None else F.col("confidence_bps") >= t.confidence_bps
-    b = neutral if t.fraction_bps is None else F.col("fraction_bps") >= t.fraction_bps
-    return (a & b) if t.every else (a | b)
+    b = neutral if t.fraction_bps is None else F.coalesce(F.col("fraction_bps") >= t.fraction_bps, F.lit(False))
+    return ((a & b) if t.every else (a | b)) & F.col("best").isNotNull()
 
 
 def first_satisfied(events: DataFrame, t: Threshold) -> DataFrame:
-    """request_id, at: the first seq that meets the threshold; null where none does."""
-    return events.groupBy("request_id").agg(F.min(F.when(satisfied(t), F.col("seq"))).alias("at"))
+    """request_id, at: the first (seq, step) that meets the threshold; null where none does."""
+    return events.groupBy("request_id").agg(F.min(F.when(satisfied(t), F.struct("seq", "step"))).alias("at"))
+
+
+def searched(log: DataFrame, config: Streaming) -> DataFrame:
+    """The rows of progress() that the search comes to: of the first phase only where the completion asks no more, and up to the stop policy.
+
+    stopped: where the stop policy ended the search (a struct of seq and step), else null.
+    """
+    events = progress(log if config.completion == "exhaustive" else log.where("phase = 'heuristic'"))
+    if config.completion != "exhaustive":
+        events = events.where("step < 2")
+    if not config.stop:
+        return events.withColumn("stopped", F.lit(None).cast("struct<seq: int, step: int>"))
+    events = events.join(first_satisfied(events, config.stop).withColumnRenamed("at", "stopped"), "request_id")
+    return events.where("stopped IS NULL OR struct(seq, step) <= stopped")
 
 
 def emitted(log: DataFrame, config: Streaming) -> DataFrame:
-    """The events that an observer gets: up to the stop policy, from the release of the first results, improvements or all viable."""
-    events = progress(log)
-    if config.stop:
-        stop = first_satisfied(events, config.stop)
-        events = events.join(stop, "request_id").where("at IS NULL OR seq <= at").drop("at")
-    if config.initial:
-        release = first_satisfied(events, config.initial)
-        events = events.join(release, "request_id").where("at IS NULL OR seq >= at").drop("at")
-    return events if config.emit_all_viable else events.where("best_updated")
-
-
-def report(log: DataFrame, stop: Threshold | None = None) -> DataFrame:
-    """request_id, finality, evaluated, viable, failed, best, improvements, heuristic_was_final (only if exhaustive)."""
-    events = progress(log)
-    if stop:
-        events = events.join(first_satisfied(events, stop), "request_id").where("at IS NULL OR seq <= at")
-        finality = F.when(F.max("at").isNotNull(), "stop_policy_satisfied").otherwise("exhaustive")
+    """request_id, seq, event, path_key, amount_out, top: what an observer gets.
+
+    `best`: a better route. `route`: a viable one that enters the best top_k, or any if all are asked for. With an initial policy
+    nothing is told before it is met; then `initial` brings the best and the top routes (path keys) found by then, once; where it is
+    never met, at the end. The quote that releases the results isn't told again.
+    """
+    events = searched(log, config)
+    quotes = events.where("step = 0 AND amount_out IS NOT NULL")
+    none = F.lit(None).cast("array<string>").alias("top")
+    if config.emit_all_viable:
+        found = quotes.select("request_id", "seq", "path_key", "amount_out")
     else:
-        finality = F.lit("exhaustive")
+        found = running_top(quotes.select("request_id", "seq", "path_key", "amount_out"), config.top_k).select("request_id", "seq", "path_key", "amount_out")
+    told = quotes.where("best_updated").select("request_id", "seq", F.lit("best").alias("event"), "path_key", "amount_out", none)
+    told = told.unionByName(found.select("request_id", "seq", F.lit("route").alias("event"), "path_key", "amount_out", none))
+    if not config.initial:
+        return told
+    release = events.groupBy("request_id").agg(F.min(F.when(satisfied(config.initial), F.col("seq"))).alias("at"), F.max("seq").alias("last")).select("request_id", F.coalesce("at", "last").alias("at"))
+    w = Window.partitionBy("request_id").orderBy(F.desc("amount_out"), "seq")
+    held = quotes.join(release, "request_id").where("seq <= at").withColumn("n", F.row_number().over(w)).where(F.col("n") <= config.top_k)
+    first = held.groupBy("request_id").agg(F.max("at").alias("seq"), F.min_by("path_key", "n").alias("path_key"), F.max("amount_out").alias("amount_out"), F.array_sort(F.collect_list(F.struct("n", "path_key"))).alias("t"))
+    first = first.select("request_id", "seq", F.lit("initial").alias("event"), "path_key", "amount_out", F.col("t.path_key").alias("top"))
+    return told.join(release, "request_id").where("seq > at").drop("at").unionByName(first)
+
+
+FINALITY = {"exhaustive": "exhaustive", "heuristic": "heuristic_only", "fast_lane": "fast_lane_only"}
+
+
+def report(log: DataFrame, config: Streaming) -> DataFrame:
+    """request_id, finality, evaluated, viable, failed, best, improvements, heuristic_was_final (only if exhaustive).
+
+    finality: stop_policy_satisfied, or what the completion names. improvements counts better routes after a first phase that had one.
+    """
+    events = searched(log, config)
+    finality = F.when(F.max("stopped").isNotNull(), "stop_policy_satisfied").otherwise(FINALITY[config.completion])
+    quote = F.col("step") == 0
     first = F.max(F.when(F.col("phase") == "heuristic", F.col("amount_out")))
-    out = events.groupBy("request_id").agg(finality.alias("finality"), F.count("*").alias("evaluated"), F.count("amount_out").alias("viable"), F.max("amount_out").alias("best"), F.count_if(F.col("best_updated") & (F.col("phase") == "exhaustive")).alias("improvements"), first.alias("_h"))
+    out = events.groupBy("request_id").agg(
+        finality.alias("finality"), F.count_if(quote).alias("evaluated"), F.count("amount_out").alias("viable"), F.max("amount_out").alias("best"),
+        F.when(first.isNotNull(), F.count_if(F.col("best_updated") & (F.col("phase") == "exhaustive"))).otherwise(0).alias("improvements"), first.alias("_h"),
+    )
     return out.select("request_id", "finality", "evaluated", "viable", (F.col("evaluated") - F.col("viable")).alias("failed"), "best", "improvements", F.when(F.col("finality") == "exhaustive", F.coalesce(F.col("_h") == F.col("best"), F.lit(False))).alias("heuristic_was_final"))

@@ -24,9 +24,11 @@ def start(requests: DataFrame, search: Search, cycles: bool = False) -> DataFram
     )
 
 
-def expand(frontier: DataFrame, edges: DataFrame, price: str, last: bool, cycles: bool) -> DataFrame:
+def expand(frontier: DataFrame, edges: DataFrame, price: str, last: bool, cycles: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     """One hop: each prefix with each edge that keeps the path simple; amount is null where the quote fails.
 
+    carry: columns of the edge that stay with the new prefix.
+
     A pool is used once, a token visited once, but a cycle may close on its base. Where connectors are given, only they and the
     target may follow. In the last hop the target is part of the join key.
     """
@@ -39,7 +41,7 @@ def expand(frontier: DataFrame, edges: DataFrame, price: str, last: bool, cycles
     grown = frontier.join(e, on).withColumn("out", quote)
     return grown.select(
         *KEEP, "connectors", F.col("token_out").alias("cur"), F.col("out").alias("amount"), F.concat("tokens", F.array("token_out")).alias("tokens"),
-        F.concat("pools", F.array("pool")).alias("pools"), F.concat("amounts", F.array("out")).alias("amounts"),
+        F.concat("pools", F.array("pool")).alias("pools"), F.concat("amounts", F.array("out")).alias("amounts"), *carry,
     )
 
 
@@ -106,10 +108,25 @@ def trace(routes: DataFrame) -> DataFrame:
     return routes.select("request_id", "path_key", F.explode(steps).alias("h")).select("request_id", "path_key", "h.*")
 
 
-def valid_traces(routes: DataFrame) -> DataFrame:
-    """request_id, path_key, ok: lengths agree, amounts are positive, tokens and pools don't repeat, the last amount is the output."""
-    ok = F.expr("size(tokens) = size(pools) + 1 AND size(amounts) = size(pools) AND amounts[size(amounts) - 1] <=> amount_out AND size(array_distinct(pools)) = size(pools) AND forall(amounts, a -> a IS NOT NULL)")
-    return routes.select("request_id", "path_key", ok.alias("ok"))
+def valid_traces(routes: DataFrame, hops: DataFrame | None = None) -> DataFrame:
+    """request_id, path_key, ok, problem of routes and the traces of their quotes.
+
+    hops: rows of trace(), which may come from elsewhere; by default those of the routes. A trace is refused if the amount in is not
+    positive, if it has not the path's hops, if a hop's token or amount isn't what the hop before gave, or if it ends elsewhere
+    than at the route's output.
+    """
+    path = "transform(pools, (p, i) -> struct(p AS pool, tokens[i] AS token_in, tokens[i + 1] AS token_out))"
+    if hops is None:
+        found = routes.withColumn("steps", F.expr("transform(pools, (p, i) -> struct(i + 1 AS hop, p AS pool, tokens[i] AS token_in, tokens[i + 1] AS token_out, CASE WHEN i = 0 THEN amount_in ELSE amounts[i - 1] END AS amount_in, amounts[i] AS amount_out))"))
+    else:
+        given = hops.groupBy("request_id", "path_key").agg(F.array_sort(F.collect_list(F.struct("hop", "pool", "token_in", "token_out", "amount_in", "amount_out"))).alias("steps"))
+        found = routes.join(given, ["request_id", "path_key"], "left").withColumn("steps", F.coalesce("steps", F.expr("CAST(array() AS array<struct<hop: int, pool: bigint, token_in: bigint, token_out: bigint, amount_in: bigint, amount_out: bigint>>)")))
+    problem = F.expr(f"""CASE WHEN NOT coalesce(amount_in > 0, false) THEN 'amount_in' WHEN size(steps) <> size(pools) THEN 'length'
+      WHEN NOT transform(steps, s -> struct(s.pool AS pool, s.token_in AS token_in, s.token_out AS token_out)) <=> {path} THEN 'hops'
+      WHEN exists(sequence(1, size(steps) - 1, IF(size(steps) > 1, 1, -1)), i -> i > 0 AND size(steps) > 1 AND NOT steps[i].token_in <=> steps[i - 1].token_out) THEN 'token_continuity'
+      WHEN NOT steps[0].amount_in <=> amount_in OR exists(sequence(1, size(steps) - 1, IF(size(steps) > 1, 1, -1)), i -> i > 0 AND size(steps) > 1 AND NOT steps[i].amount_in <=> steps[i - 1].amount_out) THEN 'amount_continuity'
+      WHEN NOT element_at(steps, -1).amount_out <=> amount_out OR amount_out IS NULL THEN 'final_amount' END""")
+    return found.select("request_id", "path_key", problem.isNull().alias("ok"), problem.alias("problem"))
 
 
 def quote_paths(paths: DataFrame, edges: DataFrame, price: str = "constant_product") -> DataFrame:

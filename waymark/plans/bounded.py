@@ -21,9 +21,9 @@ deg AS (SELECT t AS token, count(*) AS degree FROM (SELECT token_in t FROM redge
 scores AS (SELECT d.token, coalesce(known_balances,0) AS known_balances, degree, coalesce(log_sum,0) AS log_sum FROM deg d LEFT JOIN
   (SELECT token, count(fresh) AS known_balances, CAST(sum(CASE WHEN fresh>0 THEN {LOG2.format(x="fresh")} END) AS BIGINT) AS log_sum FROM ub GROUP BY token) h ON h.token=d.token),
 eb AS (SELECT e.pool, e.token_in, e.token_out, e.r_in, e.r_out, e.fee, e.protocol, i.fresh AS in_fresh, o.fresh AS out_fresh FROM redge e LEFT JOIN ub i ON i.pool=e.pool AND i.token=e.token_in LEFT JOIN ub o ON o.pool=e.pool AND o.token=e.token_out),
-rank AS (SELECT *, CAST(row_number() OVER (PARTITION BY token_in, token_out ORDER BY CASE WHEN in_fresh IS NOT NULL AND out_fresh IS NOT NULL THEN 0 ELSE 1 END,
-  CASE WHEN in_fresh IS NOT NULL AND out_fresh IS NOT NULL THEN {LOG2.format(x="least(in_fresh, out_fresh)")}*100 ELSE 0 END + {BONUS} DESC,
-  coalesce(out_fresh,-1) DESC, coalesce(in_fresh,-1) DESC, coalesce(fee,9223372036854775807), pool) AS INTEGER) AS position FROM eb)"""
+rank AS (SELECT *, CAST(row_number() OVER (PARTITION BY token_in, token_out ORDER BY CASE WHEN both_known THEN 0 ELSE 1 END, CASE WHEN both_known THEN {LOG2.format(x="least(in_fresh, out_fresh)")}*100+{BONUS} ELSE 0 END DESC,
+  CASE WHEN both_known THEN out_fresh ELSE 0 END DESC, CASE WHEN both_known THEN in_fresh ELSE 0 END DESC, CASE WHEN both_known THEN 0 ELSE {BONUS} END DESC, coalesce(fee,9223372036854775807), pool) AS INTEGER) AS position
+  FROM (SELECT *, in_fresh IS NOT NULL AND out_fresh IS NOT NULL AS both_known FROM eb) x)"""
 
 
 def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.changes(spark, sf_dir).selectExpr("seq", "seq % 25 AS token", "CASE WHEN seq % 4 <> 0 THEN pool_id END AS from_pool", "CASE WHEN seq % 3 <> 0 THEN pool_id + 10000 END AS to_pool", "k AS value", "removed AND seq % 50 = 0 AS removed")
 
 
-@query(TRANSFERS + """ SELECT b.pool, b.token, CASE WHEN net IS NULL THEN state WHEN state='fresh' AND undone=0 AND amount+low>=0 THEN 'fresh' WHEN state='unknown' THEN 'unknown' ELSE 'stale' END AS state,
+@query(TRANSFERS + """ SELECT b.pool, b.token, CASE WHEN net IS NULL THEN state WHEN state='fresh' AND undone=0 AND amount+low>=0 THEN 'fresh' ELSE 'stale' END AS state,
   CAST(CASE WHEN net IS NULL AND state='fresh' THEN amount WHEN state='fresh' AND undone=0 AND amount+low>=0 THEN amount+net END AS BIGINT) AS amount FROM balance b LEFT JOIN net n ON n.pool=b.pool AND n.token=b.token""")
 def balance_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return liquidity.apply_transfers(fx.balances(spark, sf_dir), transfers(spark, sf_dir))
@@ -163,23 +163,22 @@ def beam_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heuristic.beam(_front(spark, sf_dir), 16).select("request_id", "cur", F.element_at("pools", 1).alias("pool"), "amount")
 
 
-TWO = """, few AS (SELECT * FROM redge WHERE pool%5<3 AND token_in<8 AND token_out<8),
-two AS (SELECT r.request_id, e.token_out AS cur, [r.token_in, e.token_out] AS toks, [e.pool] AS pools, (r.amount_in*9970*e.r_out)//(e.r_in*10000+r.amount_in*9970) AS amount FROM request r JOIN few e ON e.token_in=r.token_in WHERE r.token_in<8
-  AND e.token_out<>r.token_out),
-front AS (SELECT * FROM two UNION ALL SELECT request_id, e.token_out, list_append(toks, e.token_out), list_append(pools, e.pool), (amount*9970*e.r_out)//(e.r_in*10000+amount*9970) FROM two t JOIN few e ON e.token_in=t.cur
-  WHERE NOT list_contains(toks, e.token_out) AND NOT list_contains(pools, e.pool)),
-lab AS (SELECT *, array_to_string(pools,'|') AS k FROM front)"""
+#: Prefixes of one and two hops; of parallel edges the one with the largest output.
+TWO = """, one AS (SELECT request_id, target, cur, toks, pools, amount FROM (SELECT r.request_id, r.token_out AS target, e.token_out AS cur, [r.token_in, e.token_out] AS toks, [e.pool] AS pools, (r.amount_in*9970*e.r_out)//(e.r_in*10000+r.amount_in*9970) AS amount,
+  row_number() OVER (PARTITION BY r.request_id, e.token_out ORDER BY (r.amount_in*9970*e.r_out)//(e.r_in*10000+r.amount_in*9970) DESC, e.pool) AS n FROM request r JOIN redge e ON e.token_in=r.token_in WHERE e.token_out<>r.token_out) x WHERE n=1),
+two AS (SELECT request_id, target, cur, toks, pools, amount FROM (SELECT t.request_id, t.target, e.token_out AS cur, list_append(toks, e.token_out) AS toks, list_append(pools, e.pool) AS pools, (t.amount*9970*e.r_out)//(e.r_in*10000+t.amount*9970) AS amount,
+  row_number() OVER (PARTITION BY t.request_id, t.pools, e.token_out ORDER BY (t.amount*9970*e.r_out)//(e.r_in*10000+t.amount*9970) DESC, e.pool) AS n FROM one t JOIN redge e ON e.token_in=t.cur
+  WHERE NOT list_contains(toks, e.token_out) AND NOT list_contains(pools, e.pool) AND e.token_out<>t.target) x WHERE n=1),
+lab AS (SELECT *, array_to_string(pools,'|') AS k FROM (SELECT * FROM one UNION ALL SELECT * FROM two) z)"""
 
 
 @query(LIQ + TWO + """ SELECT request_id, cur, k AS path_key, amount FROM lab a WHERE NOT EXISTS (SELECT 1 FROM lab b WHERE b.request_id=a.request_id AND b.cur=a.cur AND b.k<>a.k AND b.amount>=a.amount
   AND list_has_all(a.toks, b.toks) AND list_has_all(a.pools, b.pools) AND (NOT (a.amount=b.amount AND len(a.toks)=len(b.toks) AND len(a.pools)=len(b.pools)) OR b.k<a.k))""")
 def prefix_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = ready(spark, sf_dir).where("pool % 5 < 3 AND token_in < 8 AND token_out < 8")
-    front = routes.start(fx.requests(spark, sf_dir).where("token_in < 8").withColumn("token_out", F.lit(-1).cast("long")), Search())
-    r = fx.requests(spark, sf_dir).select("request_id", F.col("token_out").alias("t"))
-    one = routes.expand(front, few, "constant_product", False, False).join(r, "request_id").where("cur <> t").drop("t")
-    two = routes.expand(one, few, "constant_product", False, False)
-    return heuristic.undominated(one.unionByName(two)).select("request_id", "cur", F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"), "amount")
+    edges = ready(spark, sf_dir)
+    grow = lambda front: heuristic.keep_best_edges(routes.expand(front, edges, "constant_product", False, False).where("cur <> target"), 1)
+    one = grow(routes.start(fx.requests(spark, sf_dir), Search()))
+    return heuristic.undominated(one.unionByName(grow(one))).select("request_id", "cur", F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"), "amount")
 
 
 @query(LIQ + PREFIX + """, cap AS (SELECT token_out AS token, CASE WHEN count(*)=count(out_fresh) THEN max(out_fresh) END AS cap FROM eb WHERE pool%11<>0 AND pool%7<>0 GROUP BY token_out),
@@ -211,9 +210,32 @@ def beam_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*SHOWN)
 
 
-@query(LIQ + """, hop AS (SELECT DISTINCT token_in, token_out FROM redge WHERE pool%5=0), tg AS (SELECT DISTINCT token_out AS target FROM request WHERE request_id<5),
+@query()
+def beam_routes_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded search with shortlist, refinement pass and balance pruning."""
+    quick = Heuristic(shortlist=Heuristic.latency_first().shortlist, balance_pruning=True)
+    return heuristic.find(fx.requests(spark, sf_dir), ready(spark, sf_dir), Search(max_hops=3, mode="heuristic", heuristic=quick), fx.balances(spark, sf_dir)).select(*SHOWN)
+
+
+@query(LIQ + """, br AS (SELECT token_in, token_out, count(*) AS edges, max(in_fresh) AS deepest, sum(in_fresh) AS total FROM eb GROUP BY token_in, token_out)
+SELECT request_id, br.token_out, edges, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN br.token_out=r.token_out THEN 0 WHEN deepest IS NOT NULL THEN 1 ELSE 2 END,
+  CASE WHEN br.token_out<>r.token_out THEN coalesce(deepest,-1) ELSE 0 END DESC, CASE WHEN br.token_out<>r.token_out THEN coalesce(total,-1) ELSE 0 END DESC, CASE WHEN br.token_out IN (3,5,7) THEN 0 ELSE 1 END, degree DESC, br.token_out) AS INTEGER) AS place
+FROM request r JOIN br ON br.token_in=r.token_in JOIN deg ON deg.token=br.token_out""")
+def hop_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heuristic.sorted_groups(fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir), [3, 5, 7])
+
+
+@query(LIQ + """, cl AS (SELECT token_in AS node, token_out AS target, max(out_fresh) AS most, bool_or(out_fresh IS NULL) AS open FROM eb GROUP BY 1, 2), hp AS (SELECT DISTINCT token_in, token_out FROM redge),
+two AS (SELECT h.token_in AS node, c.target, max(most) AS most, bool_or(open) AS open FROM hp h JOIN cl c ON c.node=h.token_out AND h.token_out<>c.target GROUP BY 1, 2),
+both_hops AS (SELECT node, target, max(most) AS most, bool_or(open) AS open FROM (SELECT * FROM cl UNION ALL SELECT * FROM two) x GROUP BY 1, 2)
+SELECT node, target, CAST(1 AS INTEGER) AS remaining, CASE WHEN NOT open THEN most END AS cap FROM cl WHERE target IN (SELECT token_out FROM request) UNION ALL SELECT node, target, 2, CASE WHEN NOT open THEN most END FROM both_hops WHERE target IN (SELECT token_out FROM request)""")
+def caps_by_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return liquidity.caps_within(ready(spark, sf_dir), fx.balances(spark, sf_dir), fx.requests(spark, sf_dir).select(F.col("token_out").alias("target")), 2)
+
+
+@query(LIQ + """, hop AS (SELECT DISTINCT token_in, token_out FROM redge), tg AS (SELECT DISTINCT token_out AS target FROM request),
 rch AS (SELECT target AS node, target, 0 AS need FROM tg UNION SELECT h.token_in, r.target, need+1 FROM rch r JOIN hop h ON h.token_out=r.node WHERE need<2)
 SELECT node, target, min(need) AS need FROM rch GROUP BY node, target""", recursive=True)
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fx.requests(spark, sf_dir).where("request_id < 5").select(F.col("token_out").alias("target")).distinct()
-    return heuristic.reach(ready(spark, sf_dir).where("pool % 5 = 0"), t, 2)
+    t = fx.requests(spark, sf_dir).select(F.col("token_out").alias("target")).distinct()
+    return heuristic.reach(ready(spark, sf_dir), t, 2)

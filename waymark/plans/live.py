@@ -10,26 +10,34 @@ from waymark.operators import incremental, progress, routes
 from waymark.plans.paths import batch
 from waymark.plans.registry import query, walk
 from waymark.sources import fixtures as fx
+from waymark.streaming.store import written
 
 #: The first phase here: direct routes and those over connectors 3, 5 and 7.
 LOG = ", " + walk("request", 2) + """, h AS (SELECT * FROM route WHERE hops=1 OR toks[2] IN (3,5,7)),
 log AS (SELECT request_id, phase, path_key, amount_out, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE phase WHEN 'heuristic' THEN 0 ELSE 1 END, hops, path_key) AS INTEGER) AS seq
   FROM (SELECT request_id, hops, path_key, CASE WHEN amount_out%9<>0 THEN amount_out END AS amount_out, CASE WHEN hops=1 OR toks[2] IN (3,5,7) THEN 'heuristic' ELSE 'exhaustive' END AS phase FROM route) x),
-ev AS (SELECT *, count(*) OVER u AS evaluated, count(amount_out) OVER u AS viable, CAST(count(*) OVER u * 10000 // count(*) OVER (PARTITION BY request_id) AS INTEGER) AS fraction_bps, max(amount_out) OVER u AS best,
-  coalesce(amount_out>coalesce(max(amount_out) OVER (PARTITION BY request_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),-1), false) AS best_updated FROM log
+tot AS (SELECT request_id, count(*) AS n, count_if(phase='heuristic') AS nh, count(amount_out) AS v, count(CASE WHEN phase='heuristic' THEN amount_out END) AS vh, max(amount_out) AS b, max(CASE WHEN phase='heuristic' THEN amount_out END) AS bh FROM log GROUP BY request_id),
+ev AS (SELECT l.*, n, count(*) OVER u AS evaluated, count(amount_out) OVER u AS viable, max(amount_out) OVER u AS best,
+  coalesce(amount_out>coalesce(max(amount_out) OVER (PARTITION BY request_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),-1), false) AS best_updated FROM log l JOIN tot USING (request_id)
   WINDOW u AS (PARTITION BY request_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-pr AS (SELECT *, evaluated-viable AS failed, CAST(CASE WHEN phase='heuristic' THEN 7000 WHEN fraction_bps>=10000 THEN 9999 ELSE least(9999, 9000+fraction_bps//10) END AS INTEGER) AS confidence_bps FROM ev)"""
+told AS (SELECT request_id, seq, 0 AS step, phase, path_key, amount_out, evaluated, viable, CASE WHEN phase='exhaustive' THEN evaluated*10000//n END AS f, n, best, best_updated, false AS done FROM ev
+  UNION ALL SELECT request_id, nh, 1, 'heuristic', NULL, NULL, nh, vh, NULL, n, bh, false, true FROM tot
+  UNION ALL SELECT request_id, nh, 2, 'exhaustive', NULL, NULL, nh, vh, nh*10000//n, n, bh, false, true FROM tot
+  UNION ALL SELECT request_id, n, 3, 'exhaustive', NULL, NULL, n, v, 10000, n, b, false, true FROM tot),
+pr AS (SELECT request_id, CAST(seq AS INTEGER) AS seq, step, seq*4+step AS pos, phase, path_key, amount_out, evaluated, viable, evaluated-viable AS failed, CAST(f AS INTEGER) AS fraction_bps, best, best_updated,
+  CAST(CASE WHEN best IS NULL THEN 0 WHEN step=3 THEN 10000 WHEN f IS NOT NULL AND evaluated>=n THEN 9999 WHEN f IS NOT NULL THEN least(9999, 9000+f//10) WHEN done THEN 9000 ELSE 7000 END AS INTEGER) AS confidence_bps FROM told)"""
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote fails where the output is a multiple of 9."""
     every = batch(spark, sf_dir).withColumn("amount_out", F.expr("CASE WHEN amount_out % 9 <> 0 THEN amount_out END"))
-    return progress.quote_log(every.where("hops = 1 OR tokens[1] IN (3, 5, 7)"), every)
+    return written(progress.quote_log(every.where("hops = 1 OR tokens[1] IN (3, 5, 7)"), every))
 
 
-@query(LOG + " SELECT request_id, seq, phase, evaluated, viable, failed, fraction_bps, confidence_bps, best, best_updated FROM pr", recursive=True)
+@query(LOG + " SELECT request_id, seq, step, phase, evaluated, viable, failed, fraction_bps, confidence_bps, best, best_updated FROM pr WHERE best_updated OR step>0", recursive=True)
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.progress(_log(spark, sf_dir)).select("request_id", "seq", "phase", "evaluated", "viable", "failed", "fraction_bps", "confidence_bps", "best", "best_updated")
+    """Progress at every improvement and milestone."""
+    return progress.progress(_log(spark, sf_dir)).where("best_updated OR step > 0").select("request_id", "seq", "step", "phase", "evaluated", "viable", "failed", "fraction_bps", "confidence_bps", "best", "best_updated")
 
 
 @query(LOG + " SELECT request_id, seq, phase, path_key, amount_out FROM pr WHERE best_updated", recursive=True)
@@ -38,29 +46,42 @@ def stream_best_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LOG + """ SELECT request_id, seq, path_key, amount_out, rank FROM (SELECT a.request_id, a.seq, a.path_key, a.amount_out, CAST(1+count(b.seq) AS INTEGER) AS rank FROM log a LEFT JOIN log b
-  ON b.request_id=a.request_id AND b.seq<a.seq AND b.amount_out>=a.amount_out WHERE a.amount_out IS NOT NULL GROUP BY ALL) x WHERE rank<=3""", recursive=True)
+  ON b.request_id=a.request_id AND b.seq<a.seq AND b.amount_out>=a.amount_out AND b.phase='heuristic' WHERE a.amount_out IS NOT NULL AND a.phase='heuristic' GROUP BY ALL) x WHERE rank<=3""", recursive=True)
 def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.running_top(_log(spark, sf_dir), 3)
+    """The first phase's quotes that enter the best three."""
+    return progress.running_top(_log(spark, sf_dir).where("phase = 'heuristic'"), 3)
 
 
-STOP = ", st AS (SELECT request_id, min(CASE WHEN confidence_bps>=9200 AND fraction_bps>=3000 THEN seq END) AS stop FROM pr GROUP BY request_id)"
+STOP = ", st AS (SELECT request_id, min(CASE WHEN confidence_bps>=9200 AND fraction_bps>=3000 THEN pos END) AS stop FROM pr GROUP BY request_id)"
 
 
-@query(LOG + STOP + " SELECT request_id, seq, best FROM pr JOIN st USING (request_id) WHERE (stop IS NULL OR seq<=stop) AND best_updated", recursive=True)
+@query(LOG + STOP + " SELECT request_id, seq, path_key, amount_out FROM pr JOIN st USING (request_id) WHERE (stop IS NULL OR pos<=stop) AND best_updated", recursive=True)
 def stop_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.emitted(_log(spark, sf_dir), Streaming(stop=Threshold(9200, 3000))).select("request_id", "seq", "best")
+    told = progress.emitted(_log(spark, sf_dir), Streaming(stop=Threshold(9200, 3000)))
+    return told.where("event = 'best'").select("request_id", "seq", "path_key", "amount_out")
 
 
-@query(LOG + ", st AS (SELECT request_id, min(CASE WHEN confidence_bps>=9100 OR fraction_bps>=500 THEN seq END) AS rel FROM pr GROUP BY request_id) SELECT request_id, seq, amount_out FROM pr JOIN st USING (request_id) WHERE rel IS NULL OR seq>=rel", recursive=True)
+@query(LOG + """, st AS (SELECT request_id, coalesce(min(CASE WHEN best IS NOT NULL AND (confidence_bps>=9100 OR coalesce(fraction_bps>=500, false)) THEN seq END), max(seq)) AS rel FROM pr GROUP BY request_id),
+held AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, seq) AS n FROM pr JOIN st USING (request_id) WHERE step=0 AND amount_out IS NOT NULL AND seq<=rel)
+SELECT request_id, CAST(max(rel) AS INTEGER) AS seq, 'initial' AS event, max(amount_out) AS amount_out, string_agg(path_key, ',' ORDER BY n) AS top FROM held WHERE n<=3 GROUP BY request_id
+UNION ALL SELECT request_id, seq, 'best', amount_out, NULL FROM pr JOIN st USING (request_id) WHERE best_updated AND seq>rel""", recursive=True)
 def initial_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.emitted(_log(spark, sf_dir), Streaming(initial=Threshold(9100, 500, every=False), emit_all_viable=True)).select("request_id", "seq", "amount_out")
+    """The first results with their top routes once the policy is met, then every better route."""
+    told = progress.emitted(_log(spark, sf_dir), Streaming(top_k=3, initial=Threshold(9100, 500, every=False), emit_all_viable=True))
+    return told.where("event <> 'route'").select("request_id", "seq", "event", "amount_out", F.array_join("top", ",").alias("top"))
 
 
-@query(LOG + STOP + """ SELECT request_id, CASE WHEN max(stop) IS NOT NULL THEN 'stop_policy_satisfied' ELSE 'exhaustive' END AS finality, count(*) AS evaluated, count(amount_out) AS viable, count(*)-count(amount_out) AS failed, max(amount_out) AS best,
-  CAST(count_if(best_updated AND phase='exhaustive') AS BIGINT) AS improvements, CASE WHEN max(stop) IS NULL THEN coalesce(max(CASE WHEN phase='heuristic' THEN amount_out END)=max(amount_out), false) END AS heuristic_was_final
-  FROM pr JOIN st USING (request_id) WHERE stop IS NULL OR seq<=stop GROUP BY request_id""", recursive=True)
+@query(LOG + STOP + """ SELECT request_id, CASE WHEN max(stop) IS NOT NULL THEN 'stop_policy_satisfied' ELSE 'exhaustive' END AS finality, CAST(count_if(step=0) AS BIGINT) AS evaluated, count(amount_out) AS viable, CAST(count_if(step=0)-count(amount_out) AS BIGINT) AS failed, max(amount_out) AS best,
+  CAST(CASE WHEN max(CASE WHEN phase='heuristic' THEN amount_out END) IS NOT NULL THEN count_if(best_updated AND phase='exhaustive') ELSE 0 END AS BIGINT) AS improvements, CASE WHEN max(stop) IS NULL THEN coalesce(max(CASE WHEN phase='heuristic' THEN amount_out END)=max(amount_out), false) END AS heuristic_was_final
+  FROM pr JOIN st USING (request_id) WHERE stop IS NULL OR pos<=stop GROUP BY request_id""", recursive=True)
 def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.report(_log(spark, sf_dir), Threshold(9200, 3000))
+    return progress.report(_log(spark, sf_dir), Streaming(stop=Threshold(9200, 3000)))
+
+
+@query(LOG + """ SELECT request_id, 'heuristic_only' AS finality, CAST(count(*) AS BIGINT) AS evaluated, count(amount_out) AS viable, max(amount_out) AS best FROM pr WHERE step=0 AND phase='heuristic' GROUP BY request_id""", recursive=True)
+def heuristic_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that is asked for its first phase only."""
+    return progress.report(_log(spark, sf_dir), Streaming(completion="heuristic")).select("request_id", "finality", "evaluated", "viable", "best")
 
 
 @query(LOG + " SELECT request_id, count(*) AS duplicates FROM h GROUP BY request_id", recursive=True)
@@ -69,13 +90,13 @@ def stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.duplicates(every.where("hops = 1 OR tokens[1] IN (3, 5, 7)"), every)
 
 
-CHANGED = ", chg AS (SELECT DISTINCT pool_id AS pool FROM change WHERE seq<40 AND NOT removed AND pool_id IN (SELECT pool_id FROM pool)), nedge AS (SELECT pool, token_in, token_out, CASE WHEN pool IN (SELECT pool FROM chg) THEN r_in+500 ELSE r_in END AS r_in, r_out FROM edge)"
+CHANGED = ", chg AS (SELECT DISTINCT pool_id AS pool FROM change WHERE NOT removed AND kind='purchase' AND pool_id IN (SELECT pool_id FROM pool)), nedge AS (SELECT pool, token_in, token_out, CASE WHEN pool IN (SELECT pool FROM chg) THEN r_in+500 ELSE r_in END AS r_in, r_out FROM edge)"
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The pools of the first log entries, and the edges after these pools' inputs grew."""
+    """The pools of all purchases in the log, and the edges after these pools' inputs grew."""
     pools = fx.pools(spark, sf_dir).select(F.col("pool_id").alias("pool"))
-    logs = fx.changes(spark, sf_dir).where("seq < 40").withColumnRenamed("pool_id", "pool")
+    logs = fx.changes(spark, sf_dir).where("kind = 'purchase'").withColumnRenamed("pool_id", "pool")
     hit, _ = incremental.affected(pools, logs)
     edges = fx.edges(spark, sf_dir).join(hit.withColumn("hit", F.lit(True)), "pool", "left").withColumn("r_in", F.expr("CASE WHEN hit THEN r_in + 500 ELSE r_in END")).drop("hit")
     return hit, edges
@@ -98,10 +119,11 @@ REFRESH = CHANGED + ", " + walk("request", 2) + """, oldb AS (SELECT request_id,
 @query(REFRESH + walk("request", 2, edge="nedge").replace("walk AS", "walk2 AS").replace("FROM walk ", "FROM walk2 ").replace("route AS", "route2 AS") + """,
 nb AS (SELECT request_id, amount_out, path_key, n FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route2) x WHERE n=1),
 rp AS (SELECT request_id, CAST(count_if(list_has_any(pools, (SELECT list(pool) FROM chg))) AS BIGINT) AS repriced FROM route GROUP BY request_id)
-SELECT o.request_id, previous, amount_out, path_key, repriced, CASE WHEN previous=amount_out AND old=path_key THEN 'unchanged' ELSE 'updated' END AS status FROM oldb o JOIN nb USING (request_id) JOIN rp USING (request_id)""", recursive=True)
+SELECT o.request_id, previous, amount_out, path_key, repriced, CASE WHEN repriced=0 AND previous=amount_out AND old=path_key THEN 'unchanged' ELSE 'updated' END AS status FROM oldb o JOIN nb USING (request_id) JOIN rp USING (request_id)""", recursive=True)
 def refresh_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routes are a table, as a session keeps them."""
     hit, edges = _changed(spark, sf_dir)
-    return incremental.refresh(batch(spark, sf_dir), edges, hit)
+    return incremental.refresh(written(batch(spark, sf_dir)), edges, written(hit)).drop("reason")
 
 
 @query(", " + walk("request", 1) + """, first AS (SELECT * FROM route WHERE (pools[1]//10000)%2=0),

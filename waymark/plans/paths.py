@@ -51,9 +51,17 @@ def route_hop_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.trace(_single(spark, sf_dir, 2))
 
 
-@query(ONE + walk("one", 2) + " SELECT request_id, path_key, true AS ok FROM route", recursive=True)
+@query(ONE + walk("one", 2) + """, st AS (SELECT *, CASE WHEN i=1 THEN amount_in ELSE amounts[i-1] END AS a_in, amounts[i] AS a_out, pools[i] AS pool, toks[i] AS t_in, toks[i+1] AS t_out FROM (SELECT *, unnest(range(1, hops+1)) AS i FROM route) x),
+tr AS (SELECT request_id, path_key, i, amount_in, amount_out, hops, t_in, t_out, CASE WHEN pool%23=0 AND i=2 THEN a_in+1 ELSE a_in END AS a_in, CASE WHEN pool%29=0 AND i=hops THEN a_out+1 ELSE a_out END AS a_out FROM st WHERE NOT (pool%31=0 AND i=2)),
+lk AS (SELECT *, lag(a_out) OVER w AS before FROM tr WINDOW w AS (PARTITION BY request_id, path_key ORDER BY i))
+SELECT request_id, path_key, CASE WHEN count(*)<>max(hops) THEN 'length' WHEN bool_or(a_in IS DISTINCT FROM coalesce(before, amount_in)) THEN 'amount_continuity' WHEN arg_max(a_out, i) IS DISTINCT FROM max(amount_out) THEN 'final_amount' END AS problem FROM lk GROUP BY request_id, path_key""", recursive=True)
 def route_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.valid_traces(_single(spark, sf_dir, 2))
+    """Traces of which some were spoilt: a second hop is missing, or has another amount, or the last amount is another."""
+    found = _single(spark, sf_dir, 2)
+    last = F.size(F.split("path_key", "[|]"))
+    hops = routes.trace(found).where("NOT (pool % 31 = 0 AND hop = 2)").withColumn("amount_in", F.expr("amount_in + IF(pool % 23 = 0 AND hop = 2, 1, 0)"))
+    hops = hops.withColumn("amount_out", F.col("amount_out") + F.when((F.col("pool") % 29 == 0) & (F.col("hop") == last), 1).otherwise(0))
+    return routes.valid_traces(found, hops).select("request_id", "path_key", "problem")
 
 
 @query(ONE + walk("one", 2, 2) + " SELECT request_id, amount_in, amount_out, hops, path_key FROM route", recursive=True)
@@ -115,9 +123,11 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.edges(spark, sf_dir).selectExpr("pool", "token_in", "token_out", "CASE WHEN pool % 6 <> 0 THEN 100 + pool % 50 END AS num", "CASE WHEN pool % 6 <> 0 THEN 100 + pool % 37 END AS den")
 
 
-@query(", " + walk("request", 2, quote=LINEAR) + " SELECT request_id, path_key, pools[list_position(list_transform(amounts, lambda a: a IS NULL), true)] AS failed_pool FROM route WHERE amount_out IS NULL", recursive=True)
+@query(", " + walk("request", 2, quote=LINEAR) + " SELECT request_id, failed_pool, count(*) AS paths FROM (SELECT request_id, pools[list_position(list_transform(amounts, lambda a: a IS NULL), true)] AS failed_pool FROM route WHERE amount_out IS NULL) x GROUP BY 1, 2", recursive=True)
 def route_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.failures(routes.enumerate_priced(fx.requests(spark, sf_dir), rated(spark, sf_dir), Search(max_hops=2), "linear"))
+    """How many paths of each request fail at each pool."""
+    failed = routes.failures(routes.enumerate_priced(fx.requests(spark, sf_dir), rated(spark, sf_dir), Search(max_hops=2), "linear"))
+    return failed.groupBy("request_id", "failed_pool").agg(F.count("*").alias("paths"))
 
 
 @query(", " + walk("request", 2, quote=LINEAR) + " SELECT request_id, max(amount_out) AS amount_out, count(*) AS candidates, count(*)-count(amount_out) AS failed FROM route GROUP BY request_id", recursive=True)
@@ -145,13 +155,15 @@ def no_path_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.statuses(odd, few, routes.enumerate_priced(odd, few, Search(max_hops=1), "linear"))
 
 
-@query(", bases AS (SELECT DISTINCT token_in AS request_id, token_in, token_in AS token_out, CAST(100 AS BIGINT) AS amount_in FROM edge WHERE token_in<3), " + walk("bases", 3, 2, where="e.pool%10=1", cycles=True)
-       + " SELECT request_id, amount_in, amount_out, hops, path_key, CASE WHEN amount_out>amount_in THEN amount_out-amount_in END AS profit FROM route", recursive=True)
+@query(", bases AS (SELECT DISTINCT token_in AS request_id, token_in, token_in AS token_out, CAST(100 AS BIGINT) AS amount_in FROM edge), " + walk("bases", 3, 2, cycles=True)
+       + """ SELECT request_id, CAST(n AS INTEGER) AS rank, amount_in, amount_out, hops, path_key, CASE WHEN amount_out>amount_in THEN amount_out-amount_in END AS profit
+  FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route) x WHERE n<=10""", recursive=True)
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best cycles of two or three hops at each token."""
     edges = fx.edges(spark, sf_dir)
-    bases = edges.where("token_in < 3").select("token_in").distinct().selectExpr("token_in AS request_id", "token_in", "token_in AS token_out", "100L AS amount_in")
-    found = routes.enumerate_priced(bases, edges.where("pool % 10 = 1"), Search.cycles(), cycles=True)
-    return found.select(*SHOWN, F.expr("CASE WHEN amount_out > amount_in THEN amount_out - amount_in END AS profit"))
+    bases = edges.select("token_in").distinct().selectExpr("token_in AS request_id", "token_in", "token_in AS token_out", "100L AS amount_in")
+    found = routes.ranked(routes.enumerate_priced(bases, edges, Search.cycles(), cycles=True), 10)
+    return found.select("rank", *SHOWN, F.expr("CASE WHEN amount_out > amount_in THEN amount_out - amount_in END AS profit"))
 
 
 @query(", " + """p AS (SELECT p.pool_id AS path_id, 1000 AS amount_in, p.pool_id AS p1, t0, t1, venue*10000+least(t1,(t1+1)%25)*100+greatest(t1,(t1+1)%25)+pool_id%3 AS p2, (t1+1)%25 AS t2 FROM pool p),

@@ -15,8 +15,9 @@ from waymark.streaming import live
 from waymark.streaming.store import shared_folder
 
 
-def _feed(spark: SparkSession, df: DataFrame, files: int = 3) -> tuple[DataFrame, str]:
-    """df as a stream of a few files in order of seq, and a folder for its checkpoint."""
+def _feed(spark: SparkSession, df: DataFrame, rows: int = 500_000) -> tuple[DataFrame, str]:
+    """df as a stream of files of about `rows` rows (at least three) in order of seq, and a folder for its checkpoint."""
+    files = max(3, -(-df.count() // rows))
     folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     cuts = [None, *df.approxQuantile("seq", [i / files for i in range(1, files)], 0.001), None]
     for low, high in zip(cuts, cuts[1:]):  # one after another: the source takes files by their time
@@ -25,22 +26,22 @@ def _feed(spark: SparkSession, df: DataFrame, files: int = 3) -> tuple[DataFrame
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), f"{folder}/checkpoint"
 
 
-NEW = """, mv AS (SELECT pool_id, CAST(sum(k) AS BIGINT) AS moved FROM change WHERE NOT removed AND seq<300 GROUP BY pool_id),
+NEW = """, mv AS (SELECT pool_id, CAST(sum(k) AS BIGINT) AS moved FROM change WHERE NOT removed GROUP BY pool_id),
 np AS (SELECT p.pool_id, t0, t1, r0+coalesce(moved,0) AS r0, r1 FROM pool p LEFT JOIN mv USING (pool_id)),
-nedge AS (SELECT pool_id AS pool, t0 AS token_in, t1 AS token_out, r0 AS r_in, r1 AS r_out FROM np UNION ALL SELECT pool_id, t1, t0, r1, r0 FROM np), few AS (SELECT * FROM request WHERE request_id<=10), """
+nedge AS (SELECT pool_id AS pool, t0 AS token_in, t1 AS token_out, r0 AS r_in, r1 AS r_out FROM np UNION ALL SELECT pool_id, t1, t0, r1, r0 FROM np), """
 
 
-@query(NEW + walk("few", 2, edge="nedge") + " SELECT request_id, amount_in, amount_out, path_key FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route) x WHERE n=1", recursive=True)
+@query(NEW + walk("request", 2, edge="nedge") + " SELECT request_id, amount_in, amount_out, path_key FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route) x WHERE n=1", recursive=True)
 def live_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions' best routes after the change feed has run through, refreshed batch by batch."""
-    feed, checkpoint = _feed(spark, fx.changes(spark, sf_dir).where("seq < 300"))
-    run = live.LiveRoutes(spark, fx.requests(spark, sf_dir, 10))
+    feed, checkpoint = _feed(spark, fx.changes(spark, sf_dir))
+    run = live.LiveRoutes(spark, fx.requests(spark, sf_dir))
     run.baseline(fx.pools(spark, sf_dir))
     run.run(feed, checkpoint)
     return run.best().select("request_id", "amount_in", "amount_out", "path_key")
 
 
-@query(TRANSFERS + """ SELECT b.pool, b.token, CASE WHEN state='fresh' AND undone=0 AND amount+low>=0 THEN 'fresh' WHEN state='unknown' THEN 'unknown' ELSE 'stale' END AS state,
+@query(TRANSFERS + """ SELECT b.pool, b.token, CASE WHEN state='fresh' AND undone=0 AND amount+low>=0 THEN 'fresh' ELSE 'stale' END AS state,
   CAST(CASE WHEN state='fresh' AND undone=0 AND amount+low>=0 THEN amount+net END AS BIGINT) AS amount FROM balance b JOIN net n ON n.pool=b.pool AND n.token=b.token""")
 def balance_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful fold of transfers, in micro-batches, to its final state."""

@@ -64,16 +64,16 @@ def multi_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pool, token, state, amount, venue, protocol: two rows a pool; state by key."""
+    """pool, token, state, amount, venue, protocol: two rows a pool; state by key, where some pools have one side known only."""
     both = F.array(F.struct(F.col("t0").alias("token"), F.col("r0").alias("amount")), F.struct(F.col("t1").alias("token"), F.col("r1").alias("amount")))
-    state = F.expr("CASE WHEN pool_id % 7 = 0 THEN 'unknown' WHEN pool_id % 11 = 0 THEN 'stale' ELSE 'fresh' END")
-    out = pools(spark, sf_dir).select(F.col("pool_id").alias("pool"), F.explode(both).alias("b"), state.alias("state"), "protocol", "fee")
+    state = F.expr("CASE WHEN pool_id % 7 = 0 OR pool_id % 5 = 0 AND b.token = t0 THEN 'unknown' WHEN pool_id % 11 = 0 THEN 'stale' ELSE 'fresh' END")
+    out = pools(spark, sf_dir).withColumn("b", F.explode(both)).select(F.col("pool_id").alias("pool"), "b", state.alias("state"), "protocol", "fee")
     return out.select("pool", "b.token", "state", "b.amount", "protocol", "fee")
 
 
-def requests(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
-    """request_id, token_in, token_out, amount_in from the first customers."""
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") <= most)
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, token_in, token_out, amount_in: one of each customer."""
+    c = table(spark, sf_dir, "customer")
     return c.selectExpr("CAST(c_custkey AS BIGINT) AS request_id", "CAST(c_nationkey AS BIGINT) AS token_in", "CAST((c_nationkey + 1 + c_custkey % 24) % 25 AS BIGINT) AS token_out", "CAST(1000 + c_custkey % 9000 AS BIGINT) AS amount_in")
 
 

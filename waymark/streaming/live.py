@@ -94,13 +94,14 @@ BALANCE_OUT = "pool LONG, token LONG, state STRING, amount LONG, seq LONG"
 
 
 def fold_balances(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One balance's transfers in order: a fresh amount moves; a removed log or an underflow makes it stale for good."""
+    """One balance's transfers in order: a fresh amount moves; a removed log, an underflow or any touch of another state makes it stale for good."""
     rows = pd.concat(list(batches)).sort_values(["seq", "delta"])
     if state.exists:
         kind, amount = state.get
     else:
         first = rows.iloc[0]
         kind, amount = first["state"], (int(first["amount"]) if first["state"] == "fresh" else None)
+    kind = "stale" if kind == "unknown" else kind
     for delta, removed in zip(rows["delta"], rows["removed"], strict=True):
         if kind == "fresh":
             if removed or amount + int(delta) < 0:

@@ -13,16 +13,25 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir, which all executors share; only where it is unset on a local master, as in tests, a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="waymark-")
     return "file://" + _own[app]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written once into the shared folder and read back: what follows neither computes it again nor depends on lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class GapError(RuntimeError):
     """A batch that doesn't follow the last committed one."""
 
