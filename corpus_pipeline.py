@@ -14,41 +14,58 @@ LEAST_LANGUAGE = 0.3
 
 
 def _row_key(docs: DataFrame) -> DataFrame:
-    """docs with a key of the whole row, so that decisions join back to rows even where ids repeat or are null."""
-    return docs.withColumn("_key", F.xxhash64(*docs.columns))
+    """docs with a key of 128 bits of the whole row, so that decisions join back to rows even where ids repeat or are null."""
+    return docs.withColumn("_key", F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(1), *docs.columns).alias("b")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words have a language; the model is fitted on a bounded sample of the labelled rows."""
+    """Documents whose words have a language; the model is fitted on a bounded sample of the labelled rows.
+
+    Null, empty and letterless texts go; long ones are judged whole; repeated rows and null ids are judged by their texts; columns of
+    any name stay; an empty table gives an empty one.
+    """
     columns = docs.columns
     seen = langid.identify(docs, langid.train(docs), keep_text=True)
     return seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules and whose host isn't rejected."""
+    """Documents that pass the quality rules and whose host isn't rejected.
+
+    Null and empty texts fail; equal rows share a verdict; null hosts are judged together; an empty table gives an empty one.
+    """
     bad = quality.judge(_row_key(docs).select("_key", "text", "source")).where("NOT kept").select("_key").distinct()
     return _row_key(docs).join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id; of rows that repeat an id, one."""
+    """One document of each group of near-duplicates: that with the smallest id.
+
+    Of rows that repeat an id the smallest stays (by all columns in order); rows with a null id, and those without words, are linked
+    with nothing and stay; an empty table gives an empty one.
+    """
     gone = neardup.link(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = scratch(left.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("text")).where("n > 1 AND doc_id IS NOT NULL"))
-    first = left.join(again.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    return left.join(again.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = scratch(left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    first = left.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the calibrated sampling keeps."""
+    """The documents that the calibrated sampling keeps, decided by id: rows of an id, null too, stay or go together.
+
+    Texts without words have probability 0 and go; an empty table gives an empty one.
+    """
     kept = mixing.mix(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: the pieces of each document and their places."""
-    return packing.pack(docs, BYTE_BPE)
+    """Training sequences: the pieces of each document, their places, and their token ids (little-endian 32-bit).
+
+    A null or empty text is its single end id; repeated rows are packed again; an empty table gives no rows.
+    """
+    return packing.pack(docs, BYTE_BPE, with_ids=True)
 
 
 STAGES = [("language", language), ("quality", good), ("near_duplicates", distinct), ("mixing", mixed), ("packing", packed)]
