@@ -98,8 +98,8 @@ def emissions(w: Words, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[tuple[str, str]], bits: int = 16, words_per_text: int = 400, epochs: int = 3, rate: float = 0.05, seed: int = 7) -> Crf | None:
-    """A CRF from (text, label) pairs; each word of a text carries the text's label.
+def fit(texts: list[tuple[str, str]], bits: int = 16, epochs: int = 3, rate: float = 0.05, seed: int = 7) -> Crf | None:
+    """A CRF from (text, label) pairs; each word of a whole text carries the text's label.
 
     Half of the training sequences are spliced from runs of differently labelled texts (runs of 4 to 31 words), so that the
     transitions learn how rarely languages switch. The conditional likelihood is followed by AdaGrad steps whose
@@ -116,12 +116,8 @@ def fit(texts: list[tuple[str, str]], bits: int = 16, words_per_text: int = 400,
     first = np.concatenate([[0], np.cumsum(w.count)])
     runs, spliced = [], []
     for d in range(len(texts)):
-        n = min(int(w.count[d]), words_per_text)
-        if not n:
-            continue
-        lo = int(first[d] + rng.integers(0, w.count[d] - n + 1))
-        for a in range(lo, lo + n, _SEG):
-            (runs if rng.random() < 0.5 else spliced).append(np.arange(a, min(a + _SEG, lo + n)))
+        for a in range(int(first[d]), int(first[d + 1]), _SEG):
+            (runs if rng.random() < 0.5 else spliced).append(np.arange(a, min(a + _SEG, int(first[d + 1]))))
     cuts = []
     for r in spliced:
         while len(r):
@@ -218,16 +214,20 @@ def label_shares(em: np.ndarray, count: np.ndarray, crf: Crf) -> np.ndarray:
     x[row, col] = np.exp(em - em.max(1, keepdims=True))
     mask[row, col] = True
     a = np.exp(crf.trans - crf.trans.max()).astype(np.float32)
+    first = seg_at[:-1][segs > 0]
+    opens = np.zeros(n, bool)  # a document's first segment: the start weights stand in place of its first step
+    opens[first] = True
     move = np.broadcast_to(np.eye(k, dtype=np.float32), (n, k, k)).copy()
     for t in range(_SEG):
-        step = (move.reshape(-1, k) @ a).reshape(n, k, k) * x[t][:, None, :]
+        stepped = (move.reshape(-1, k) @ a).reshape(n, k, k)
+        if t == 0:
+            stepped = np.where(opens[:, None, None], move, stepped)
+        step = stepped * x[t][:, None, :]
         step /= step.sum((1, 2), keepdims=True)
         move = step if mask[t].all() else np.where(mask[t][:, None, None], step, move)
-    # Messages into each segment from the left and into its end from the right; the start weights stand before a first step.
+    # Messages into each segment from the left and into its end from the right.
     left, right = np.full((n, k), 1 / k, np.float32), np.ones((n, k), np.float32)
-    start = np.linalg.solve(np.exp(crf.trans - crf.trans.max()).T, np.exp(crf.start - crf.start.max()))  # start = left @ a
-    first = seg_at[:-1][segs > 0]
-    left[first] = start
+    left[first] = np.exp(crf.start - crf.start.max())
     longest = int(segs.max())
     for j in range(1, longest):
         at = seg_at[:-1][segs > j] + j
@@ -240,7 +240,7 @@ def label_shares(em: np.ndarray, count: np.ndarray, crf: Crf) -> np.ndarray:
     alpha = np.empty_like(x)
     now = left
     for t in range(_SEG):
-        step = (now @ a) * x[t]
+        step = (np.where(opens[:, None], now, now @ a) if t == 0 else now @ a) * x[t]
         step /= step.sum(1, keepdims=True)
         now = np.where(mask[t][:, None], step, now)
         alpha[t] = now
@@ -314,9 +314,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
     """The CRF of at most about `max_rows` labelled texts (the documented bound).
 
     Copies of a text under a label count once. Each label gets an equal share of the bound, and what others cannot fill; within
-    it the texts with the smallest hashes are taken. Of a sampled text the fit takes 400 words from a random place, so only 4,000
-    code points from a place that the hash picks are sent to the one task that fits; the driver gets the sample's hashes and the
-    model (2**16 weights a label).
+    it the texts with the smallest hashes are taken. The one task that fits gets the sampled texts whole, each once; the driver
+    gets the sample's hashes and the model (2**16 weights a label).
     """
     spark = labelled.sparkSession
     prepare(spark)
@@ -329,8 +328,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
     asked = spark.createDataFrame([(y, k, min(1.0, (k + 8 * k**0.5 + 20) / n)) for y, (k, n) in room.items()], "y string, k long, top double")
     low = pairs.join(F.broadcast(asked), "y").where(F.col("h") / 2.0**64 + 0.5 <= F.col("top"))
     chosen = low.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where("at <= k").select("h", "y")
-    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - 4000, F.lit(1))) + 1
-    sample = usable.join(F.broadcast(chosen), ["h", "y"]).groupBy("h", "y").agg(F.min(F.col("t").substr(place.cast("int"), F.lit(4000))).alias("t")).select("t", "y", "h")
+    sample = usable.join(F.broadcast(chosen), ["h", "y"]).groupBy("h", "y").agg(F.min("t").alias("t")).select("t", "y", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((h, y, t) for b in batches for t, y, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
@@ -345,6 +343,7 @@ def identify(docs: DataFrame, crf: Crf | None, text: str = "text", keep_text: bo
 
     One narrow pass over whole texts. A null or empty text, or one without a letter, gets `und` and score 0; ties go to the
     label that sorts first; repeated rows get the same answer; an empty table gives an empty table; without a model all are `und`.
+    A text of any length is one chain, cut into segments that exact messages join; texts over 2 MB are handled one at a time.
     """
     spark = docs.sparkSession
     prepare(spark)
