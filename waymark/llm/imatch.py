@@ -66,11 +66,18 @@ def likeness(a: str, b: str) -> str:
 
 
 def ranged(docs: DataFrame, key: str, ranges: int) -> DataFrame:
-    """docs with `range`: a number that grows with the key, for about equal parts (nulls are in the first)."""
-    bounds = sorted(set(docs.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.001))) if ranges > 1 else []
+    """docs with `range`: a number that grows with the key (of any type that has an order), for about equal parts (nulls are in the first).
+
+    The bounds are quantiles of the keys whose hash falls into a share that gives about 100 of them a range.
+    """
+    n = docs.count()
+    every = max(1, n // (100 * ranges))
+    some = docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).select(key).distinct().orderBy(key).toArrow()[key] if ranges > 1 else []
+    picked = [some[i * len(some) // ranges].as_py() for i in range(1, ranges)] if len(some) else []
+    bounds = [b for i, b in enumerate(picked) if not i or b != picked[i - 1]]
     at = F.lit(0)
     if bounds:
-        at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key).cast("double"))), F.lit(0))
+        at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))), F.lit(0))
     return docs.withColumn("range", at)
 
 
@@ -94,7 +101,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lo
 
     The band keeps terms that 1/128 to 1/8 of all rows contain, so the lexicon has at most 128 times as many terms as a row has on
     average, whatever the number of rows; of it the terms that some subset holds go into the plan as a set of numbers.
-    Only built-in functions run. Null texts are empty; an empty text fills no subset (a fingerprint of dashes, likeness 0 to
+    Only built-in functions run. Rows are sorted in ranges of ids, of about 32 MB of text where that makes more of them than twice
+    the shuffle partitions; a text of any length is one row. Null texts are empty; an empty text fills no subset (a fingerprint of dashes, likeness 0 to
     anything); equal texts have equal fingerprints; rows that repeat an id follow each other in the order of their texts; a
     single row's next row is itself; an empty table gives no rows. Columns other than the two named are ignored.
     """
@@ -102,7 +110,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lo
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     band = lexicon(base, "text", low, high).where(used(F.col("h"))).select("h")
     held = sorted(r[0] for r in band.collect())
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = ranges or min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, size // 32_000_000))
     cut = ranged(base, "doc_id", ranges)
     rows = with_next(cut, ["doc_id", "t"], "text", "next")
     q = "CAST(floor(char_length(text) / 4) AS INT)"
