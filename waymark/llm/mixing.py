@@ -33,14 +33,15 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return by.select(dim, (F.col("t") / F.lit(total or 1.0)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
-    """cells with w, the raked share of each cell: the margins of w come to agree with the targets, one dimension after another.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> tuple[DataFrame, float]:
+    """cells with w, the raked share of each cell, and the worst gap: the margins of w come to agree with the targets, one dimension after another.
 
     A value without a target keeps weight 0. Sums are made before each shuffle; each sweep ends in a written table, and the
-    worst margin ratio of a sweep decides whether another is needed.
+    worst margin ratio of a sweep decides whether another is needed. Targets that no weights can meet leave a gap over the tolerance.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     cells = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
+    worst = None
     for _ in range(sweeps):
         off = F.lit(0.0)
         for dim, target in targets.items():
@@ -53,7 +54,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance
         cells = cells.drop("off")
         if worst is None or worst < tolerance:
             break
-    return cells
+    return cells, float(worst or 0)
 
 
 def calibrate(cells: DataFrame, share: float, steps: int = 30) -> float:
@@ -76,14 +77,18 @@ def calibrate(cells: DataFrame, share: float, steps: int = 30) -> float:
     return c
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, power: float = 0.7, share: float = 0.5, targets: dict[str, DataFrame] | None = None, sweeps: int = 30, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, probability, kept for each row of docs.
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, power: float = 0.7, share: float = 0.5, targets: dict[str, DataFrame] | None = None, sweeps: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, weight, probability, margin_gap, kept for each row of docs.
+
+    margin_gap: how far, relatively, the worst margin was off its target before the last adjustment (at most `tolerance` unless the
+    targets contradict each other, or zero cells stand against them; then raking ends after `sweeps`).
 
     tokens are white-space words. weight is the raked weight of a token of the document's cell relative to the unraked one;
     probability is calibrated so that `share` of all tokens is expected; kept is decided by the id's MD5, so repeated rows of an
     id go together. Null sources, languages and ids are values like others; texts that are null or empty have no tokens, and
     a cell without tokens has weight and probability 0. Targets are DataFrames (dimension, target) or tempered shares.
-    Columns of docs other than the four named are ignored. Documents are never shuffled by a key with many rows: counts by
+    A text of any length is counted whole; equal cells get equal weights, so there are no ties to break; an empty table gives no
+    rows. Columns of docs other than the four named are ignored. Documents are never shuffled by a key with many rows: counts by
     cell are summed first, and verdicts of cells are joined back (broadcast by Spark only where they are small).
     """
     topic = surface_topic(F.col(text)) if topic is None else topic
@@ -91,11 +96,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     facts = scratch(docs.select(F.col(doc_id).alias("doc_id"), label(source).alias("source"), label(lang).alias("lang"), F.coalesce(topic, F.lit(NONE)).alias("topic"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
     cells = scratch(facts.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     targets = targets or {d: tempered(cells, d, power) for d in DIMS}
-    cells = rake(cells, targets, sweeps, tolerance)
+    cells, gap = rake(cells, targets, sweeps, tolerance)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     c = calibrate(cells, share)
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
     verdict = cells.select(*DIMS, (ratio * total).alias("weight"), F.when(ratio > 0, F.least(F.lit(1.0), ratio * F.lit(c))).otherwise(0.0).alias("probability"))
     out = facts.join(verdict, list(DIMS), "left")
-    out = out.withColumn("kept", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("probability"))
-    return out.select("doc_id", *DIMS, "tokens", "weight", "probability", "kept")
+    out = out.withColumn("margin_gap", F.lit(gap)).withColumn("kept", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("probability"))
+    return out.select("doc_id", *DIMS, "tokens", "weight", "probability", "margin_gap", "kept")
