@@ -1,5 +1,6 @@
 """Whole jobs: full licence texts, hosts of junk, hot copies among the labelled rows."""
 
+import os
 import textwrap
 
 import pytest
@@ -39,6 +40,38 @@ def test_wrapped_licences(spark, width):
     assert [got[i]["sentence_ids"] for i in (0, 2, 3, 7)] == ["mit-grant mit-notice as-is", "apache-name apache-use apache-copy apache-basis", "bsd-redistribution bsd-endorse as-is", "apache-basis"]
 
 
+COMMON = "/usr/share/common-licenses"
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence files here")
+def test_whole_licence_files(spark):
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(k, open(f"{COMMON}/{k}", encoding="utf-8").read()) for k in want if os.path.exists(f"{COMMON}/{k}")]
+    rows += [("isc", "Copyright (c) A B\n\n" + ISC), ("affero", GPL[0].replace("GNU General", "GNU Affero General") + "\n\n" + GPL[1].replace("GNU General", "GNU Affero General"))]
+    want |= {"isc": "ISC", "affero": "AGPL-3.0"}
+    got = {r["doc_id"]: r["licenses"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(want[k] in got[k] for k in got), got
+    assert got["isc"] == ["ISC"] and got["affero"] == ["AGPL-3.0"] and "GPL-2.0" not in got.get("GPL-3", [])
+
+
+def test_a_sentence_table_of_any_size(spark):
+    table = spark.createDataFrame([("b", "hello there"), ("a", "hello there"), ("c", "good bye"), (None, "x"), ("d", None)], "id string, sentence string")
+    docs = spark.createDataFrame([(1, "Hello, there! Good\nbye. Hello there."), (2, None), (3, "")] + [(4, "")] * 50, "doc_id long, text string")
+    for limit in (10, 0):
+        got = sorted((r["doc_id"], r["n_sentences"], r["sentence_ids"], r["licenses"]) for r in licenses.scan(docs, table, [("L", ["a", "c"]), ("M", ["c", "c"])], broadcast_sentences=limit).collect())
+        assert got == [(1, 4, "a c a", "L"), (2, 0, "", ""), (3, 0, "", "")] + [(4, 0, "", "")] * 50
+
+
+@pytest.mark.parametrize("seed", [2, 3, 6, 7])
+def test_few_words_make_no_singular_model(seed):
+    import pyarrow as pa
+
+    for texts in ([("uno", "es"), ("one", "en")], [("uno", "es"), ("one", "en"), ("ein", "de")], [("uno", "es")]):
+        labels, scores = langid.predict(pa.array(["uno one", "zzz", ""], pa.large_string()), langid.fit(texts, bits=10, seed=seed))
+        assert labels[2] == "und" and all(0 <= v <= 1 for v in scores) and set(labels[:2]) <= {y for _, y in texts}
+
+
 def test_hosts_of_junk_are_rejected_by_every_rule(spark):
     text = lambda i: "\n".join(" ".join(f"word{i}x{10 * j + k}" for k in range(8)) for j in range(6))
     symbols = lambda i: "#### $$$$ %%%% " * 2 + " ".join(f"word{i}x{k} ####" for k in range(20))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sentences of well-known licences and notices, as they read after normalisation.
@@ -38,6 +38,26 @@ WHOLE = [
     ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("as-is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("apache-basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-as-is", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("gpl2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("agpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl21-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl3-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl3-text", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl3-patents", "the gnu general public license does not permit incorporating your program into proprietary programs"),
+    ("agpl3-text", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("gpl2-text", "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"),
+    ("lgpl3-text", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below"),
+    ("lgpl21-text", "this is the first released version of the lesser gpl"),
+    ("mpl2-form", "this source code form is subject to the terms of the mozilla public license v"),
+    ("mpl2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mpl2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("cc0-text", "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights defined below upon the creator and subsequent owner s each and all an owner of an original work of authorship and or a database each a work"),
+    ("cc-by-4-name", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4-name", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4-name", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
 ]
 #: Licence, and the identifiers that stand for it in this order (others of the known may not come between).
 RULES = [
@@ -56,6 +76,18 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4-name"]),
     ("CC0-1.0", ["cc0-name"]),
     ("proprietary", ["rights"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("GPL-2.0", ["gpl2-free", "gpl-hope"]),
+    ("GPL-2.0", ["gpl2-text"]),
+    ("GPL-3.0", ["gpl3-text"]),
+    ("AGPL-3.0", ["agpl3-free", "gpl-hope"]),
+    ("AGPL-3.0", ["agpl3-text"]),
+    ("LGPL-2.1", ["lgpl21-free"]),
+    ("LGPL-2.1", ["lgpl21-text"]),
+    ("LGPL-3.0", ["lgpl3-free"]),
+    ("LGPL-3.0", ["lgpl3-text"]),
+    ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
+    ("CC0-1.0", ["cc0-text"]),
 ]
 
 
@@ -93,25 +125,36 @@ def rule_hits(ids: str, rules: list[tuple[str, list[str]]]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())))
 
 
+#: Sentences that stand for a document itself, so that one without a known sentence is in the result too.
+_MARKS = 512
+
+
 def scan(docs: DataFrame, sentence_table: DataFrame | None = None, rules: list[tuple[str, list[str]]] | None = None, doc_id: str = "doc_id", text: str = "text", broadcast_sentences: int = 200_000) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, n_licenses for each row of docs.
 
-    sentence_table: id, sentence (normalised); by default SENTENCES and WHOLE. A sentence is known as a whole, over its lines, or
-    else by its clauses, or else by its single lines (n_sentences counts these). Only documents with a known sentence cost a shuffle row:
-    all sentences are exploded, normalised and looked up where they are (the table is broadcast only after counting it,
-    else joined by shuffle), and the identifiers found are gathered by document in order. licenses is joined by commas and
-    empty where no rule matches. Null or empty texts have no sentences; rows that repeat a text get equal results;
-    an empty table gives no rows; columns other than the two named are ignored. Built-in functions only.
+    sentence_table: id, sentence (normalised); by default SENTENCES and WHOLE; of a sentence under two identifiers the smaller
+    counts. A sentence is known as a whole, over its lines, or else by its clauses, or else by its single lines (n_sentences counts
+    these). One pass: all sentences are exploded, normalised and looked up where they are (the table is broadcast only after
+    counting it, else joined by shuffle); only what is known, and one mark a row, is shuffled, by a number of the row, so that
+    copies and empty texts are spread. licenses is joined by commas and empty where no rule matches. Null or empty texts have no
+    sentences; a text of any length is scanned whole; rows that repeat a text get equal results; an empty table gives no rows;
+    columns other than the two named are ignored, so their names may clash. Built-in functions only.
     """
     spark = docs.sparkSession
     known = sentence_table if sentence_table is not None else spark.createDataFrame(SENTENCES + WHOLE, "id string, sentence string")
-    known = known.where("sentence IS NOT NULL").groupBy("sentence").agg(F.min("id").alias("id"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("key"), F.coalesce(F.size(sentences(F.col(text))), F.lit(0)).alias("n"), F.col(text).alias("t"))
-    each = rows.select("key", F.posexplode(candidates(F.col("t"))).alias("at", "parts")).select("key", "at", F.inline("parts")).withColumn("sentence", normalised(F.col("raw"))).drop("raw")
-    found = each.join(F.broadcast(known) if known.count() <= broadcast_sentences else known, "sentence").drop("sentence").distinct()
-    found = found.withColumn("widest", F.min("level").over(Window.partitionBy("key", "at"))).withColumn("wide", F.min("level").over(Window.partitionBy("key", "at", "clause")))
-    found = found.where("level = 0 OR widest > 0 AND level = wide")
-    order = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "clause", "line", "id"))).alias("hits"))
-    order = order.select("key", F.concat(F.lit(" "), F.array_join(F.col("hits.id"), " "), F.lit(" ")).alias("ids")).withColumn("licenses", rule_hits("ids", rules or RULES))
-    out = rows.select("doc_id", "key", F.col("n").cast("long").alias("n_sentences")).join(order, "key", "left")
-    return out.select("doc_id", "n_sentences", F.coalesce(F.trim("ids"), F.lit("")).alias("sentence_ids"), F.coalesce(F.array_join("licenses", ","), F.lit("")).alias("licenses"), F.coalesce(F.size("licenses"), F.lit(0)).cast("long").alias("n_licenses"))
+    known = known.where("sentence IS NOT NULL AND id IS NOT NULL").groupBy("sentence").agg(F.min("id").alias("id"))
+    small = known.count() <= broadcast_sentences
+    known = known.unionByName(spark.range(_MARKS).select(F.concat(F.lit("#"), "id").alias("sentence"), F.lit("").alias("id")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.size(sentences(F.col(text))), F.lit(0)).cast("long").alias("n"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
+    mark = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("clause"), F.lit(0).alias("line"), F.concat(F.lit("#"), F.pmod(F.xxhash64("row"), F.lit(_MARKS))).alias("raw")))
+    parts = F.concat(F.array(mark), F.coalesce(candidates(F.col("t")), F.array().cast("array<array<struct<level: int, clause: int, line: int, raw: string>>>")))
+    each = rows.select("row", "doc_id", "n", F.posexplode(parts).alias("at", "parts")).select("row", "doc_id", "n", "at", F.inline("parts"))
+    each = each.withColumn("sentence", F.when(F.col("level") < 0, F.col("raw")).otherwise(normalised(F.col("raw")))).drop("raw")
+    found = each.join(F.broadcast(known) if small else known, "sentence").drop("sentence")
+    # Within a sentence: the whole, else of each clause the clause itself or its lines.
+    heard = found.groupBy("row", "doc_id", "n", "at").agg(F.min("level").alias("least"), F.collect_list(F.struct("clause", "level", "line", "id")).alias("hits"))
+    heard = heard.withColumn("own", F.expr("filter(hits, h -> h.level = 1).clause"))
+    heard = heard.select("row", "doc_id", "n", F.explode(F.expr("filter(hits, h -> h.level <= 0 OR least > 0 AND (h.level = 1 OR NOT array_contains(own, h.clause)))")).alias("h"), "at")
+    out = heard.groupBy("row", "doc_id", "n").agg(F.array_sort(F.collect_list(F.when(F.col("h.id") != "", F.struct("at", F.col("h.clause").alias("c"), F.col("h.line").alias("q"), F.col("h.id").alias("id"))))).alias("hits"))
+    out = out.withColumn("ids", F.concat(F.lit(" "), F.array_join(F.col("hits.id"), " "), F.lit(" "))).withColumn("licenses", rule_hits("ids", rules or RULES))
+    return out.select("doc_id", F.col("n").alias("n_sentences"), F.trim("ids").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"))
