@@ -7,9 +7,10 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm import brute
-from waymark.llm import imatch, licenses, mixing, mixlm, queries, urlfilter
+from waymark.llm import imatch, licenses, mixing, queries, urlfilter
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,9 +44,15 @@ def test_url_rules(spark):
 
 
 def test_bloom_has_no_false_negatives(spark):
-    keys = spark.range(5000).selectExpr("concat('k', id) AS key")
-    words = urlfilter.bloom(keys)
-    assert words.shape[1] == 8 and words.any()
+    """Every listed key passes the filter, and few others do."""
+    import numpy as np
+
+    words = urlfilter.bloom(spark.range(5000).selectExpr("concat('k', id) AS key"))
+    assert words.shape[1] == 8
+    probe = spark.range(10_000).selectExpr("id", "concat('k', id) AS key").selectExpr("id", "xxhash64(key) AS h", *(f"{urlfilter._bit(o)} AS b{i}" for i, o in enumerate(urlfilter._ODD))).orderBy("id").toPandas()
+    block = (probe["h"].to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.int64) % len(words)
+    passed = np.all([(words[block, i] & probe[f"b{i}"].to_numpy().view(np.uint64)) != 0 for i in range(8)], axis=0)
+    assert passed[:5000].all() and passed[5000:].mean() < 0.02
 
 
 def fingerprint_rows(df):
@@ -76,6 +83,60 @@ def test_fingerprints(spark):
     assert imatch.fingerprints(double).count() == 3
 
 
+def plain_fingerprint(text, lexicon):
+    """One fingerprint: hashes of the sorted lexicon terms in each cell that a subset stands for."""
+    import re
+    import struct
+
+    import xxhash
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    term = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    held = sorted(h for h in {term(t) for t in re.split(r"[\x00-/:-`{-\x7f]+", brute.lower(text)) if t} if lexicon is None or h in lexicon)
+    if lexicon is None:
+        return held
+    out, bits = [], 0
+    for some, cells in imatch.FAMILIES:
+        for i in range(some):
+            own = [h for h in held if (h >> bits) % cells == i]
+            seed = 42
+            for h in own:
+                seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed=seed)
+            out.append(signed(seed) if own else None)
+        bits += 20
+    return out
+
+
+def plain_likeness(a, b):
+    shares, at = [], 0
+    for some, _ in imatch.FAMILIES:
+        x, y = a[at : at + some], b[at : at + some]
+        filled = sum(p is not None or q is not None for p, q in zip(x, y, strict=True))
+        shares.append(sum(p is not None and p == q for p, q in zip(x, y, strict=True)) / filled if filled else 0.0)
+        at += some
+    return max(shares)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_equal_a_plain_version(spark, kind):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()] + [(9_000, ""), (9_001, "x" * 200_000 + " the end")]
+    if kind == "string":
+        rows = [(f"id{i}", t) for i, t in rows]
+    rows.sort()
+    counts = Counter(h for _, t in rows for h in plain_fingerprint(t, None))
+    lexicon = {h for h, n in counts.items() if len(rows) / 128 <= n <= len(rows) / 8}
+    own = [plain_fingerprint(t, lexicon) for _, t in rows]
+    shown = lambda f: "-".join("_" if v is None else format(v % (1 << 64), "x") for v in f)
+    got = fingerprint_rows(imatch.fingerprints(spark.createDataFrame(rows, f"doc_id {kind}, text string"), ranges=7))
+    for k, (i, t) in enumerate(rows):
+        q = len(t) // 4
+        edited = plain_fingerprint(t[: len(t) - q] + rows[(k + 1) % len(rows)][1][:q], lexicon)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (shown(own[k]), shown(edited))
+        assert math.isclose(got[i]["near_edited"], plain_likeness(own[k], edited), abs_tol=1e-9)
+        assert math.isclose(got[i]["near_next"], plain_likeness(own[k], own[(k + 1) % len(rows)]), abs_tol=1e-9)
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."
     parts = mit.split("\n")
@@ -99,6 +160,45 @@ def test_raking_meets_the_margins(spark):
     assert math.isclose(expected, 0.5 * tokens, rel_tol=1e-6) and 0.3 * tokens < kept < 0.7 * tokens
 
 
+def test_mixing_equals_plain_raking(spark):
+    got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), share=0.4).collect()
+    tokens = Counter()
+    for r in got:
+        tokens[r["source"], r["lang"], r["topic"]] += r["tokens"]
+    total = sum(tokens.values())
+    targets = []
+    for d in range(3):
+        by = Counter()
+        for c, n in tokens.items():
+            by[c[d]] += n
+        by = {v: n**0.7 for v, n in by.items() if n}
+        targets.append({v: t / sum(by.values()) for v, t in by.items()})
+    w = {c: n / total for c, n in tokens.items()}
+    for _ in range(400):
+        for d in range(3):
+            now = Counter()
+            for c, x in w.items():
+                now[c[d]] += x
+            w = {c: x * targets[d].get(c[d], 0) / now[c[d]] if now[c[d]] else 0.0 for c, x in w.items()}
+    ratio = {c: w[c] / n if n else 0.0 for c, n in tokens.items()}
+    low, high = 0.0, 1e18
+    for _ in range(300):  # the factor at which 0.4 of all tokens are expected
+        c = (low + high) / 2
+        low, high = (c, high) if sum(n * min(1, c * ratio[k]) for k, n in tokens.items()) < 0.4 * total else (low, c)
+    assert got[0]["margin_gap"] < 1e-6
+    for r in got:
+        k = (r["source"], r["lang"], r["topic"])
+        assert math.isclose(r["weight"], ratio[k] * total, rel_tol=1e-3) and math.isclose(r["probability"], min(1, low * ratio[k]), rel_tol=1e-3)
+        assert r["kept"] == (int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:13], 16) / 2**52 < r["probability"])
+
+
+def test_contradicting_targets_are_told(spark):
+    rows = [(i, "a b c", "s" if i < 5 else "t", "en" if i < 5 else "de") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": spark.createDataFrame([("s", 0.9), ("t", 0.1)], "source string, target double"), "lang": spark.createDataFrame([("en", 0.1), ("de", 0.9)], "lang string, target double")}
+    assert mixing.mix(docs, targets=targets, sweeps=4).first()["margin_gap"] > 0.5
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, "a", "en"), (2, "", None, None), (3, "x y z", "a", None), (None, "x y", "b", "en"), (3, "x y z", "a", None), (4, "long " * 30_000, "b", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("tokens", F.lit("clash")).withColumn("w", F.lit(0))
@@ -108,40 +208,6 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_language_model(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2)
-    odd = spark.createDataFrame([(9_000, None, True), (9_001, "", True), (9_002, "Qwx " * 2000, True), (9_003, "the of", True), (9_003, "the of", True)], "doc_id long, text string, held_out boolean")
-    every = docs.unionByName(odd).withColumn("score", F.lit("clash")).withColumn("extra", F.lit(1))
-    got = mixlm.score(every, docs.where("NOT held_out").select("text")).collect()
-    words = {r["doc_id"]: brute.WORD.findall(brute.lower(r["text"] or "")) + [""] for r in every.collect()}
-    counts = Counter(w for i, ws in words.items() if i < 9_000 and zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for r in got:
-        ws = words[r["doc_id"]]
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
-    assert len(got) == len(words) + 1
-    seen = [r for r in got if r["doc_id"] < 9_000 and not r["held_out"]]
-    assert sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen)
-    none = mixlm.score(every.limit(3), docs.where("false").select("text")).collect()
-    assert len(none) == 3 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in none)
-    assert mixlm.score(every.limit(0), docs.select("text")).count() == 0
-
-
-def test_model_is_a_distribution():
-    """The probabilities of all next bytes after a prefix sum to one: each bit's two outcomes do."""
-    import numpy as np
-
-    m = mixlm.first_model(np.zeros(0, np.uint64))
-    data = np.frombuffer(b"abcab", np.uint8)
-    b = mixlm.Bits(data, np.array([0, 3]), np.array([3, 5]), np.array([0, 1]))
-    assert len(b.bit) == 8 * (4 + 3)
-    x, gate = m.inputs(b)
-    p = m.refined(m.mixed(x, gate), gate)
-    assert ((p > 0) & (p < 1)).all() and gate.max() < mixlm.GATES
-
-
 def test_queries_carry_their_columns(spark):
     assert set(queries.queries()) >= {"op1_packing", "op10_quality"}
 
@@ -166,6 +232,12 @@ def test_pipeline(spark):
     rows = [(r["doc_id"], r["text"]) for r in made["language"].select("doc_id", "text").collect()]
     assert {r["doc_id"] for r in made["near_duplicates"].collect()} == plain_pipeline(rows)
     assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == {r["doc_id"] for r in made["mixing"].collect()}
+    texts = {r["doc_id"]: r["text"] for r in made["mixing"].collect()}
+    lib, whole = Tokenizer.from_file(queries.BYTE_BPE), {}
+    for r in docs.orderBy("doc_id", "start").collect():
+        assert len(r["ids"]) == 4 * r["length"] and r["ids_crc32"] == zlib.crc32(bytes(r["ids"]))
+        whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert all(whole[i] == b"".join(x.to_bytes(4, "little") for x in [*lib.encode(t, add_special_tokens=False).ids, 0]) for i, t in texts.items())
 
 
 @pytest.mark.parametrize("stage", range(4))

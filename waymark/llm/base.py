@@ -31,10 +31,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; only where that is unset on a local master, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = tempfile.mkdtemp(prefix="waymark-")

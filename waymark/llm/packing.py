@@ -72,8 +72,8 @@ def _by_rank(path: str):
     return out
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str, text: str, window: int) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, ids: full windows (ids null), then the rest of a document (ids binary)."""
+def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str, text: str, window: int, all_ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, ids: full windows (ids null unless asked for), then the rest of a document (ids binary)."""
     prepare(docs.sparkSession)
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     arrow_types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -88,7 +88,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str, text: str, window:
                 for at in range(0, n, window):
                     piece = ids[4 * at : 4 * (at + window)]
                     owner.append(i)
-                    for c, v in zip(cols, (at, len(piece) // 4, zlib.crc32(piece), n, piece if len(piece) < 4 * window else None), strict=True):
+                    for c, v in zip(cols, (at, len(piece) // 4, zlib.crc32(piece), n, piece if all_ids or len(piece) < 4 * window else None), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), *(pa.array(c, t) for c, t in zip(cols, arrow_types, strict=True))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
@@ -153,12 +153,12 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     with others by the rounded least-squares solution for the histogram of lengths (at most `window` counts reach the driver);
     pieces beyond it are laid end to end and cut at window ends, so only the last sequence is padded. A null or empty text
     is its single id 0; repeated rows are packed again; an empty table gives no rows; columns other than id and text are
-    ignored. Pieces are ranked within their length in `salts` parts (at least 64), so a common length is never one task's.
-    with_ids adds the ids themselves (little-endian 32-bit; null for full windows).
+    ignored. Pieces are ranked within their length in `salts` parts (64 if not given), so a common length is never one task's.
+    with_ids adds the ids themselves (little-endian 32-bit).
     """
     spark = docs.sparkSession
-    salts = salts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = scratch(cut_pieces(docs, tokenizer, doc_id, text, window)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    salts = salts or 64
+    pieces = scratch(cut_pieces(docs, tokenizer, doc_id, text, window, with_ids)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     counts = scratch(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))
     hist = np.zeros(window + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
