@@ -21,8 +21,6 @@ SALTS = 16
 SLACK = 0.16
 #: Minima of the closer signature, and its slack of 4 standard deviations.
 FINE, FINE_SLACK = 1024, 0.065
-#: Minima in a key of the closer signature: 128 keys miss a pair at the threshold with probability (1 - 0.75**8)**128 < 1e-5.
-TIGHT = 8
 #: Rows of a bucket that are joined in one place; larger buckets are split.
 PER_PART = 1000
 
@@ -77,10 +75,10 @@ def estimate(a: str, b: str, hashes: int = HASHES) -> str:
 
 
 def fine_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, fine, tight: of docs (doc_id, text) FINE minima's low bits and FINE / TIGHT keys of TIGHT minima each."""
+    """doc_id, fine array<long>: FINE minima's low bits of docs (doc_id, text), for what needs a closer estimate."""
     seeds = mix(np.arange(5001, 5001 + FINE, dtype=np.uint64))
     odd = mix(np.arange(9001, 9001 + FINE, dtype=np.uint64)) | np.uint64(1)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fine array<long>, tight array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fine array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut_batches(batches, "text"):
@@ -88,14 +86,12 @@ def fine_signatures(docs: DataFrame) -> DataFrame:
             if not len(doc):
                 continue
             start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            packed, tight = np.zeros((len(start), FINE * BITS // 64), np.uint64), np.zeros((len(start), FINE // TIGHT), np.uint64)
+            packed = np.zeros((len(start), FINE * BITS // 64), np.uint64)
             for j in range(FINE):
                 low = mix(np.minimum.reduceat((h ^ seeds[j]) * odd[j], start))
                 packed[:, j * BITS // 64] |= (low & np.uint64((1 << BITS) - 1)) << np.uint64(j * BITS % 64)
-                tight[:, j // TIGHT] = tight[:, j // TIGHT] * np.uint64(0x9FB21C651E98DF25) + low
-            tight = mix(tight ^ np.arange(FINE // TIGHT, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * m.shape[1], pa.int32()), pa.array(m.view(np.int64).ravel())) for m in (packed, tight)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), *lists], ["doc_id", "fine", "tight"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * packed.shape[1], pa.int32()), pa.array(packed.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), lists], ["doc_id", "fine"])
 
     return docs.mapInArrow(run, schema)
 
@@ -190,8 +186,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     160 minima in 40 bands of 4 rows miss a pair at the threshold with probability (1 - 0.75**4)**40 < 3e-7. In each bucket the
     document that meets most others is compared with all; then, where a bucket still holds several components, the most met of the
-    others. What is left is banded anew by a closer signature of 1024 minima, in keys of 8, and there documents outside a key's
-    commonest component meet those of other components. A pair goes on if its signatures' estimates are within the slack; only
+    others. In the buckets that are left, documents outside the commonest component meet those of other components, where a closer
+    signature of 1024 minima decides. A pair goes on if its signatures' estimates are within the slack; only
     texts of such pairs are shuffled, once, and full sets decide. Buckets of any size are dealt into parts of about 1000 rows.
 
     A text of any length is one set, made in one task by arrays of its words; ties cannot matter, as components take the
@@ -254,25 +250,26 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         edges = edges.union(more)
         found = components(edges)
         left = named(found)
-    # at last the documents of the buckets that remain, by keys of eight minima, which only near ones share: those outside a
-    # key's commonest component against all of other components.
-    facing = scratch(left.select("doc_id", "component").distinct())
+    # at last in the buckets that remain those outside a bucket's commonest component against all of other components. A closer
+    # signature tells near from nearly near; each pair leaves the join in its first common bucket only.
+    facing = scratch(left.groupBy("doc_id").agg(F.collect_set("bucket").alias("all")))
     if not facing.isEmpty():
-        fine = scratch(fine_signatures(only(texts, facing.select("doc_id")).dropDuplicates(["doc_id"])).join(facing, "doc_id"))
-        keys = fine.selectExpr("doc_id", "component", "explode(tight) AS bucket").distinct()
-        by = scratch(keys.groupBy("bucket", "component").agg(F.count("*").alias("n")))
-        by = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+        fine = fine_signatures(only(texts, facing.select("doc_id")).dropDuplicates(["doc_id"]))
+        signs = scratch(facing.join(sig, "doc_id").join(fine, "doc_id"))
+        by = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"))
         by = scratch(spread(by.select("bucket", "n", F.col("m.component").alias("main")), PER_PART))
-        open_rows = scratch(split(keys.join(by.where("part = 0").select("bucket", "n", "main"), "bucket"), PER_PART).join(sig, "doc_id"))
-        x = spread(open_rows.where("component <> main").drop("part"), PER_PART).select("bucket", "part", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), "main")
-        y = open_rows.select("bucket", "part", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"))
+        # left has the parts of all rows of its buckets; the same parts of the rows that count here are dealt anew.
+        dealt = left.select("bucket", "part", "doc_id", "component").join(repeated(left.groupBy("bucket").agg(F.first("n").alias("n"))).join(by.where("part = 0").select("bucket", "main", F.col("n").alias("m")), "bucket"), ["bucket", "part"])
+        open_rows = scratch(split(dealt.select("bucket", "doc_id", "component", "main", F.col("m").alias("n")), PER_PART).join(signs, "doc_id"))
+        x = spread(open_rows.where("component <> main").drop("part"), PER_PART).select("bucket", "part", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), F.col("fine").alias("fa"), F.col("all").alias("la"), "main")
+        y = open_rows.select("bucket", "part", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"), F.col("fine").alias("fb"), F.col("all").alias("lb"))
         # Two that are both outside the commonest component meet once.
-        meet = f"CASE WHEN ca = cb OR (cb <> main AND ca > cb) THEN false ELSE {estimate('sa', 'sb')} >= {floor} END"
+        meet = f"""CASE WHEN ca = cb OR (cb <> main AND ca > cb) OR {estimate('sa', 'sb')} < {floor} THEN false
+          WHEN {estimate('fa', 'fb', FINE)} < {percent / 100 - FINE_SLACK} THEN false ELSE array_min(array_intersect(la, lb)) = bucket END"""
         rest = scratch(x.join(y, ["bucket", "part"]).where(meet).select("a", "b").distinct())
         old = tried.union(again)
         rest = rest.join(old.union(old.select("b", "a")).distinct(), ["a", "b"], "left_anti")
-        rest = rest.join(fine.select(F.col("doc_id").alias("a"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("doc_id").alias("b"), F.col("fine").alias("fb")), "b")
-        more = confirm(rest.where(f"{estimate('fa', 'fb', FINE)} >= {percent / 100 - FINE_SLACK}").select("a", "b"), texts, percent)
+        more = confirm(rest, texts, percent)
         if not more.isEmpty():
             found = components(edges.union(more))
     # A member takes its representative's component.
