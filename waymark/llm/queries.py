@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import imatch, langid, licenses, mixing, mixlm, neardup, packing, quality, tokencount, urlfilter
+from waymark.llm import divergence, imatch, langid, licenses, mixing, mixlm, neardup, packing, quality, tokencount, urlfilter, whitening
 from waymark.llm.base import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,8 +62,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op3_urlfilter, op4_imatch, op5_neardup, op6_mixing, op7_licenses, op8_mixlm, op9_tokencount, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_urlfilter, op4_imatch, op5_neardup, op6_mixing, op7_licenses, op8_mixlm, op9_tokencount, op10_quality, op11_divergence, op13_whitening)}
 
 
 OP3_SQL = f"""
@@ -124,5 +132,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN u ON u.source IS NOT DISTINCT FROM b.source"""
 
 
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+t AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY lang, source),
+p AS (SELECT x.lang, x.source, x.term, x.n, 1 + (1000000000 * (x.n + 1)) // (s.n + v) AS p FROM x JOIN s ON s.lang = x.lang AND s.source = x.source JOIN t ON t.lang = x.lang),
+q AS (SELECT k.lang, k.term, 1 + (1000000000 * (k.n + 1)) // (t.n + v) AS q FROM k JOIN t ON t.lang = k.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN sums ON sums.lang = g.lang AND sums.source = g.source AND sums.item = h.source),
+terms AS (SELECT p.lang, source, 'term' AS part, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) y)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urlfilter": OP3_SQL, "op5_neardup": OP5_SQL, "op7_licenses": OP7_SQL, "op10_quality": OP10_SQL}
+    return {"op3_urlfilter": OP3_SQL, "op5_neardup": OP5_SQL, "op7_licenses": OP7_SQL, "op10_quality": OP10_SQL, "op11_divergence": OP11_SQL}
