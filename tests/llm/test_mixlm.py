@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,15 +188,66 @@ def test_prefix_counts_are_those_of_the_words():
     assert e.n[e.of_symbol[0]] == 6  # w
 
 
-@pytest.mark.parametrize("most", [2, 1000])
+@pytest.mark.parametrize("most", [40, 10_000])
 def test_crowded_beginnings_are_dealt_by_more_bytes(spark, most):
     words = [f"https://a.org/{i:04}".encode() for i in range(40)] + [b"http", b"htt", b"other", b"x" * 60, b"x" * 61, b"x" * 62, b"x" * 63]
-    got = mixlm.dealt_words(spark.createDataFrame([(w, 1) for w in words], "word binary, n long"), per_shard=5, most_alike=most).collect()
+    got = mixlm.dealt_words(spark.createDataFrame([(w, 1) for w in words], "word binary, n long"), per_shard=50, most_alike=most).collect()
     assert sorted(bytes(r["word"]) for r in got) == sorted(words)
     depth = {bytes(r["word"]): r["depth"] for r in got}
-    if most == 1000:
+    if most == 10_000:
         assert set(depth.values()) == {4}
     else:
         assert depth[b"other"] == 4 and depth[b"x" * 60] == mixlm.WHOLE_WORD and depth[words[0]] == 24
-        groups = Counter((r["depth"], bytes(r["word"])[: r["depth"]]) for r in got)
-        assert max(groups.values()) <= most
+        groups = defaultdict(list)
+        for r in got:
+            groups[r["depth"], bytes(r["word"])[: r["depth"]]].append(len(r["word"]) + 1)
+        assert all(sum(g) <= most or len(g) == 1 for g in groups.values())
+
+
+def texts_of_many_shards():
+    stems = ["https://a.org/", "https://b.org/x/", "walk", "wander", "wand", "wands", "wall", "é", "x", "to", "the", "x" * 30]
+    return [" ".join(f"{stems[(i * k + k // 3) % 12]}{(i * k) % 17 if k % 3 else ''}" for k in range(1, 40)) for i in range(20)]
+
+
+def scores(spark, rows, **how):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    return {r["doc_id"]: r["score"] for r in mixlm.score(docs, F.col("learn"), **how).collect()}
+
+
+def test_scores_do_not_depend_on_how_words_are_dealt(spark):
+    rows = [(i, t, i % 5 > 0) for i, t in enumerate(texts_of_many_shards())]
+    assert scores(spark, rows, most_alike=30) == scores(spark, rows)
+
+
+def test_prefix_counts_over_shards_are_those_of_one(spark):
+    words = Counter(w.encode() for t in texts_of_many_shards() for w in t.split())
+    dealt = mixlm.dealt_words(spark.createDataFrame(list(words.items()), "word binary, n long"), per_shard=100, most_alike=60)
+    above = mixlm.shared_counts(dealt).toArrow()
+    dealt = dealt.toArrow()
+    assert len(set(dealt["shard"].to_pylist())) > 5 and above.num_rows
+    whole = mixlm.word_edges(pa.array(list(words)), np.array(list(words.values()), float), mixlm.HEAD, np.full(len(words), 4))
+    want = {(p, b): (z, o) for p, b, z, o, w in zip(whole.prefix.tolist(), whole.byte.tolist(), *(x.T.tolist() for x in whole.prefix_counts()), whole.whole) if w}
+    met = set()
+    for s in set(dealt["shard"].to_pylist()):
+        t, known = dealt.filter(pa.compute.equal(dealt["shard"], s)), above.filter(pa.compute.equal(above["shard"], s))
+        e = mixlm.word_edges(t["word"], t["n"].to_numpy().astype(float), mixlm.HEAD, t["depth"].to_numpy(), known)
+        for p, b, z, o, w in zip(e.prefix.tolist(), e.byte.tolist(), *(x.T.tolist() for x in e.prefix_counts()), e.whole):
+            if w:
+                assert want[p, b] == (z, o)
+                met.add((p, b))
+    assert met == set(want)
+
+
+@pytest.mark.parametrize("learned", [True, False])
+def test_words_of_one_and_two_letters(spark, learned):
+    for rows in ([(1, "a b c")], [(1, "ab"), (2, "zz yy")], [(1, "")]):
+        got = scores(spark, [(*r, learned) for r in rows])
+        assert set(got) == {i for i, _ in rows} and all(s < 0 for s in got.values())
+
+
+def test_a_table_of_files_is_read_in_place(spark, tmp_path):
+    rows = [(i, t, i % 5 > 0) for i, t in enumerate(texts_of_many_shards())]
+    spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t").withColumn("more", F.col("doc_id") + 1).where("more > 0")
+    got = {r["doc_id"]: r["score"] for r in mixlm.score(docs, F.col("learn"), chunk_bytes=1000).collect()}
+    assert got == scores(spark, rows)

@@ -7,7 +7,8 @@ so the token probabilities sum to one.
 The first three symbols of a token are predicted with the class of the last frequent word before it, the others within the token
 only. So a token's score is that of its (class, first symbols) plus that of its other symbols: the former are few, the latter
 belong to the distinct word, whatever the text. Low orders have hashed tables of fixed size. The whole-prefix predictor has
-exact counts that grow with the words: words are dealt by their first bytes, so that the counts of a prefix are in one place.
+exact counts that grow with the words: words are dealt by their first bytes, so that the counts of a longer prefix are in one
+place; those of prefixes that words in several places share are counted by themselves and joined in.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +35,10 @@ BLOCK_BITS = 16
 PREFIX, INPUTS = 5, 7
 #: Symbols of a token that the class before it helps to predict.
 HEAD = 3
-#: Words are dealt by so many first bytes; where more than MOST_ALIKE distinct words share them, by the next number, at last by the whole word.
+#: Words are dealt by so many first bytes; where the distinct words that share them have more than MOST_ALIKE symbols, by the next number, at
+#: last by the whole word. The first number is also the least length of a prefix with counts of its own.
 LEVELS = (4, 6, 9, 14, 24, 48)
-MOST_ALIKE = 50_000
+MOST_ALIKE = 400_000
 WHOLE_WORD = 1 << 30
 #: Frequent words that serve as a context for what follows them.
 CLASSES = 96
@@ -58,10 +59,13 @@ class Edges:
     """The distinct (class, prefix, next symbol) of tokens, side by side by prefix: contexts, counts, and the edge of each symbol.
 
     size, symbols: the tokens' symbols one after another; cls, n: class and count of each token; only symbols from position
-    `first` on are taken. depth: from which position on a token's prefix counts are whole.
+    `first` on are taken. depth: from which position on no other shard has a token's prefix; above: (prefix, byte, n) of all shards
+    for the prefixes before it.
     """
 
-    def __init__(self, size: np.ndarray, symbols: np.ndarray, n: np.ndarray, cls: np.ndarray | None = None, first: int = 0, depth: np.ndarray | None = None) -> None:
+    def __init__(
+        self, size: np.ndarray, symbols: np.ndarray, n: np.ndarray, cls: np.ndarray | None = None, first: int = 0, depth: np.ndarray | None = None, above: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    ) -> None:
         token = np.repeat(np.arange(len(size)), size)
         begin = np.cumsum(size) - size
         at = np.arange(len(token)) - begin[token]
@@ -94,7 +98,9 @@ class Edges:
         self.token, self.n_tokens = token, len(size)
         self.n = np.bincount(edge, weights=n[token[order]], minlength=len(some)) if len(some) else np.zeros(0)
         self.prefix, self.byte, self.pos = p[new], b[new].astype(np.int64), at[some]
-        self.whole = self.pos >= depth[token[some]] if depth is not None else np.zeros(len(some), bool)
+        self.whole = self.pos >= LEVELS[0] if depth is not None else np.zeros(len(some), bool)
+        self.shared = self.whole & (self.pos < depth[token[some]]) if depth is not None else self.whole
+        self.above = above
         self.contexts = [context(i, v[some]) for i, v in enumerate(keys)]
         self.classed = context(CLASS, self.prefix) if cls is not None else None
 
@@ -103,20 +109,28 @@ class Edges:
 
     def prefix_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Zeros and ones [8, edges] that the tokens show at each bit of an edge, after its prefix and the bits before."""
-        zeros, ones = np.zeros((8, len(self))), np.zeros((8, len(self)))
         if not len(self):
-            return zeros, ones
-        other = np.ones(len(self), bool)
-        other[1:] = self.prefix[1:] != self.prefix[:-1]
+            return np.zeros((8, 0)), np.zeros((8, 0))
+        prefix, byte, n, order = self.prefix, self.byte, np.where(self.shared, 0, self.n), None
+        if self.above is not None and len(self.above[0]):
+            prefix, byte, n = (np.concatenate(v) for v in zip((prefix, byte, n), self.above, strict=True))
+            order = np.lexsort((byte, prefix))
+            prefix, byte, n = prefix[order], byte[order], n[order]
+        zeros, ones = np.zeros((8, len(byte))), np.zeros((8, len(byte)))
+        other = np.ones(len(byte), bool)
+        other[1:] = prefix[1:] != prefix[:-1]
         for j in range(8):
-            above = self.byte >> (8 - j)
+            above = byte >> (8 - j)
             new = other.copy()
             new[1:] |= above[1:] != above[:-1]
             start, back = np.flatnonzero(new), np.cumsum(new) - 1
-            one = np.add.reduceat(np.where(self.byte >> (7 - j) & 1, self.n, 0), start)
+            one = np.add.reduceat(np.where(byte >> (7 - j) & 1, n, 0), start)
             ones[j] = one[back]
-            zeros[j] = (np.add.reduceat(self.n, start) - one)[back]
-        return zeros, ones
+            zeros[j] = (np.add.reduceat(n, start) - one)[back]
+        if order is None:
+            return zeros, ones
+        own = np.argsort(order)[: len(self)]
+        return zeros[:, own], ones[:, own]
 
 
 def context(i: int, key: np.ndarray) -> np.ndarray:
@@ -191,7 +205,7 @@ class Model:
             x, gate, bit = self.inputs(e, part, counts, False)
             p = self.refined(self.mixed(x, gate), gate)
             each[part] = np.log10(np.where(bit == 1, p, 1 - p)).sum(0)
-        return np.bincount(e.token, weights=each[e.of_symbol], minlength=e.n_tokens)
+        return np.bincount(e.token, weights=each[e.of_symbol], minlength=e.n_tokens).astype(float)  # integers where no token has such symbols
 
 
 def first_model(frequent: np.ndarray) -> Model:
@@ -243,11 +257,12 @@ def head_edges(keys: np.ndarray, n: np.ndarray) -> Edges:
     return Edges((each > 0).sum(1), each[each > 0] - 1, n, keys >> 9 * HEAD)
 
 
-def word_edges(words: pa.Array, n: np.ndarray, first: int = HEAD, depth: np.ndarray | None = None) -> Edges:
-    """The edges of words (binary) from position `first` on."""
+def word_edges(words: pa.Array, n: np.ndarray, first: int = HEAD, depth: np.ndarray | None = None, above: pa.Table | None = None) -> Edges:
+    """The edges of words (binary) from position `first` on; above: prefix, byte, n."""
     raw, ends = words.to_pylist(), np.full(1, TERMINATOR, np.uint8).tobytes()
     size = np.array([len(x) + 1 for x in raw], np.int64)
-    return Edges(size, np.frombuffer(ends.join([*raw, b""]), np.uint8), n, None, first, depth)
+    known = (above["prefix"].to_numpy().view(np.uint64), above["byte"].to_numpy().astype(np.int64), above["n"].to_numpy().astype(float)) if above is not None else None
+    return Edges(size, np.frombuffer(ends.join([*raw, b""]), np.uint8), n, None, first, depth, known)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 60_000, size: int = 2_000_000) -> Iterator[pa.Table]:
@@ -280,24 +295,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
-def chunks_of(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """The batches and the chunk of each row: rows that follow each other in a task, up to about `size` bytes of text or one row."""
-    before, task = 0, TaskContext.get().partitionId()
-    for b in batches:
-        ends = before + np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64))
-        yield b, (task << 32) + ends // size
-        before = int(ends[-1]) if len(ends) else before
-
-
-def chunked(docs: DataFrame, size: int) -> DataFrame:
-    """docs (with text) and `chunk`."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "chunk long"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, chunk in chunks_of(batches, "text", size):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk)], [*b.schema.names, "chunk"])
-
-    return docs.mapInArrow(run, schema)
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with `_place`, file and row, the same whenever they are read; what isn't a table of files is written first."""
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn("_place", at)
+    except AnalysisException:
+        return scratch(docs).withColumn("_place", at)
 
 
 def place(of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,8 +312,8 @@ def place(of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, of[at] == keys
 
 
-def head_counts_and_asks(docs: DataFrame, frequent: np.ndarray, common: np.ndarray, size: int) -> DataFrame:
-    """chunk, key, n: by chunk of docs (text, learn) the hashes of its words but the common (n 0); for chunk -1 heads and their counts."""
+def head_counts_and_asks(docs: DataFrame, frequent: np.ndarray, common: np.ndarray) -> DataFrame:
+    """chunk, key, n: by chunk of docs (text, learn, chunk) the hashes of its words but the common (n 0); for chunk -1 heads and their counts."""
 
     def rows(chunk: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk)), pa.array(key), pa.array(n.astype(np.int64))], ["chunk", "key", "n"])
@@ -320,24 +324,22 @@ def head_counts_and_asks(docs: DataFrame, frequent: np.ndarray, common: np.ndarr
         return rows(chunk, h, np.zeros(len(h)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, met = -1, []  # the chunk at hand and its words so far
-        for whole, chunk in chunks_of(batches, "text", size):
-            with_chunk = pa.RecordBatch.from_arrays([*whole.columns, pa.array(chunk)], ["text", "learn", "chunk"])
-            for b in cut_batches(iter([with_chunk]), "text", 1_000_000):
-                t = Tokens(b.column(0), frequent)
-                w, learn = t.words, b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                each = b.column(2).to_numpy()
-                for c in np.unique(each).tolist():
-                    if c != now and met:
-                        yield asks(now, met)
-                        met = []
-                    now = c
-                    met.append(np.unique(w.hash[each[w.doc] == c]))
-                yield rows(-1, *np.unique(np.concatenate([t.heads()[learn[w.doc]], t.ends()[learn]]), return_counts=True))
+        now, met = -1, []  # the chunk at hand and its words so far; a chunk that two tasks read asks twice
+        for b in cut_batches(batches, "text", 1_000_000):
+            t = Tokens(b.column(0), frequent)
+            w, learn = t.words, b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            each = b.column(2).to_numpy()
+            for c in np.unique(each).tolist():
+                if c != now and met:
+                    yield asks(now, met)
+                    met = []
+                now = c
+                met.append(np.unique(w.hash[each[w.doc] == c]))
+            yield rows(-1, *np.unique(np.concatenate([t.heads()[learn[w.doc]], t.ends()[learn]]), return_counts=True))
         if met:
             yield asks(now, met)
 
-    return docs.select("text", "learn").mapInArrow(run, "chunk long, key long, n long")
+    return docs.select("text", "learn", "chunk").mapInArrow(run, "chunk long, key long, n long")
 
 
 def common_from(words: DataFrame, most: int) -> int:
@@ -352,12 +354,13 @@ def common_from(words: DataFrame, most: int) -> int:
     return cut
 
 
-def dealt_words(words: DataFrame, per_shard: int = 60_000, most_alike: int = MOST_ALIKE) -> DataFrame:
-    """words with depth and shard: words that share their first `depth` bytes are in one shard, never more than most_alike of them.
+def dealt_words(words: DataFrame, per_shard: int = 500_000, most_alike: int = MOST_ALIKE) -> DataFrame:
+    """words with depth and shard: words that share their first `depth` bytes are in one shard, and several never have more than most_alike symbols.
 
-    Counts of distinct words by their first bytes name the crowded beginnings (at most words / most_alike); their words go by more bytes.
+    Symbols of distinct words by their first bytes name the crowded beginnings (at most all symbols / most_alike); their words go by more bytes.
     """
-    total = words.count()
+    symbols = F.sum(F.length("word") + 1)
+    total = words.agg(F.coalesce(symbols, F.lit(0))).first()[0]
     crowded = None  # beginnings of the level before
     depth = F.lit(WHOLE_WORD)
     rest = words.select("word")
@@ -365,7 +368,7 @@ def dealt_words(words: DataFrame, per_shard: int = 60_000, most_alike: int = MOS
     for level in LEVELS:
         if crowded is not None:
             rest = rest.join(near(crowded), F.substring("word", 1, before) == F.col("_head"), "left_semi")
-        crowded = scratch(rest.groupBy(F.substring("word", 1, level).alias("_head")).count().where(F.col("count") > most_alike).select("_head"))
+        crowded = scratch(rest.groupBy(F.substring("word", 1, level).alias("_head")).agg(symbols.alias("m"), F.count("*").alias("n")).where((F.col("m") > most_alike) & (F.col("n") > 1)).select("_head"))
         before = level
         steps.append((level, crowded))
         if crowded.isEmpty():
@@ -382,6 +385,30 @@ def dealt_words(words: DataFrame, per_shard: int = 60_000, most_alike: int = MOS
     return out.withColumn("shard", F.pmod(F.xxhash64(beginning), F.lit(max(1, -(-total // per_shard)))))
 
 
+def shared_counts(words: DataFrame) -> DataFrame:
+    """shard, prefix, byte, n: what follows the prefixes that words of several shards may share (from LEVELS[0] up to depth), counted over all
+    words, for each shard that has the prefix. Only words with a crowded beginning have such prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gathered(batches):
+            e = word_edges(t.column("word"), t.column("n").to_numpy().astype(float), LEVELS[0], t.column("depth").to_numpy())
+            # Words of several shards come together here, so an edge is told for each of its shards.
+            some = e.shared[e.of_symbol]
+            edge, token = e.of_symbol[some], e.token[some]
+            shard, n = t.column("shard").to_numpy()[token], t.column("n").to_numpy()[token]
+            order = np.lexsort((edge, shard))
+            edge, shard, n = edge[order], shard[order], n[order]
+            new = np.ones(len(edge), bool)
+            new[1:] = (edge[1:] != edge[:-1]) | (shard[1:] != shard[:-1])
+            n = np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
+            yield pa.RecordBatch.from_arrays([pa.array(shard[new]), pa.array(e.prefix[edge[new]].view(np.int64)), pa.array(e.byte[edge[new]].astype(np.int32)), pa.array(n)], ["shard", "prefix", "byte", "n"])
+
+    found = words.where(F.col("depth") > LEVELS[0]).select("word", "n", "depth", "shard").mapInArrow(run, "shard long, prefix long, byte int, n long")
+    found = scratch(found.groupBy("shard", "prefix", "byte").agg(F.sum("n").alias("n")))
+    counts = found.groupBy("prefix", "byte").agg(F.sum("n").alias("n")).where("n > 0")
+    return scratch(found.select("shard", "prefix").distinct().join(counts, "prefix").select("shard", "prefix", "byte", "n"))
+
+
 def near(small: DataFrame, rows: int = 10_000) -> DataFrame:
     """small, broadcast if it has few rows (they are counted)."""
     return F.broadcast(small) if small.count() <= rows else small
@@ -498,8 +525,8 @@ def joined(model: Model, sums: np.ndarray) -> Model:
     return model
 
 
-def fit(spark: SparkSession, words: DataFrame, heads: DataFrame, frequent: np.ndarray) -> Model:
-    """The model of all words (word, n, depth, shard) and heads (key, n).
+def fit(spark: SparkSession, words: DataFrame, above: DataFrame, heads: DataFrame, frequent: np.ndarray) -> Model:
+    """The model of all words (word, n, depth, shard), what is known of prefixes above them (shared_counts) and heads (key, n).
 
     The tables of the low orders come to the driver and go to the tasks (fixed size); weights are learned by shard, and Spark
     sums the shards' values, so that the driver gets one row for each of about 6,000 values.
@@ -513,14 +540,15 @@ def fit(spark: SparkSession, words: DataFrame, heads: DataFrame, frequent: np.nd
         at = np.flatnonzero(flat)
         return pa.table({"at": pa.array(at.astype(np.int32)), "v": pa.array(flat[at])})
 
-    def of_words(t: pa.Table) -> pa.Table:
-        return rows(learn(shared.value, word_edges(t.column("word"), t.column("n").to_numpy().astype(float), HEAD, t.column("depth").to_numpy()), True))
+    def of_words(t: pa.Table, known: pa.Table) -> pa.Table:
+        t = t.sort_by("word")
+        return rows(learn(shared.value, word_edges(t.column("word"), t.column("n").to_numpy().astype(float), HEAD, t.column("depth").to_numpy(), known), True))
 
     def of_heads(t: pa.Table) -> pa.Table:
         return rows(learn(shared.value, head_edges(t.column("key").to_numpy(), t.column("n").to_numpy().astype(float)), False))
 
     parts = max(1, -(-heads.count() // 100_000))
-    a = words.where("n > 0").select("word", "n", "depth", "shard").groupBy("shard").applyInArrow(lambda t: of_words(t.sort_by("word")), "at int, v double")
+    a = words.where("n > 0").select("word", "n", "depth", "shard").groupBy("shard").cogroup(above.groupBy("shard")).applyInArrow(of_words, "at int, v double")
     b = heads.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("shard").applyInArrow(lambda t: of_heads(t.sort_by("key")), "at int, v double")
     sums = np.zeros(sum(int(np.prod(s)) for s in _SHAPES))
     for r in a.unionByName(b).groupBy("at").agg(F.sum("v").alias("v")).collect():
@@ -558,19 +586,20 @@ class Remembered:
 _remembered = Remembered()
 
 
-def score(docs: DataFrame, learn_from: Column, text: str = "text", chunk_bytes: int = 32_000_000, most_common: int = 1 << 16) -> DataFrame:
+def score(docs: DataFrame, learn_from: Column, text: str = "text", chunk_bytes: int = 32_000_000, most_common: int = 1 << 16, most_alike: int = MOST_ALIKE) -> DataFrame:
     """docs' columns but the text, with n_bytes, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     learn_from: which rows the model and the counts are made of (null: not). Tokens are the lower-cased (A-Z) words and one end;
     base_score sums log10((c+1)/(N+1*(V+1))), with c a token's count, N all and V the distinct training tokens. score is the
     model's log10 probability of the tokens' symbols. Null texts are empty (the end alone); a text of any length is handled
-    whole, by symbols; repeated rows score alike; without training rows N is 0 and the model is the first guess; an empty table
-    gives no rows; extra columns of these names are replaced, others are kept, whatever their names. Ties don't occur.
+    whole, by symbols, in whatever number of shards its words lie; repeated rows score alike; without training rows N is 0 and the model is the first guess; an empty table
+    gives no rows; extra columns of these names are replaced, others are kept, whatever their names. Of words as frequent as the last
+    frequent one, those with the smallest hashes serve as contexts.
 
-    Documents that follow each other in a task make chunks of about chunk_bytes. Each chunk asks for each of its distinct words,
+    Rows that follow each other in a file make chunks of about chunk_bytes. Each chunk asks for each of its distinct words,
     and counts and scores come back by chunk, so no vocabulary is ever in one place, and copies need no special care. Only the
-    most common words (at most most_common) are broadcast. docs is read three times and must give its rows in the same order, as
-    files do; a query whose order may change must be written first, else the last step fails with a message.
+    most common words (at most most_common) are broadcast. Chunks go by file and row, so they are the same in each of the three reads
+    whatever executors come and go; docs that isn't a table of files is written once.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -578,25 +607,29 @@ def score(docs: DataFrame, learn_from: Column, text: str = "text", chunk_bytes:
     kept = [f for f in docs.schema.fields if f.name not in (*names, text)]
     row = F.struct(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)]) if kept else F.lit(None).cast("struct<c: int>")
     docs = docs.select(row.alias("kept"), F.col(text).cast("string").alias("text"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
+    docs = placed(docs)
     words = scratch(word_counts(docs))
     some = words.where("n > 0")
-    ends = docs.where("learn").count()
+    n_rows, ends, size = docs.agg(F.count("*"), F.count_if("learn"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rows_each = max(1, min(8192, chunk_bytes * n_rows // max(size, 1)))
+    docs = docs.withColumn("chunk", F.xxhash64("_place.file", F.floor(F.col("_place.row") / rows_each)).bitwiseAND(F.lit((1 << 62) - 1))).drop("_place")
     n_words, distinct = some.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = n_words + ends, distinct + (ends > 0)
     frequent = np.sort(np.array([r[0] for r in some.orderBy(F.desc("n"), "h").limit(CLASSES).collect()], np.int64).view(np.uint64))
     cut = common_from(some, most_common)
     common = np.sort(words.where(F.col("n") >= cut).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    both = scratch(head_counts_and_asks(docs, frequent, common, chunk_bytes))
+    both = scratch(head_counts_and_asks(docs, frequent, common))
     heads = scratch(both.where("chunk = -1").groupBy("key").agg(F.sum("n").alias("n")))
-    spread = dealt_words(words)
-    shared = spark.sparkContext.broadcast(fit(spark, spread, heads, frequent))
+    spread = dealt_words(words, most_alike=most_alike)
+    above = shared_counts(spread)
+    shared = spark.sparkContext.broadcast(fit(spark, spread, above, heads, frequent))
 
-    def tails(t: pa.Table) -> pa.Table:
+    def tails(t: pa.Table, known: pa.Table) -> pa.Table:
         t = t.sort_by("word")
-        e = word_edges(t.column("word"), t.column("n").to_numpy().astype(float), HEAD, t.column("depth").to_numpy())
+        e = word_edges(t.column("word"), t.column("n").to_numpy().astype(float), HEAD, t.column("depth").to_numpy(), known)
         return pa.table({"h": t.column("h"), "n": t.column("n"), "tail": pa.array(shared.value.token_scores(e, True))})
 
-    scored = scratch(spread.groupBy("shard").applyInArrow(tails, "h long, n long, tail double"))
+    scored = scratch(spread.groupBy("shard").cogroup(above.groupBy("shard")).applyInArrow(tails, "h long, n long, tail double"))
     often = scored.where(F.col("n") >= cut).toArrow()
     h = often["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -631,5 +664,5 @@ def score(docs: DataFrame, learn_from: Column, text: str = "text", chunk_bytes:
             done.append(pa.RecordBatch.from_arrays(cols, ["kept", *names]))
         return pa.Table.from_batches(done, None if done else pa.schema([]))
 
-    found = chunked(docs.select("kept", "text"), chunk_bytes).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, schema)
+    found = docs.select("kept", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, schema)
     return found.select(*[F.col(f"kept.{c}").alias(f.name) for c, f in zip(outs, kept, strict=True)], *names)
