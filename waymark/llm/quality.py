@@ -112,18 +112,25 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", worst: floa
     """docs without the text, with FEATURES, base_failed, host_rate and kept (boolean, never null).
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. kept: not base_failed, and the host
-    isn't rejected, by base_failed or by HOST_RULES. Null or empty texts have no words and fail; null hosts are judged together; repeated rows are judged alike.
+    isn't rejected, by base_failed or by HOST_RULES. Null or empty texts have no words and fail; texts of any length are judged whole; null
+    hosts are judged together; repeated rows are judged alike; an empty table gives no rows; there are no ties. Extra columns named
+    as those made here are replaced, others stay, whatever their names.
     Up to `small_hosts` hosts the verdicts are broadcast (their number is counted first), beyond it they are joined by shuffle
     with each host's verdict copied to 32 salts.
     """
-    facts = scratch(with_features(docs, text).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
-    verdicts = scratch(host_verdicts(facts, host, "base_failed", worst, rules=HOST_RULES))
-    v = verdicts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("host_ok").alias("_ok"))
-    facts = facts.drop("host_rate", "kept", "_n_lines")
+    names = [f.split(" ")[0] for f in FEATURES.split(", ")]
+    made = [*names, "base_failed", "host_rate", "kept", text]
+    held = [c for c in docs.columns if c not in made]
+    # All columns of docs go as one struct, so that no name of theirs can meet one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(held)], F.lit(0).alias("none")).alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    facts = scratch(with_features(rows, "text").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
+    verdicts = scratch(host_verdicts(facts, "host", "base_failed", worst, rules=HOST_RULES))
+    v = verdicts.select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), "host_ok")
     if verdicts.count() <= small_hosts:
-        out = facts.join(F.broadcast(v), F.col(host).eqNullSafe(F.col("_host")), "left")
+        out = facts.join(F.broadcast(v), F.col("host").eqNullSafe(F.col("of")), "left")
     else:
-        salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(32)))
-        v = v.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
-        out = salted.join(v, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_ok"), F.lit(True))).drop("_host", "_ok")
+        salted = facts.withColumn("salt", F.pmod(F.xxhash64(*facts.columns), F.lit(32)))
+        v = v.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+        out = salted.join(v, F.col("host").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("at")), "left")
+    kept = ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(held)], *names, "base_failed", "host_rate", kept.alias("kept"))
