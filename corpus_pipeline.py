@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import langid, mixing, neardup, packing, quality
@@ -13,9 +13,10 @@ from waymark.llm.queries import BYTE_BPE
 LEAST_LANGUAGE = 0.3
 
 
-def _row_key(docs: DataFrame) -> DataFrame:
-    """docs with a key of 128 bits of the whole row, so that decisions join back to rows even where ids repeat or are null."""
-    return docs.withColumn("_key", F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(1), *docs.columns).alias("b")))
+def _row_key(docs: DataFrame) -> Column:
+    """A key of 128 bits of the whole row, so that decisions join back to rows even where ids repeat or are null."""
+    all_ = [docs[f"`{c}`"] for c in docs.columns]
+    return F.struct(F.xxhash64(*all_).alias("a"), F.xxhash64(F.lit(1), *all_).alias("b"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts fail; equal rows share a verdict; null hosts are judged together; an empty table gives an empty one.
     """
-    bad = quality.judge(_row_key(docs).select("_key", "text", "source")).where("NOT kept").select("_key").distinct()
-    return _row_key(docs).join(bad, "_key", "left_anti").select(*docs.columns)
+    facts = docs.select(_row_key(docs).alias("key"), docs["text"].alias("text"), docs["source"].alias("source"))
+    bad = quality.judge(facts).where("NOT kept").select("key").distinct()
+    return docs.join(bad, _row_key(docs) == bad["key"], "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
