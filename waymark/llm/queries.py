@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import divergence, imatch, langid, licenses, mixing, mixlm, neardup, packing, quality, tokencount, urlfilter, whitening
+from waymark.llm import divergence, imatch, kmtree, langid, licenses, mixing, mixlm, neardup, packing, quality, tokencount, urlfilter, whitening
 from waymark.llm.base import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,12 +66,16 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, top=200)
 
 
+def op12_kmtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op3_urlfilter, op4_imatch, op5_neardup, op6_mixing, op7_licenses, op8_mixlm, op9_tokencount, op10_quality, op11_divergence, op13_whitening)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_urlfilter, op4_imatch, op5_neardup, op6_mixing, op7_licenses, op8_mixlm, op9_tokencount, op10_quality, op11_divergence, op12_kmtree, op13_whitening)}
 
 
 OP3_SQL = f"""
