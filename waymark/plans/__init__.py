@@ -1,4 +1,4 @@
 """All queries by name, and their SQL."""
 
-from waymark.plans import bounded, graphs, live, paths, reports, streams  # noqa: F401
+from waymark.plans import bounded, graphs, live, paths, reports, streams, topology  # noqa: F401
 from waymark.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -15,7 +15,7 @@ from waymark.streaming import live
 from waymark.streaming.store import shared_folder
 
 
-def _feed(spark: SparkSession, df: DataFrame, rows: int = 500_000) -> tuple[DataFrame, str]:
+def feed_of(spark: SparkSession, df: DataFrame, rows: int = 500_000) -> tuple[DataFrame, str]:
     """df as a stream of files of about `rows` rows (at least three) in order of seq, and a folder for its checkpoint."""
     files = max(3, -(-df.count() // rows))
     folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
@@ -34,7 +34,7 @@ nedge AS (SELECT pool_id AS pool, t0 AS token_in, t1 AS token_out, r0 AS r_in, r
 @query(NEW + walk("request", 2, edge="nedge") + " SELECT request_id, amount_in, amount_out, path_key FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route) x WHERE n=1", recursive=True)
 def live_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions' best routes after the change feed has run through, refreshed batch by batch."""
-    feed, checkpoint = _feed(spark, fx.changes(spark, sf_dir))
+    feed, checkpoint = feed_of(spark, fx.changes(spark, sf_dir))
     run = live.LiveRoutes(spark, fx.requests(spark, sf_dir))
     run.baseline(fx.pools(spark, sf_dir))
     run.run(feed, checkpoint)
@@ -49,7 +49,7 @@ def balance_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with_package(spark)
 
-    feed, checkpoint = _feed(spark, transfers(spark, sf_dir))
+    feed, checkpoint = feed_of(spark, transfers(spark, sf_dir))
     out = f"{checkpoint}-out"
     balances = fx.balances(spark, sf_dir)
     q = live.balance_stream(feed, balances).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).trigger(availableNow=True).start()

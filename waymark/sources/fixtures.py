@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators import topology
+
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -83,3 +85,29 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(event_id AS BIGINT) AS seq", "ts", "event_type AS kind", "CAST((1 + user_id % 5) * 10000 + ((event_id * 7) % 24) * 100 + ((event_id * 7) % 24) + 1 AS BIGINT) AS pool_id",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k", "event_type = 'error' AS removed",
     )
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, token_in, token_out, amount_in: one request of 1,000 for each pair that any customer asks for."""
+    return requests(spark, sf_dir).select("token_in", "token_out").distinct().selectExpr("token_in * 1000 + token_out AS request_id", "token_in", "token_out", "1000L AS amount_in")
+
+
+def yearly_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """version, pool, t0, t1, r0, r1: the pools that traded in each year of orders; version 0 is the first year."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey <> c_nationkey")
+    low, high = "least(s_nationkey, c_nationkey)", "greatest(s_nationkey, c_nationkey)"
+    rows = rows.selectExpr("CAST(year(o_orderdate) AS BIGINT) AS y", f"CAST(substr(o_orderpriority, 1, 1) * 10000 + {low} * 100 + {high} AS BIGINT) AS pool", f"CAST({low} AS BIGINT) AS t0", f"CAST({high} AS BIGINT) AS t1", "s_nationkey < c_nationkey AS up", "CAST(floor(l_quantity) AS BIGINT) AS q")
+    found = rows.groupBy("y", "pool", "t0", "t1").agg((F.sum(F.expr("CASE WHEN up THEN q ELSE 0 END")) + 1).alias("r0"), (F.sum(F.expr("CASE WHEN NOT up THEN q ELSE 0 END")) + 1).alias("r1"))
+    first = table(spark, sf_dir, "orders").agg(F.year(F.min("o_orderdate")).cast("long").alias("first"))
+    return found.join(first).selectExpr("y - first AS version", "pool", "t0", "t1", "r0", "r1")
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of commits (waymark.streaming.topology.COMMIT) that lead from each year's pools to the next year's; those of version 0 are the baseline."""
+    at = topology.generations(yearly_pools(spark, sf_dir)).select("version", "pool", "generation", "revision", "t0", "t1", "r0", "r1")
+    was = at.select((F.col("version") + 1).alias("version"), "pool", F.struct("generation", "t0", "t1", "r0", "r1").alias("was"))
+    last = at.agg(F.max("version").alias("last"))
+    both = at.join(was, ["version", "pool"], "full_outer").join(last).where("version <= last")
+    changed = both.where(F.col("t0").isNull() | ~F.struct("generation", "t0", "t1", "r0", "r1").eqNullSafe(F.col("was")))
+    return changed.select("version", F.lit("main").alias("runtime"), "pool", "generation", "revision", "t0", "t1", "r0", "r1", F.lit(False).alias("full"))
