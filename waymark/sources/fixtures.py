@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.operators import topology
@@ -111,3 +111,23 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = at.join(was, ["version", "pool"], "full_outer").join(last).where("version <= last")
     changed = both.where(F.col("t0").isNull() | ~F.struct("generation", "t0", "t1", "r0", "r1").eqNullSafe(F.col("was")))
     return changed.select("version", F.lit("main").alias("runtime"), "pool", "generation", "revision", "t0", "t1", "r0", "r1", F.lit(False).alias("full"))
+
+
+def route_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed for waymark.streaming.eventlog, from orders: a customer's first order subscribes, each later one replaces the request, its result
+    arrives when the last item is shipped (stamped with the order's place among the customer's and the year it was asked in; `P` orders
+    fail), and a commit comes with each year after the first. A customer in debt cancels a day after the last order."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
+    orders, of = table(spark, sf_dir, "orders"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    asked = orders.select(F.col("o_custkey").cast("long").alias("request_id"), F.col("o_orderkey").cast("long").alias("key"), day("o_orderdate").alias("day"), F.year("o_orderdate").cast("long").alias("y"), "o_orderstatus", F.floor(F.col("o_totalprice")).cast("long").alias("total"), (F.row_number().over(of) - 1).cast("long").alias("nth"))
+    first = orders.agg(F.year(F.min("o_orderdate")).cast("long").alias("first"), F.year(F.max("o_orderdate")).cast("long").alias("last"))
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("key")).agg(F.max(day("l_shipdate")).alias("shipped"))
+    place = lambda d, kind, key: (F.expr(d) * 4 + kind) * 100_000_000_000 + F.expr(key)
+    none = F.lit(None).cast("long")
+    control = asked.select(place("day", 2, "key").alias("seq"), F.when(F.col("nth") == 0, "subscribe").otherwise("replace").alias("kind"), "request_id", none.alias("epoch"), none.alias("version"), none.alias("amount"))
+    results = asked.join(shipped, "key").join(F.broadcast(first)).select(place("greatest(day, shipped)", 3, "key").alias("seq"), F.when(F.col("o_orderstatus") == "P", "failure").otherwise("result").alias("kind"), "request_id", F.col("nth").alias("epoch"), (F.col("y") - F.col("first")).alias("version"), F.when((F.col("o_orderstatus") != "P") & (F.col("total") % 10 != 0), F.col("total")).alias("amount"))
+    years = first.select(F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("y"), "first").select(F.datediff(F.make_date(F.col("y").cast("int"), F.lit(1), F.lit(1)), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), (F.col("y") - F.col("first")).alias("version"))
+    commit = years.select(place("day", 0, "0").alias("seq"), F.lit("commit").alias("kind"), none.alias("request_id"), none.alias("epoch"), "version", none.alias("amount"))
+    debtors = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("request_id"))
+    leave = asked.groupBy("request_id").agg(F.max("day").alias("day")).join(debtors, "request_id").select(place("day + 1", 1, "request_id").alias("seq"), F.lit("cancel").alias("kind"), "request_id", none.alias("epoch"), none.alias("version"), none.alias("amount"))
+    return control.unionByName(results).unionByName(commit).unionByName(leave)
