@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions.pricing import REGISTRY
 from waymark.model import Search
+from waymark.streaming.store import written
 
 KEEP = ["request_id", "target", "amount_in"]
 
@@ -49,8 +50,10 @@ def enumerate_priced(requests: DataFrame, edges: DataFrame, search: Search, pric
     """request_id, target, amount_in, tokens, pools, amounts, amount_out (null: a hop's quote failed), hops, path_key.
 
     A path closes at the target; one that closes before min_hops is dropped, not extended. Prefixes that failed are kept, with
-    null amounts, as each of their paths counts as a failed candidate.
+    null amounts, as each of their paths counts as a failed candidate. With max_candidates only the first by hops and path key are made.
     """
+    if search.max_candidates is not None and not cycles:
+        return enumerate_within(requests, edges, search, price=price)
     front, done = start(requests, search, cycles), []
     for hop in range(1, search.max_hops + 1):
         last = hop == search.max_hops
@@ -69,6 +72,81 @@ def enumerate_priced(requests: DataFrame, edges: DataFrame, search: Search, pric
     return out
 
 
+def narrow_pairs(edges: DataFrame) -> DataFrame:
+    """a, b, m: how many pools of two tokens lead from a to b."""
+    narrow = edges.groupBy("pool").agg(F.count("*").alias("n")).where("n <= 2").select("pool")
+    return edges.join(narrow, "pool", "left_semi").groupBy(F.col("token_in").alias("a"), F.col("token_out").alias("b")).agg(F.count_distinct("pool").alias("m"))
+
+
+def first_prefixes(front: DataFrame, left: DataFrame, sure: Column) -> DataFrame:
+    """The first prefixes of each request, by path key, that are sure to lead to as many paths as are left to it.
+
+    left: request_id, rest. sure: a lower bound of a prefix's paths. All prefixes of a level have as many pools, so paths are in the
+    order of their prefixes; a prefix is dropped once those before it are sure to fill the rest.
+    """
+    before = Window.partitionBy("request_id").orderBy(F.concat(F.array_join(F.col("pools").cast("array<string>"), "|"), F.lit("|"))).rowsBetween(Window.unboundedPreceding, -1)
+    out = front.join(left.where("rest > 0"), "request_id").withColumn("_sure", F.greatest(F.lit(0), F.coalesce(sure, F.lit(0))))
+    return out.withColumn("_sum", F.coalesce(F.sum("_sure").over(before), F.lit(0))).where("_sum < rest").select(*front.columns)
+
+
+def enumerate_within(requests: DataFrame, edges: DataFrame, search: Search, seen: DataFrame | None = None, price: str = "constant_product") -> DataFrame:
+    """The first max_candidates simple paths of each request by hops and path key, as enumerate_priced has them; what isn't needed isn't expanded.
+
+    seen (request_id, path_key): paths that were evaluated before. They are left out, and each takes one of max_candidates, so a request
+    gets at most what is left of its budget. Requests that have their paths from shorter ones go no further. Before the last hop, and the
+    last but one, prefixes are cut where those before them are sure to fill the rest: by the number of pools from their end to the
+    target, or of legs over a third token, less those that their own tokens and pools may bar. So a level has about as many rows as
+    there are candidates left, and edges at a request's source.
+    """
+    pairs = written(narrow_pairs(edges))
+    counted = seen.groupBy("request_id").agg(F.count("*").alias("n")) if seen is not None else None
+    budget = requests.select("request_id").distinct()
+    if counted is not None:
+        # As many as are left, and as many again as were seen: of these at least the former are new.
+        budget = budget.join(counted, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("n"))
+        budget = budget.where(F.col("n") < search.max_candidates).select("request_id", F.lit(search.max_candidates).cast("long").alias("rest"))
+    else:
+        budget = budget.select("request_id", F.lit(search.max_candidates).cast("long").alias("rest"))
+    left, front, done = written(budget), start(requests, search), []
+    for hop in range(1, search.max_hops + 1):
+        ends = front.join(pairs, (F.col("cur") == F.col("a")) & (F.col("target") == F.col("b")), "left")
+        if hop >= search.min_hops:
+            near = first_prefixes(ends.select(*front.columns, "m"), left, F.col("m") - F.size("pools")) if hop > 1 else front.join(left.where("rest > 0"), "request_id", "left_semi")
+            found = expand(near.select(*front.columns), edges, price, True, False)
+            order = Window.partitionBy("request_id").orderBy(F.array_join(F.col("pools").cast("array<string>"), "|"))
+            found = found.withColumn("_n", F.row_number().over(order)).join(left, "request_id").where("_n <= rest").drop("_n", "rest")
+            done.append(written(found))
+            left = written(left.join(done[-1].groupBy("request_id").agg(F.count("*").alias("n")), "request_id", "left").select("request_id", (F.col("rest") - F.coalesce("n", F.lit(0))).alias("rest")))
+        if hop == search.max_hops:
+            break
+        if hop + 1 == search.max_hops and hop > 1:
+            front = first_prefixes(_with_legs(front, pairs, search), left, F.col("legs") - F.size("tokens") * F.col("through") - F.size("pools") * F.col("by")).select(*front.columns)
+        else:
+            front = front.join(left.where("rest > 0"), "request_id", "left_semi")
+        front = written(expand(front, edges, price, False, False).where("cur <> target"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    out = out.select(*KEEP, "tokens", "pools", "amounts", F.col("amount").alias("amount_out"), F.size("pools").cast("long").alias("hops"), F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"))
+    if seen is None:
+        return out
+    new = out.join(seen.select("request_id", "path_key"), ["request_id", "path_key"], "left_anti").select(*out.columns).join(counted, "request_id", "left")
+    order = Window.partitionBy("request_id").orderBy("hops", "path_key")
+    return new.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= search.max_candidates - F.coalesce("n", F.lit(0))).select(*out.columns)
+
+
+def _with_legs(front: DataFrame, pairs: DataFrame, search: Search) -> DataFrame:
+    """front with legs, through, by: ways from `cur` to the target over one more token; the most over one token, and by one pool. Null: not known."""
+    ends = front.where("connectors IS NULL" if search.connectors is None else "true").select("cur", "target").distinct()
+    second = pairs.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("m").alias("m2"))
+    over = ends.join(pairs, F.col("cur") == F.col("a")).where("b <> target AND b <> cur")
+    if search.connectors is not None:
+        over = over.where(F.col("b").isin(*search.connectors))
+    over = over.join(second, (F.col("b") == F.col("a2")) & (F.col("target") == F.col("b2")))
+    legs = over.groupBy("cur", "target").agg(F.sum(F.col("m") * F.col("m2")).alias("legs"), F.max(F.col("m") * F.col("m2")).alias("through"), F.max(F.greatest("m", "m2")).alias("by"))
+    return front.join(legs, ["cur", "target"], "left").withColumns({c: F.when(F.col("connectors").isNull() | F.lit(search.connectors is not None), F.col(c)) for c in ("legs", "through", "by")})
+
+
 def by_rank() -> list:
     return [F.desc("amount_out"), F.asc("path_key")]
 

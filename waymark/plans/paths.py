@@ -9,6 +9,7 @@ from waymark.model import Search
 from waymark.operators import routes
 from waymark.plans.registry import query, walk
 from waymark.sources import fixtures as fx
+from waymark.streaming.store import written
 
 ONE = ", one AS (SELECT CAST(0 AS BIGINT) AS request_id, CAST(0 AS BIGINT) AS token_in, CAST(24 AS BIGINT) AS token_out, CAST(1000 AS BIGINT) AS amount_in), "
 SHOWN = ["request_id", "amount_in", "amount_out", "hops", "path_key"]
@@ -85,6 +86,27 @@ def routes_max_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _single(spark, sf_dir, 2, max_candidates=40).select(*SHOWN)
 
 
+@query(", " + walk("request", 2) + " SELECT request_id, amount_in, amount_out, hops, path_key FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hops, path_key) AS n FROM route) x WHERE n<=25", recursive=True)
+def batch_max_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 candidates of each request; prefixes that they don't need aren't expanded."""
+    return routes.enumerate_within(fx.requests(spark, sf_dir), fx.edges(spark, sf_dir), Search(max_hops=2, max_candidates=25)).select(*SHOWN)
+
+
+@query(ONE + walk("one", 3) + " SELECT request_id, amount_in, amount_out, hops, path_key FROM route ORDER BY hops, path_key LIMIT 5000", recursive=True)
+def routes_max_candidates_3hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _single(spark, sf_dir, 3, max_candidates=5000).select(*SHOWN)
+
+
+@query(", " + walk("request", 2) + """, seen AS (SELECT request_id, path_key FROM route WHERE hops=1 OR toks[2] IN (3,5,7)), n AS (SELECT request_id, count(*) AS n FROM seen GROUP BY request_id)
+SELECT request_id, amount_in, amount_out, hops, path_key FROM (SELECT r.*, coalesce(n,0) AS n, row_number() OVER (PARTITION BY r.request_id ORDER BY hops, r.path_key) AS i FROM route r LEFT JOIN n USING (request_id)
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.request_id=r.request_id AND s.path_key=r.path_key)) x WHERE i<=100-n""", recursive=True)
+def remainder_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second phase evaluates after a first one over connectors 3, 5 and 7, out of 100 candidates for both."""
+    asked, edges = fx.requests(spark, sf_dir), fx.edges(spark, sf_dir)
+    seen = routes.enumerate_priced(asked, edges, Search(max_hops=2, connectors=(3, 5, 7))).select("request_id", "path_key")
+    return routes.enumerate_within(asked, edges, Search(max_hops=2, max_candidates=100), written(seen)).select(*SHOWN)
+
+
 BATCH = ", " + walk("request", 2)
 
 
