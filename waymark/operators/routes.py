@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions.pricing import REGISTRY
+from waymark.functions.curves import quoted
 from waymark.model import Search
 from waymark.streaming.store import written
 
@@ -21,28 +21,35 @@ def start(requests: DataFrame, search: Search, cycles: bool = False) -> DataFram
         connectors = F.col("connectors")
     return requests.select(
         "request_id", target.alias("target"), "amount_in", connectors.alias("connectors"), F.col("token_in").alias("cur"), F.col("amount_in").alias("amount"),
-        F.array("token_in").alias("tokens"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("pools"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("amounts"),
+        F.array("token_in").alias("tokens"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("pools"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("amounts"), *kept_version(requests),
     )
 
 
+def kept_version(df: DataFrame) -> list[str]:
+    """`at`, where requests are pinned to versions."""
+    return ["at"] if "at" in df.columns else []
+
+
 def expand(frontier: DataFrame, edges: DataFrame, price: str, last: bool, cycles: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     """One hop: each prefix with each edge that keeps the path simple; amount is null where the quote fails.
 
     carry: columns of the edge that stay with the new prefix.
 
     A pool is used once, a token visited once, but a cycle may close on its base. Where connectors are given, only they and the
-    target may follow. In the last hop the target is part of the join key.
+    target may follow. In the last hop the target is part of the join key. Where requests have a version (`at`), edges have
+    [since, until), and only those that hold at it are met.
     """
     e = edges.withColumnRenamed("token_in", "_in")
     on = (F.col("cur") == F.col("_in")) & ~F.array_contains("pools", F.col("pool"))
     visited = F.array_contains("tokens", F.col("token_out"))
     on = on & ((~visited | (F.col("token_out") == F.col("target"))) if cycles else ~visited)
     on = on & ((F.col("token_out") == F.col("target")) if last else ((F.col("token_out") == F.col("target")) | F.col("connectors").isNull() | F.array_contains("connectors", F.col("token_out"))))
-    quote = F.expr(REGISTRY[price]("amount"))
-    grown = frontier.join(e, on).withColumn("out", quote)
+    if kept_version(frontier):
+        on = on & (F.col("since") <= F.col("at")) & (F.col("at") < F.col("until"))
+    grown = frontier.join(e, on).withColumn("out", quoted(price))
     return grown.select(
         *KEEP, "connectors", F.col("token_out").alias("cur"), F.col("out").alias("amount"), F.concat("tokens", F.array("token_out")).alias("tokens"),
-        F.concat("pools", F.array("pool")).alias("pools"), F.concat("amounts", F.array("out")).alias("amounts"), *carry,
+        F.concat("pools", F.array("pool")).alias("pools"), F.concat("amounts", F.array("out")).alias("amounts"), *kept_version(frontier), *carry,
     )
 
 
@@ -64,7 +71,7 @@ def enumerate_priced(requests: DataFrame, edges: DataFrame, search: Search, pric
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.select(*KEEP, "tokens", "pools", "amounts", F.col("amount").alias("amount_out"), F.size("pools").cast("long").alias("hops"), F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"))
+    out = out.select(*KEEP, *kept_version(out), "tokens", "pools", "amounts", F.col("amount").alias("amount_out"), F.size("pools").cast("long").alias("hops"), F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"))
     if search.max_candidates is not None:
         # The reference cuts its traversal; here the first candidates by hops and path key, for each request.
         w = Window.partitionBy("request_id").orderBy("hops", "path_key")
@@ -219,7 +226,7 @@ def quote_paths(paths: DataFrame, edges: DataFrame, price: str = "constant_produ
         hop = F.expr(f"get(hops, {i})")
         step = now.withColumn("h", hop)
         joined = step.join(e, (F.col("h.pool") == e["pool"]) & (F.col("h.token_in") == e["token_in"]) & (F.col("h.token_out") == e["token_out"]), "left")
-        out = F.expr(REGISTRY[price]("amount"))
+        out = quoted(price)
         now = joined.select("path_id", "hops", F.when(F.col("h").isNull(), F.col("amount")).otherwise(out).alias("amount"), F.coalesce("failed_hop", F.when(F.col("h").isNotNull() & out.isNull(), F.lit(i + 1))).alias("failed_hop"))
     return now.select("path_id", F.when(F.size("hops") > 0, F.col("amount")).alias("amount_out"), F.when(F.size("hops") == 0, F.lit(0)).otherwise(F.col("failed_hop")).alias("failed_hop"))
 

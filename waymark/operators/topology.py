@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.pricing import REGISTRY
+from waymark.functions.curves import quoted
 from waymark.model import Search
 from waymark.operators import graph
 
@@ -112,13 +112,17 @@ def advance(found: DataFrame, requests: DataFrame, changes: DataFrame, after: Da
 
 
 def price_paths(paths: DataFrame, edges: DataFrame, max_hops: int, price: str = "constant_product") -> DataFrame:
-    """paths with amount_out: hops are priced one after another, each by a join of its edge; a path stops where it is complete."""
+    """paths with amount_out: hops are priced one after another, each by a join of its edge; a path stops where it is complete.
+
+    Paths with a version (`at`) meet edges that hold at it ([since, until)).
+    """
     now = paths.withColumn("amount", F.col("amount_in"))
     e = edges.withColumnsRenamed({c: f"_{c}" for c in EDGE})
     for i in range(max_hops):
         on = (F.expr(f"get(pools, {i})") == F.col("_pool")) & (F.expr(f"get(tokens, {i})") == F.col("_token_in")) & (F.expr(f"get(tokens, {i + 1})") == F.col("_token_out"))
-        quote = F.expr(REGISTRY[price]("amount"))
-        now = now.join(e, on, "left").withColumn("amount", F.when(F.size("pools") <= i, F.col("amount")).when(F.col("_pool").isNotNull(), quote)).select(*paths.columns, "amount")
+        if "at" in paths.columns:
+            on = on & (F.col("since") <= F.col("at")) & (F.col("at") < F.col("until"))
+        now = now.join(e, on, "left").withColumn("amount", F.when(F.size("pools") <= i, F.col("amount")).when(F.col("_pool").isNotNull(), quoted(price))).select(*paths.columns, "amount")
     return now.withColumnRenamed("amount", "amount_out")
 
 
