@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waymark.llm.base import WORD, scratch
@@ -36,25 +36,28 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> tuple[DataFrame, float]:
     """cells with w, the raked share of each cell, and the worst gap: the margins of w come to agree with the targets, one dimension after another.
 
-    A value without a target keeps weight 0. Sums are made before each shuffle; each sweep ends in a written table, and the
-    worst margin ratio of a sweep decides whether another is needed. Targets that no weights can meet leave a gap over the tolerance.
+    A value without a target keeps weight 0. Targets are joined once. Each dimension's step sums before its shuffle and ends in a written
+    table, so no step's plan holds those before it; the worst margin ratio of a sweep, told while it is written, decides whether another
+    is needed. Targets that no weights can meet leave a gap over the tolerance.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
+    columns = cells.columns
     cells = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
-    worst = None
+    for dim, target in targets.items():
+        cells = cells.join(target.select(dim, F.col("target").alias(f"_to_{dim}")), dim, "left")
+    cells, worst = scratch(cells.withColumn("_off", F.lit(0.0))), None
     for _ in range(sweeps):
-        off = F.lit(0.0)
-        for dim, target in targets.items():
-            now = cells.groupBy(dim).agg(F.sum("w").alias("s"))
-            ratio = now.join(target, dim, "left").select(dim, F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("s")).otherwise(0.0).alias("ratio"))
-            cells = cells.join(ratio, dim).withColumn("w", F.col("w") * F.col("ratio")).withColumn(f"off_{dim}", F.when(F.col("w") > 0, F.abs(F.col("ratio") - 1)).otherwise(0.0)).drop("ratio")
-            off = F.greatest(off, F.col(f"off_{dim}"))
-        cells = scratch(cells.withColumn("off", off).drop(*[f"off_{d}" for d in targets]))
-        worst = cells.agg(F.max("off")).first()[0]
-        cells = cells.drop("off")
+        for i, dim in enumerate(targets):
+            now = cells.groupBy(dim).agg(F.sum("w").alias("s"), F.first(f"_to_{dim}").alias("t"))
+            ratio = now.select(dim, F.when(F.col("s") > 0, F.coalesce("t", F.lit(0.0)) / F.col("s")).otherwise(0.0).alias("_ratio"))
+            moved = cells.join(ratio, dim).withColumn("w", F.col("w") * F.col("_ratio"))
+            off = F.when(F.col("w") > 0, F.abs(F.col("_ratio") - 1)).otherwise(0.0)
+            seen = Observation()
+            cells = scratch(moved.withColumn("_off", F.greatest(off, F.col("_off") if i else off)).drop("_ratio").observe(seen, F.max("_off").alias("worst")))
+        worst = seen.get["worst"]
         if worst is None or worst < tolerance:
             break
-    return cells, float(worst or 0)
+    return cells.select(*columns, "w"), float(worst or 0)
 
 
 def calibrate(cells: DataFrame, share: float, steps: int = 30) -> float:
