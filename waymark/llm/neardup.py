@@ -100,7 +100,7 @@ def only(texts: DataFrame, ids: DataFrame, most_bits: int = 1 << 27) -> DataFram
     """The rows of texts whose doc_id is in ids (doc_id, distinct), without a shuffle of the others.
 
     Hashed ids mark bits of maps of 4 KB that are broadcast (16 MB at most, by most_bits); few others pass these, and the exact
-    semi-join removes them. With very many ids the maps let more rows through to the join; the result is the same.
+    join removes them. With very many ids the maps let more rows through to the join; the result is the same.
     """
     bits = 1 << 15
     n = ids.count()
@@ -110,7 +110,8 @@ def only(texts: DataFrame, ids: DataFrame, most_bits: int = 1 << 27) -> DataFram
     maps = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("_map")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("_bits"))
     held = texts.withColumn("_p", place).withColumn("_map", F.expr("_p div 32768")).join(F.broadcast(maps), "_map")
     held = held.where("(CAST(conv(hex(substring(_bits, CAST(_p % 32768 div 8 AS INT) + 1, 1)), 16, 10) AS INT) >> CAST(_p % 8 AS INT)) & 1 = 1")
-    return held.drop("_p", "_map", "_bits").join(ids, "doc_id", "left_semi")
+    # An inner join: a semi-join would be pushed below the maps, to all texts.
+    return held.drop("_p", "_map", "_bits").join(ids, "doc_id")
 
 
 def split(rows: DataFrame, per: int) -> DataFrame:
@@ -235,16 +236,17 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     # First each bucket's most met document against its others,
     centre = bucket.groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"))).alias("c"), F.first("n").alias("n"))
     centre = repeated(centre).select("bucket", "part", F.col("c.b").alias("b"))
-    tried = scratch(bucket.select("bucket", "part", F.col("doc_id").alias("a")).join(centre, ["bucket", "part"]).where("a <> b").select("a", "b").distinct())
+    meets = lambda x, y, also: x.join(y.withColumnsRenamed({"bucket": "_bucket", "part": "_part"}), F.expr(f"bucket = _bucket AND part = _part AND {also}"))
+    tried = scratch(meets(bucket.select("bucket", "part", F.col("doc_id").alias("a")), centre, "a <> b").select("a", "b").distinct())
     edges = confirm(likely(tried), texts, percent)
     found = components(edges)
     # then the most met outside the first one's component against all of other components,
     left = named(found)
     first = left.groupBy("bucket").agg(F.max(F.struct("met", "doc_id", F.col("component").alias("c"))).alias("f"), F.first("n").alias("n"))
-    others = scratch(left.join(repeated(first).select("bucket", "part", F.col("f.c").alias("fc")), ["bucket", "part"]).where("component <> fc"))
+    others = scratch(meets(left, repeated(first).select("bucket", "part", F.col("f.c").alias("fc")), "component <> fc").drop("_bucket", "_part"))
     second = others.groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"), F.col("component").alias("cb"))).alias("s"), F.first("n").alias("n"))
     second = repeated(second).select("bucket", "part", "s.b", "s.cb")
-    again = scratch(left.select("bucket", "part", F.col("doc_id").alias("a"), "component").join(second, ["bucket", "part"]).where("component <> cb").select("a", "b").distinct())
+    again = scratch(meets(left.select("bucket", "part", F.col("doc_id").alias("a"), "component"), second, "component <> cb").select("a", "b").distinct())
     more = confirm(likely(again), texts, percent)
     if not more.isEmpty():
         edges = edges.union(more)
@@ -266,7 +268,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         # Two that are both outside the commonest component meet once.
         meet = f"""CASE WHEN ca = cb OR (cb <> main AND ca > cb) OR {estimate('sa', 'sb')} < {floor} THEN false
           WHEN {estimate('fa', 'fb', FINE)} < {percent / 100 - FINE_SLACK} THEN false ELSE array_min(array_intersect(la, lb)) = bucket END"""
-        rest = scratch(x.join(y, ["bucket", "part"]).where(meet).select("a", "b").distinct())
+        rest = scratch(meets(x, y, meet).select("a", "b").distinct())
         old = tried.union(again)
         rest = rest.join(old.union(old.select("b", "a")).distinct(), ["a", "b"], "left_anti")
         more = confirm(rest, texts, percent)
