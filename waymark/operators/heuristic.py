@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +13,44 @@ from waymark.operators import graph, liquidity, routes
 from waymark.streaming.store import written
 
 
+class Counters:
+    """What a search leaves out and why, told by its own jobs while they write their tables; `values` adds up all levels and passes.
+
+    ordered_groups, protocol_ranked_edges, balance_reads: groups of parallel edges, edges and balances in the ranking.
+    shortlist_initial_edges, shortlist_deferred_edges, shortlist_refinement_edges: hops over the first ranked edges, edges that the first pass
+    left for the second, and the second's hops. pruned_edges, stale_or_unknown_skipped_for_pruning: by balances. prefix_dominated_states.
+    upper_bound_pruned_prefixes, upper_bound_unknown_prefixes: by what a target can pay. fast_lane_routes, fast_lane_quotes.
+    """
+
+    NAMES = (
+        "ordered_groups", "protocol_ranked_edges", "balance_reads", "shortlist_initial_edges", "shortlist_deferred_edges", "shortlist_refinement_edges", "pruned_edges", "stale_or_unknown_skipped_for_pruning",
+        "prefix_dominated_states", "upper_bound_pruned_prefixes", "upper_bound_unknown_prefixes", "fast_lane_routes", "fast_lane_quotes",
+    )
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+
+    def on(self, df: DataFrame, **counts: Column) -> DataFrame:
+        """df that tells the counts when it is written."""
+        self._seen.append(Observation())
+        return df.observe(self._seen[-1], *(c.cast("long").alias(k) for k, c in counts.items()))
+
+    def values(self) -> dict[str, int]:
+        """After the search; a table that never was written would make this wait."""
+        out = dict.fromkeys(self.NAMES, 0)
+        for seen in self._seen:
+            try:
+                told = seen.get
+            except Py4JJavaError:  # a table that turned out empty while it was planned anew tells nothing
+                told = {}
+            for k, v in told.items():
+                out[k] += v or 0
+        return out
+
+    def merge(self, other: "Counters") -> None:
+        self._seen += other._seen
+
+
 def fast_lane(requests: DataFrame, edges: DataFrame, balances: DataFrame, lane: FastLane, price: str = "constant_product") -> DataFrame:
     """Candidate routes of the first look: each pair's best direct edges, and two legs over the most central connectors.
 
@@ -64,7 +103,7 @@ def undominated(front: DataFrame) -> DataFrame:
     return a.join(b, on, "left_anti").drop("_k", "held")
 
 
-def capped(front: DataFrame, caps: DataFrame, incumbent: DataFrame) -> DataFrame:
+def capped(front: DataFrame, caps: DataFrame, incumbent: DataFrame, counters: Counters | None = None) -> DataFrame:
     """Prefixes whose target can still pay out more than the best route so far; an unknown cap never prunes.
 
     caps: token and cap; or node, target and cap, of what is near enough to the prefix's token.
@@ -74,7 +113,10 @@ def capped(front: DataFrame, caps: DataFrame, incumbent: DataFrame) -> DataFrame
     else:
         t = front.join(caps.withColumnRenamed("token", "target"), "target", "left")
     t = t.join(incumbent.select("request_id", F.col("amount_out").alias("_best")), "request_id", "left")
-    return t.where("cap IS NULL OR _best IS NULL OR cap > _best").drop("cap", "_best")
+    if counters is not None:
+        t = counters.on(t, upper_bound_pruned_prefixes=F.count_if(F.expr("cap <= _best")), upper_bound_unknown_prefixes=F.count_if(F.expr("cap IS NULL AND _best IS NOT NULL")))
+    out = t.where("cap IS NULL OR _best IS NULL OR cap > _best").drop("cap", "_best")
+    return out if counters is None else written(out)
 
 
 def balance_pruned(quotes: DataFrame) -> DataFrame:
@@ -102,24 +144,30 @@ def with_connectors(requests: DataFrame, edges: DataFrame, h: Heuristic) -> Data
     return requests.withColumn("connectors", F.slice(F.filter(every, lambda t: (t != F.col("token_in")) & (t != F.col("token_out"))), 1, h.auto_connectors) if h.auto_connectors else F.expr("CAST(array() AS ARRAY<BIGINT>)"))
 
 
-def search(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Search, price: str = "constant_product") -> DataFrame:
+def search(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Search, price: str = "constant_product", counters: Counters | None = None) -> DataFrame:
     """Finalists of the bounded search (columns of routes.enumerate_priced), at most `finalists` a request.
 
     With a shortlist there are two passes: over the first `initial` ranked edges of each pair, and over the first `refinement`;
     otherwise one over all. Each hop: join, leave out what can't reach the target in the hops that remain, prune parallel edges by
     balance, price, keep the best parallel edges, prune by what the target can pay out, drop dominated prefixes, cut to the
     beam. With target_first a hop's own closing routes already count against its other prefixes. Connectors are the given ones,
-    else the automatic ones without the request's endpoints.
+    else the automatic ones without the request's endpoints. counters is told what was left out.
     """
     h: Heuristic = bounds.heuristic
     if bounds.connectors is None and "connectors" not in requests.columns:
         requests = with_connectors(requests, edges, h)
     ranked = liquidity.ranked_edges(edges, balances)
     two = edges.groupBy("pool").agg(F.count_distinct("token_in").alias("_t")).select("pool", (F.col("_t") == 2).alias("two"))
-    ranked = written(ranked.join(two, "pool"))
+    ranked = ranked.join(two, "pool").withColumn("of", F.count("*").over(Window.partitionBy("token_in", "token_out")))
+    if counters is not None:
+        ranked = counters.on(ranked, ordered_groups=F.count_if(F.col("position") == 1), protocol_ranked_edges=F.count("*"), balance_reads=2 * F.count("*"))
+    ranked = written(ranked)
     done = []
     if h.fast_lane.enabled and bounds.min_hops <= 2:
-        lane = fast_lane(requests, edges, balances, h.fast_lane, price).drop("lane").where((F.col("hops") >= bounds.min_hops) & (F.col("hops") <= bounds.max_hops) & F.col("amount_out").isNotNull())
+        lane = fast_lane(requests, edges, balances, h.fast_lane, price).drop("lane")
+        if counters is not None:
+            lane = written(counters.on(lane, fast_lane_routes=F.count("*"), fast_lane_quotes=F.count("amount_out")))
+        lane = lane.where((F.col("hops") >= bounds.min_hops) & (F.col("hops") <= bounds.max_hops) & F.col("amount_out").isNotNull())
         allowed = F.lit(None).cast("array<bigint>") if bounds.connectors is None else F.array(*map(F.lit, bounds.connectors)).cast("array<bigint>")
         asked = requests.select("request_id", (F.col("connectors") if "connectors" in requests.columns else allowed).alias("_c"))
         # The lane has connectors of its own; given ones hold for it too.
@@ -127,31 +175,45 @@ def search(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: S
             lane = lane.join(asked, "request_id").where("hops = 1 OR array_contains(_c, tokens[1])").drop("_c")
         done.append(lane)
     limits = [h.shortlist.initial, h.shortlist.refinement] if h.shortlist.enabled else [None]
-    for limit in limits:
+    for i, limit in enumerate(limits):
         kept = ranked if limit is None else ranked.where(F.col("position") <= limit)
-        done.append(_pass(requests, kept, balances, bounds, price))
+        told = None
+        if counters is not None and limit is not None:
+            # A group's first edge stands for those of it that wait.
+            later = F.sum(F.when(F.col("position") == 1, F.greatest(F.col("of") - limit, F.lit(0))).otherwise(0))
+            told = {"shortlist_refinement_edges": F.count("*")} if i else {"shortlist_initial_edges": F.count("*"), "shortlist_deferred_edges": later}
+        done.append(_pass(requests, kept, balances, bounds, price, counters, told))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return routes.ranked(out.dropDuplicates(["request_id", "path_key"]), h.finalists).drop("rank")
 
 
-def _pass(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Search, price: str) -> DataFrame:
-    """Routes of one pass over ranked edges (with position, out_fresh and two)."""
+def _pass(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Search, price: str, counters: Counters | None = None, told: dict[str, Column] | None = None) -> DataFrame:
+    """Routes of one pass over ranked edges (with position, of, out_fresh and two); told: what counters are told of each level's hops."""
     h = bounds.heuristic
     targets = requests.select(F.col("token_out").alias("target")).distinct()
     near = written(reach(edges, targets, bounds.max_hops - 1)) if bounds.max_hops > 1 else None
     caps = written(liquidity.caps_within(edges.drop("in_fresh", "out_fresh"), balances, targets, bounds.max_hops - 1)) if h.upper_bound and bounds.max_hops > 1 else None
-    carry = ("position", "out_fresh", "two")
+    carry = ("position", "of", "out_fresh", "two")
     front, done, incumbent = routes.start(requests, bounds), [], None
     for hop in range(1, bounds.max_hops + 1):
         last, remaining = hop == bounds.max_hops, bounds.max_hops - hop
         grown = routes.expand(front, edges, price, last, False, carry)
         if not last:
             grown = grown.join(near.where(F.col("need") <= remaining).select(F.col("node").alias("cur"), "target"), ["cur", "target"], "left_semi")
+        if counters is not None and h.balance_pruning:
+            told = (told or {}) | {"stale_or_unknown_skipped_for_pruning": F.count_if(F.col("out_fresh").isNull())}
+        if told:
+            grown = counters.on(grown, **told)
+        if h.balance_pruning or told:
+            grown = written(grown)
         if h.balance_pruning:
             q = grown.select("request_id", F.expr("array_join(CAST(slice(pools, 1, size(pools) - 1) AS ARRAY<STRING>), '|')").alias("prefix"), F.col("cur").alias("token_out"), F.element_at("pools", -1).alias("pool"), "position", "amount", "out_fresh", F.expr("two OR cur = target").alias("sure"))
-            cut = balance_pruned(q).where("pruned").select("request_id", F.concat_ws("|", F.when(F.col("prefix") != "", F.col("prefix")), F.col("pool").cast("string")).alias("_k"), F.col("token_out").alias("cur"))
+            cut = balance_pruned(q).where("pruned")
+            if counters is not None:
+                cut = counters.on(cut, pruned_edges=F.count("*"))
+            cut = cut.select("request_id", F.concat_ws("|", F.when(F.col("prefix") != "", F.col("prefix")), F.col("pool").cast("string")).alias("_k"), F.col("token_out").alias("cur"))
             grown = grown.withColumn("_k", F.array_join(F.col("pools").cast("array<string>"), "|")).join(cut, ["request_id", "_k", "cur"], "left_anti").drop("_k")
         grown = written(keep_best_edges(grown.drop(*carry), h.parallel_edges))  # bounded by beam x tokens a request
         closed = grown.where("cur = target")
@@ -167,10 +229,15 @@ def _pass(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Se
             now = incumbent
         counts = now if h.target_first else incumbent
         if caps is not None and counts is not None:
-            front = capped(front, caps.where(F.col("remaining") == remaining).drop("remaining"), counts.groupBy("request_id").agg(F.max("amount").alias("amount_out")))
+            front = capped(front, caps.where(F.col("remaining") == remaining).drop("remaining"), counts.groupBy("request_id").agg(F.max("amount").alias("amount_out")), counters)
         incumbent = now
         if h.dominance:
-            front = undominated(written(future_blocked(front, edges))).drop("blocked")
+            labels = future_blocked(front, edges)
+            if counters is not None:
+                labels = counters.on(labels, prefix_dominated_states=F.count("*"))
+            front = undominated(written(labels)).drop("blocked")
+            if counters is not None:
+                front = written(counters.on(front, prefix_dominated_states=-F.count("*")))
         if h.beam_width is not None:
             front = beam(front, h.beam_width)
         front = written(front)

@@ -11,6 +11,7 @@ from waymark.operators import graph, heuristic, liquidity, routes
 from waymark.plans.paths import SHOWN
 from waymark.plans.registry import query, walk
 from waymark.sources import fixtures as fx
+from waymark.streaming.store import written
 
 #: floor(log2) of an integer: bit lengths of 63 powers of two.
 LOG2 = "CAST(length(bin({x}))-1 AS BIGINT)"
@@ -217,6 +218,14 @@ def beam_routes_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heuristic.find(fx.requests(spark, sf_dir), ready(spark, sf_dir), Search(max_hops=3, mode="heuristic", heuristic=quick), fx.balances(spark, sf_dir)).select(*SHOWN)
 
 
+@query()
+def prune_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bounded search over all requests left out, by reason."""
+    quick, seen = Heuristic(shortlist=Heuristic.latency_first().shortlist, balance_pruning=True, upper_bound=True, dominance=True, fast_lane=Heuristic.latency_first().fast_lane), heuristic.Counters()
+    written(heuristic.search(fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir), Search(max_hops=2, mode="heuristic", heuristic=quick), counters=seen))
+    return spark.createDataFrame(sorted(seen.values().items()), "counter string, n long")
+
+
 @query(LIQ + """, br AS (SELECT token_in, token_out, count(*) AS edges, max(in_fresh) AS deepest, sum(in_fresh) AS total FROM eb GROUP BY token_in, token_out)
 SELECT request_id, br.token_out, edges, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN br.token_out=r.token_out THEN 0 WHEN deepest IS NOT NULL THEN 1 ELSE 2 END,
   CASE WHEN br.token_out<>r.token_out THEN coalesce(deepest,-1) ELSE 0 END DESC, CASE WHEN br.token_out<>r.token_out THEN coalesce(total,-1) ELSE 0 END DESC, CASE WHEN br.token_out IN (3,5,7) THEN 0 ELSE 1 END, degree DESC, br.token_out) AS INTEGER) AS place
