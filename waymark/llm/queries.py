@@ -92,7 +92,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 OP7_SQL = f"""
 WITH known(id, sentence) AS (VALUES {", ".join(f"('{i}', '{t}')" for i, t in licenses.SENTENCES)}),
 rules(license, ids) AS (VALUES {", ".join(f"('{n}', ' {' '.join(q)} ')" for n, q in licenses.RULES)}),
-d AS (SELECT row_number() OVER () AS n, doc_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]'),
+d AS (SELECT row_number() OVER () AS n, doc_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\\1' || chr(10), 'g'), '[\n\r]'),
   lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s FROM documents),
 e AS (SELECT n, unnest(s) AS raw, generate_subscripts(s, 1) AS pos FROM d),
 h AS (SELECT DISTINCT n, pos, id FROM (SELECT n, pos, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM e) x
