@@ -228,10 +228,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         return p.where(f"{estimate('sa', 'sb')} >= {floor}").select("a", "b")
 
     def named(found: DataFrame) -> DataFrame:
-        """The rows of buckets of three or more that still hold several components."""
+        """The rows of buckets of three or more that still hold several components, with each bucket's commonest (main) and its rows (total)."""
         comp = scratch(bucket.where("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        mixed = comp.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.first("n").alias("n")).where("c1 < c2").select("bucket", "n")
-        return scratch(comp.join(repeated(mixed).select("bucket", "part"), ["bucket", "part"]))
+        by = comp.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("bucket")
+        mixed = by.agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.first("n").alias("n"), F.sum("m").alias("total"), F.max(F.struct("m", "component")).alias("most")).where("c1 < c2")
+        mixed = repeated(mixed.select("bucket", "n", "total", F.col("most.component").alias("main")))
+        return scratch(comp.join(mixed.select("bucket", "part", "total", "main"), ["bucket", "part"]))
 
     # First each bucket's most met document against its others,
     centre = bucket.groupBy("bucket").agg(F.max(F.struct("met", F.col("doc_id").alias("b"))).alias("c"), F.first("n").alias("n"))
@@ -258,11 +260,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     if not facing.isEmpty():
         fine = fine_signatures(only(texts, facing.select("doc_id")).dropDuplicates(["doc_id"]))
         signs = scratch(facing.join(sig, "doc_id").join(fine, "doc_id"))
-        by = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"))
-        by = scratch(spread(by.select("bucket", "n", F.col("m.component").alias("main")), PER_PART))
-        # left has the parts of all rows of its buckets; the same parts of the rows that count here are dealt anew.
-        dealt = left.select("bucket", "part", "doc_id", "component").join(repeated(left.groupBy("bucket").agg(F.first("n").alias("n"))).join(by.where("part = 0").select("bucket", "main", F.col("n").alias("m")), "bucket"), ["bucket", "part"])
-        open_rows = scratch(split(dealt.select("bucket", "doc_id", "component", "main", F.col("m").alias("n")), PER_PART).join(signs, "doc_id"))
+        # The same parts of the rows that count here are dealt anew.
+        open_rows = scratch(split(left.select("bucket", "doc_id", "component", "main", F.col("total").alias("n")), PER_PART).join(signs, "doc_id"))
         x = spread(open_rows.where("component <> main").drop("part"), PER_PART).select("bucket", "part", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), F.col("fine").alias("fa"), F.col("all").alias("la"), "main")
         y = open_rows.select("bucket", "part", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"), F.col("fine").alias("fb"), F.col("all").alias("lb"))
         # Two that are both outside the commonest component meet once.
