@@ -58,3 +58,18 @@ def test_dominated_prefixes_and_merged_counters(spark):
         written(c.on(spark.range(3), pruned_edges=heuristic.F.count("*")))
     a.merge(b)
     assert a.values()["pruned_edges"] == 6
+
+
+def test_phases_of_a_progressive_search(spark):
+    from waymark.model import Streaming
+    from waymark.operators import progress
+
+    row = lambda *r: spark.createDataFrame(list(r), "request_id long, hops long, path_key string, amount_out long")
+    lane, first = row((1, 1, "a", 10), (1, 2, "b", None)), row((1, 1, "a", 10), (1, 2, "c", 30))
+    every = row((1, 1, "a", 10), (1, 2, "b", None), (1, 2, "c", 30), (1, 2, "d", 40), (1, 1, "e", 5))
+    log = progress.quote_log(first, every, lane)
+    assert [(r.seq, r.phase, r.path_key) for r in log.orderBy("seq").collect()] == [(1, "fast_lane", "a"), (2, "fast_lane", "b"), (3, "heuristic", "c"), (4, "exhaustive", "e"), (5, "exhaustive", "d")]
+    told = {c: progress.report(log, Streaming(completion=c)).first() for c in ("fast_lane", "heuristic", "exhaustive")}
+    assert {c: (r.finality, r.evaluated, r.viable, r.best, r.improvements) for c, r in told.items()} == {
+        "fast_lane": ("fast_lane_only", 2, 1, 10, 0), "heuristic": ("heuristic_only", 3, 2, 30, 0), "exhaustive": ("exhaustive", 5, 4, 40, 1),
+    }

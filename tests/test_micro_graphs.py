@@ -236,7 +236,7 @@ def test_configurations_are_checked():
             bad()
     assert Search.quality("fast")[1] == "fast_lane"
     quick, even = Heuristic.latency_first(), Heuristic.balanced()
-    assert even == Heuristic() and even.target_first and even.dominance and even.fast_lane.enabled and even.upper_bound and not even.shortlist.enabled and even.shortlist.protocol_ordering
+    assert even == Heuristic() and even.target_first and even.dominance and even.fast_lane.enabled and even.upper_bound and not even.shortlist.enabled
     assert (quick.shortlist.enabled, quick.shortlist.initial, quick.shortlist.refinement) == (True, 1, 3)
     assert (quick.auto_connectors, quick.beam_width, quick.finalists) == (8, 64, 16)
 

@@ -1,29 +1,9 @@
-"""Configurations with their checks, and the schemas of inputs and results."""
+"""Configurations with their checks."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import types as T
-
-HOP = T.StructType([T.StructField("pool", T.LongType()), T.StructField("token_in", T.LongType()), T.StructField("token_out", T.LongType()), T.StructField("amount_in", T.LongType()), T.StructField("amount_out", T.LongType())])
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "longs": T.ArrayType(T.LongType())}
-
-
-def _table(**columns: str) -> T.StructType:
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
-
-
-POOLS = _table(pool="long", protocol="string", status="string", tokens="longs", fee="long")
-EDGES = _table(pool="long", token_in="long", token_out="long", r_in="long", r_out="long", fee="long")
-RATES = _table(pool="long", token_in="long", token_out="long", num="long", den="long")
-BALANCES = _table(pool="long", token="long", state="string", amount="long")
-REQUESTS = _table(request_id="long", token_in="long", token_out="long", amount_in="long")
-ROUTES = T.StructType([*_table(request_id="long").fields, T.StructField("hops", T.ArrayType(HOP)), *_table(path_key="string", amount_in="long", amount_out="long").fields])
-FAILURES = _table(request_id="long", path_key="string", failed_pool="long", reason="string")
-GRAPH_DELTA = _table(pool="long", before="longs", after="longs", change="string")
-ROUTE_RESPONSE = T.StructType([*_table(request_id="long", rank="int", amount_in="string", amount_out="string").fields, T.StructField("hops", T.ArrayType(_table(pool="string", token_in="string", token_out="string", amount_in="string", amount_out="string")))])
-
 
 class ConfigError(ValueError):
     """A configuration that no search can use."""
@@ -42,7 +22,6 @@ class FastLane:
     max_connectors: int = 8
     direct_edges: int = 1
     leg_edges: int = 1
-    direct_first: bool = True
 
     def __post_init__(self) -> None:
         if self.enabled:
@@ -56,7 +35,6 @@ class Shortlist:
     enabled: bool = False
     initial: int = 1
     refinement: int = 3
-    protocol_ordering: bool = True
 
     def __post_init__(self) -> None:
         _need(self.initial > 0 and self.refinement >= self.initial, "the refinement keeps at least the initial edges")
@@ -158,14 +136,12 @@ class Streaming:
 
 @dataclass(frozen=True)
 class QuotePolicy:
-    """Caps that requests are held to."""
+    """Caps that requests are held to (analytics.check_requests)."""
 
     max_hops: int = 4
     max_top_k: int = 5
     max_timeout_ms: int = 15_000
-    max_candidates: int = 50_000
     allow_exhaustive: bool = True
-    slippage_bps: int = 500
-    max_deadline_s: int = 600
-    max_snapshot_age_s: int = 60
-    protocols: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        _need(min(self.max_hops, self.max_top_k, self.max_timeout_ms) > 0, "caps must be positive")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.model import QuotePolicy
+
 
 def nearest_rank(samples: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:
     """group, n, p<percent>..., worst: the value at sorted index ((n-1)*p) div 100.
@@ -63,8 +65,8 @@ def latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
-def check_requests(requests: DataFrame, max_hops: int, max_top_k: int, max_timeout_ms: int, allow_exhaustive: bool) -> DataFrame:
+def check_requests(requests: DataFrame, policy: QuotePolicy) -> DataFrame:
     """requests with error: the first cap that a request breaks, else null."""
-    error = f"""CASE WHEN amount_in <= 0 THEN 'amount' WHEN hops < 1 OR hops > {max_hops} THEN 'hops' WHEN top_k < 1 OR top_k > {max_top_k} THEN 'top_k'
-      WHEN timeout_ms < 1 OR timeout_ms > {max_timeout_ms} THEN 'timeout' WHEN quality = 'exhaustive' AND NOT {str(allow_exhaustive).lower()} THEN 'exhaustive' WHEN quality NOT IN ('fast', 'balanced', 'exhaustive') THEN 'quality' END"""
+    error = f"""CASE WHEN amount_in <= 0 THEN 'amount' WHEN hops < 1 OR hops > {policy.max_hops} THEN 'hops' WHEN top_k < 1 OR top_k > {policy.max_top_k} THEN 'top_k'
+      WHEN timeout_ms < 1 OR timeout_ms > {policy.max_timeout_ms} THEN 'timeout' WHEN quality = 'exhaustive' AND NOT {str(policy.allow_exhaustive).lower()} THEN 'exhaustive' WHEN quality NOT IN ('fast', 'balanced', 'exhaustive') THEN 'quality' END"""
     return requests.withColumn("error", F.expr(error))

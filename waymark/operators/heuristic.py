@@ -57,12 +57,11 @@ def fast_lane(requests: DataFrame, edges: DataFrame, balances: DataFrame, lane:
     Columns of routes.enumerate_priced, and lane (direct or connector). The legs are one join on the connector.
     """
     top = liquidity.ranked_edges(edges, balances).where(F.col("position") <= max(lane.direct_edges, lane.leg_edges)).select("pool", "token_in", "token_out", "r_in", "r_out", "fee", "position")
-    hubs = liquidity.central_connectors(liquidity.connector_scores(edges, balances), lane.max_connectors).select(F.col("token").alias("hub"))
+    hubs = tuple(r["token"] for r in liquidity.central_connectors(liquidity.connector_scores(edges, balances), lane.max_connectors).select("token").collect())  # at most max_connectors
     direct = routes.enumerate_priced(requests, top.where(F.col("position") <= lane.direct_edges).drop("position"), Search(max_hops=1), price).withColumn("lane", F.lit("direct"))
     legs = top.where(F.col("position") <= lane.leg_edges).drop("position")
-    via = routes.enumerate_priced(requests, legs, Search(min_hops=2, max_hops=2), price)
-    via = via.withColumn("hub", F.element_at("tokens", 2)).join(hubs, "hub", "left_semi").drop("hub").withColumn("lane", F.lit("connector"))
-    return direct.unionByName(via)
+    via = routes.enumerate_priced(requests.drop("connectors"), legs, Search(min_hops=2, max_hops=2, connectors=hubs), price)
+    return direct.unionByName(via.withColumn("lane", F.lit("connector")))
 
 
 def keep_best_edges(grown: DataFrame, keep: int) -> DataFrame:

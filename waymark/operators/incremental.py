@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators import routes
+from waymark.operators import topology
 
 
 def affected(pools: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,24 +57,32 @@ def refresh(found: DataFrame, edges: DataFrame, changed: DataFrame, with_probes:
     Routes (and probes) over a changed pool are priced at the new edges; all others keep their outputs. status: unchanged if
     nothing was priced again and the best is the same, else updated; recompute_required where `reasons` (request_id, reason; see
     fallback) names one, and then nothing is priced and the previous best stays. Requests without a viable route, and those of
-    `requests` without any route, have null outputs.
+    `requests` without any route, have null outputs. One pass over the routes and one sum by request.
     """
     pools = changed.select("pool").distinct()
+    longest = found.agg(F.max(F.size("pools"))).first()[0] or 0
     barred = reasons.where("reason IS NOT NULL").select("request_id", "reason") if reasons is not None else None
-    live = found.join(barred, "request_id", "left_anti") if barred is not None else found
-    touched = index(live).join(pools, "pool", "left_semi").select("request_id", "path_key").distinct()
-    again = live.join(touched, ["request_id", "path_key"], "left_semi")
-    kept = found.join(touched, ["request_id", "path_key"], "left_anti").select("request_id", "path_key", "amount_out", F.lit(0).alias("n"))
+    # Each hop looks its pool up: no route is taken apart or shuffled to find those that are touched.
+    rows, hit = found.select("request_id", "amount_in", "tokens", "pools", "path_key", F.col("amount_out").alias("old")), F.lit(False)
+    for i in range(longest):
+        rows = rows.join(pools.withColumnRenamed("pool", f"_p{i}"), F.get("pools", F.lit(i)) == F.col(f"_p{i}"), "left")
+        hit = hit | F.col(f"_p{i}").isNotNull()
+    if barred is not None:
+        rows = rows.join(barred.select("request_id", F.lit(True).alias("_barred")), "request_id", "left")
+        hit = hit & F.col("_barred").isNull()
+    rows = rows.withColumn("_hit", hit).select("request_id", "amount_in", "tokens", "pools", "path_key", "old", "_hit")
+    again = rows.where("_hit").select("request_id", "amount_in", "tokens", "pools", "path_key", "old", F.lit(False).alias("probe"))
     if with_probes:
-        cols = ["request_id", "target", "amount_in", "tokens", "pools", "path_key"]
-        again = again.select(*cols).unionByName(probes(live, edges, pools).select(*cols))
-    priced = routes.quote_paths(as_paths(again), edges, price).select("path_id.request_id", "path_id.path_key", "amount_out", F.lit(1).alias("n"))
-    rank = lambda: F.struct(F.col("amount_out").isNull(), -F.coalesce("amount_out", F.lit(0)), "path_key")
-    best = kept.unionByName(priced).groupBy("request_id").agg(F.min_by(F.struct("amount_out", "path_key"), rank()).alias("b"), F.sum("n").alias("repriced"))
-    was = found.groupBy("request_id").agg(F.min_by(F.struct("amount_out", "path_key"), rank()).alias("w"))
+        live = found.join(barred, "request_id", "left_anti") if barred is not None else found
+        again = again.unionByName(probes(live, edges, pools).select("request_id", "amount_in", "tokens", "pools", "path_key", F.lit(None).cast("long").alias("old"), F.lit(True).alias("probe")))
+    priced = topology.price_paths(again, edges, longest, price).select("request_id", "path_key", "old", "probe", "amount_out", F.lit(1).alias("n"))
+    every = rows.where("NOT _hit").select("request_id", "path_key", "old", F.lit(False).alias("probe"), F.col("old").alias("amount_out"), F.lit(0).alias("n")).unionByName(priced)
+    rank = lambda c: F.struct(F.col(c).isNull(), -F.coalesce(c, F.lit(0)), "path_key")
+    out = every.groupBy("request_id").agg(
+        F.min_by(F.struct("amount_out", "path_key"), rank("amount_out")).alias("b"), F.min_by(F.struct(F.col("old").alias("amount_out"), "path_key"), F.when(~F.col("probe"), rank("old"))).alias("w"), F.sum("n").alias("repriced"),
+    )
     if requests is not None:
-        was = requests.select("request_id").distinct().join(was, "request_id", "left")
-    out = was.join(best, "request_id", "left")
+        out = requests.select("request_id").distinct().join(out, "request_id", "left")
     if barred is not None:
         out = out.join(barred, "request_id", "left")
     else:

@@ -11,15 +11,18 @@ from waymark.model import Streaming, Threshold
 HEURISTIC_DONE, COMPLETE, FINAL = 9_000, 9_999, 10_000
 
 
-def quote_log(heuristic: DataFrame, exhaustive: DataFrame) -> DataFrame:
-    """request_id, seq, phase, path_key, amount_out: first the bounded search's quotes, then those not yet evaluated.
+def quote_log(heuristic: DataFrame, exhaustive: DataFrame, lane: DataFrame | None = None) -> DataFrame:
+    """request_id, seq, phase, path_key, amount_out: the fast lane's quotes if given, the bounded search's, then those not yet evaluated.
 
     Both are ordered by hops and path key within their phase; a path that the first phase has evaluated isn't evaluated again.
     """
-    cols = ["request_id", "hops", "path_key", "amount_out"]
+    cols, key = ["request_id", "hops", "path_key", "amount_out"], ["request_id", "path_key"]
     first = heuristic.select(*cols).withColumn("phase", F.lit("heuristic"))
-    rest = exhaustive.select(*cols).join(heuristic.select("request_id", "path_key"), ["request_id", "path_key"], "left_anti").select(*cols).withColumn("phase", F.lit("exhaustive"))
-    w = Window.partitionBy("request_id").orderBy(F.when(F.col("phase") == "heuristic", 0).otherwise(1), "hops", "path_key")
+    if lane is not None:
+        looked = lane.select(*cols).dropDuplicates(key).withColumn("phase", F.lit("fast_lane"))
+        first = looked.unionByName(first.join(looked.select(*key), key, "left_anti").select(*cols, "phase"))
+    rest = exhaustive.select(*cols).join(first.select(*key), key, "left_anti").select(*cols).withColumn("phase", F.lit("exhaustive"))
+    w = Window.partitionBy("request_id").orderBy(F.expr("CASE phase WHEN 'fast_lane' THEN 0 WHEN 'heuristic' THEN 1 ELSE 2 END"), "hops", "path_key")
     return first.unionByName(rest).withColumn("seq", F.row_number().over(w))
 
 
@@ -44,7 +47,7 @@ def progress(log: DataFrame) -> DataFrame:
     upto = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("request_id")
-    first, value = F.col("phase") == "heuristic", F.col("amount_out")
+    first, value = F.col("phase") != "exhaustive", F.col("amount_out")
     early = F.when(first, value)
     out = log.withColumns({
         "n": F.count("*").over(every), "nh": F.count_if(first).over(every), "v": F.count(value).over(every), "vh": F.count(early).over(every), "b": F.max(value).over(every), "bh": F.max(early).over(every),
@@ -103,11 +106,14 @@ def first_satisfied(events: DataFrame, t: Threshold) -> DataFrame:
 
 
 def searched(log: DataFrame, config: Streaming) -> DataFrame:
-    """The rows of progress() that the search comes to: of the first phase only where the completion asks no more, and up to the stop policy.
+    """The rows of progress() that the search comes to: of the first phases only where the completion asks no more, and up to the stop policy.
+
+    fast_lane ends after the fast lane's quotes (of a log that has them), heuristic after the bounded search's.
 
     stopped: where the stop policy ended the search (a struct of seq and step), else null.
     """
-    events = progress(log if config.completion == "exhaustive" else log.where("phase = 'heuristic'"))
+    upto = {"fast_lane": "phase = 'fast_lane'", "heuristic": "phase <> 'exhaustive'", "exhaustive": "true"}
+    events = progress(log.where(upto[config.completion]))
     if config.completion != "exhaustive":
         events = events.where("step < 2")
     if not config.stop:
@@ -153,7 +159,7 @@ def report(log: DataFrame, config: Streaming) -> DataFrame:
     events = searched(log, config)
     finality = F.when(F.max("stopped").isNotNull(), "stop_policy_satisfied").otherwise(FINALITY[config.completion])
     quote = F.col("step") == 0
-    first = F.max(F.when(F.col("phase") == "heuristic", F.col("amount_out")))
+    first = F.max(F.when(F.col("phase") != "exhaustive", F.col("amount_out")))
     out = events.groupBy("request_id").agg(
         finality.alias("finality"), F.count_if(quote).alias("evaluated"), F.count("amount_out").alias("viable"), F.max("amount_out").alias("best"),
         F.when(first.isNotNull(), F.count_if(F.col("best_updated") & (F.col("phase") == "exhaustive"))).otherwise(0).alias("improvements"), first.alias("_h"),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.pricing import PROTOCOL_BONUS
-from waymark.model import FastLane, Heuristic, Search
-from waymark.operators import graph, heuristic, liquidity, routes
+from waymark.model import FastLane, Heuristic, Search, Streaming
+from waymark.operators import graph, heuristic, liquidity, progress, routes
 from waymark.plans.paths import SHOWN
 from waymark.plans.registry import query, walk
 from waymark.sources import fixtures as fx
@@ -143,6 +143,26 @@ def fast_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heuristic.fast_lane(fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir), FastLane()).select(*SHOWN, "lane")
 
 
+@query(LANE + walk("request", 2, edge="top") + """, lane AS (SELECT * FROM route WHERE hops=1 OR toks[2] IN (SELECT token FROM hub))
+SELECT request_id, 'fast_lane_only' AS finality, count(*) AS evaluated, count(amount_out) AS viable, count(*)-count(amount_out) AS failed, max(amount_out) AS best FROM lane GROUP BY request_id""", recursive=True)
+def fast_lane_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that is asked for its fast lane only."""
+    lane = written(heuristic.fast_lane(fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir), FastLane()))
+    log = progress.quote_log(lane.limit(0), lane.limit(0), lane)
+    return progress.report(log, Streaming(completion="fast_lane")).select("request_id", "finality", "evaluated", "viable", "failed", "best")
+
+
+@query()
+def stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress at every improvement and milestone over the real phases: fast lane, bounded search, all other paths."""
+    asked, edges, balances = fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir)
+    lane = written(heuristic.fast_lane(asked, edges, balances, FastLane()))
+    first = written(heuristic.find(asked, edges, Search(max_hops=2, mode="heuristic", heuristic=Heuristic.balanced()), balances))
+    every = routes.enumerate_priced(asked, edges, Search(max_hops=2))
+    log = written(progress.quote_log(first, every, lane))
+    return progress.progress(log).where("best_updated OR step > 0").select("request_id", "seq", "step", "phase", "evaluated", "viable", "failed", "fraction_bps", "confidence_bps", "best", "best_updated")
+
+
 FRONT = ", " + walk("request", 2, edge="redge")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import pricing, scalars
+from waymark.model import QuotePolicy
 from waymark.operators import analytics, routes
 from waymark.plans.paths import BATCH, batch
 from waymark.plans.registry import query
@@ -95,7 +96,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT request_id, request_id%6+1 AS hops, request_id%7 AS top_k, request_id*400 AS timeout_ms, CASE request_id%4 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' WHEN 2 THEN 'exhaustive' ELSE 'best' END AS quality FROM request) x""")
 def request_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fx.requests(spark, sf_dir).selectExpr("request_id", "amount_in", "request_id % 6 + 1 AS hops", "request_id % 7 AS top_k", "request_id * 400 + 0 AS timeout_ms", "CASE request_id % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' WHEN 2 THEN 'exhaustive' ELSE 'best' END AS quality")
-    return analytics.check_requests(r.withColumn("timeout_ms", F.greatest("timeout_ms", F.lit(1))), 4, 5, 15_000, True).select("request_id", "error")
+    return analytics.check_requests(r.withColumn("timeout_ms", F.greatest("timeout_ms", F.lit(1))), QuotePolicy()).select("request_id", "error")
 
 
 @query(""" SELECT coalesce(o.pool_id, n.pool_id) AS pool_id, coalesce(n.r0, o.r1) AS price, n.r0 IS NULL AS stale FROM (SELECT * FROM pool WHERE pool_id%3<>0) o FULL OUTER JOIN (SELECT * FROM pool WHERE pool_id%2=0) n ON n.pool_id=o.pool_id""")
