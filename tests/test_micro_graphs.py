@@ -154,7 +154,7 @@ def test_progress(spark):
     assert [r["rank"] for r in progress.running_top(log, 3).orderBy("seq").collect()] == [1, 1]
     short = progress.report(log, Streaming(completion="heuristic")).first()
     assert (short["finality"], short["best"], short["evaluated"], short["heuristic_was_final"]) == ("heuristic_only", 300, 1, None)
-    assert progress.report(log, Streaming(completion="fast_lane")).first()["finality"] == "fast_lane_only"
+    assert progress.report(log, Streaming(completion="fast_lane")).count() == 0  # this log has no fast lane; see test_counters for one that has
     _, stopped = told(spark, first, every, Streaming(stop=Threshold(confidence_bps=7000)))
     assert [r[3] for r in stopped] == [300, 300]
     at_phase_end = progress.report(log, Streaming(stop=Threshold(confidence_bps=9000))).first()
