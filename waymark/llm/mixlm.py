@@ -660,7 +660,9 @@ def score(docs: DataFrame, learn_from: Column, text: str = "text", chunk_bytes:
             head = _remembered.of(shared.value, keys)[back]
             s = per(head[: len(w.hash)] + later) + head[len(w.hash) :]
             size = np.diff(w.offs)
-            cols = [b.column(0), pa.array(size.astype(np.int64)), pa.array(w.count + 1), pa.array(known), pa.array(np.full(w.n_docs, tokens, np.int64)), pa.array(base), pa.array(s), pa.array(-s / np.log10(2) / np.maximum(size, 1))]
+            own = b.column(0)
+            own = pa.StructArray.from_arrays(own.flatten(), names=[f.name for f in own.type])  # columns that are never null may be null in the result's type
+            cols = [own, pa.array(size.astype(np.int64)), pa.array(w.count + 1), pa.array(known), pa.array(np.full(w.n_docs, tokens, np.int64)), pa.array(base), pa.array(s), pa.array(-s / np.log10(2) / np.maximum(size, 1))]
             done.append(pa.RecordBatch.from_arrays(cols, ["kept", *names]))
         return pa.Table.from_batches(done, None if done else pa.schema([]))
 
