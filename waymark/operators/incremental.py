@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import topology
@@ -51,6 +51,18 @@ def probes(found: DataFrame, edges: DataFrame, changed: DataFrame | None = None)
     return moved.join(found.select("request_id", "path_key"), ["request_id", "path_key"], "left_anti")
 
 
+def marked(rows: DataFrame, pools: DataFrame, longest: int) -> DataFrame:
+    """rows (routes of at most `longest` pools) with _hit: whether they use one of pools (distinct).
+
+    Each hop looks its pool up: no route is taken apart or shuffled to find those that are touched.
+    """
+    columns, hit = rows.columns, F.lit(False)
+    for i in range(longest):
+        rows = rows.join(pools.select(F.col("pool").alias(f"_p{i}")), F.get("pools", F.lit(i)) == F.col(f"_p{i}"), "left")
+        hit = hit | F.col(f"_p{i}").isNotNull()
+    return rows.withColumn("_hit", hit).select(*columns, "_hit")
+
+
 def refresh(found: DataFrame, edges: DataFrame, changed: DataFrame, with_probes: bool = False, price: str = "constant_product", requests: DataFrame | None = None, reasons: DataFrame | None = None) -> DataFrame:
     """request_id, previous, amount_out, path_key, repriced, status, reason of each request after some pools changed.
 
@@ -62,15 +74,10 @@ def refresh(found: DataFrame, edges: DataFrame, changed: DataFrame, with_probes:
     pools = changed.select("pool").distinct()
     longest = found.agg(F.max(F.size("pools"))).first()[0] or 0
     barred = reasons.where("reason IS NOT NULL").select("request_id", "reason") if reasons is not None else None
-    # Each hop looks its pool up: no route is taken apart or shuffled to find those that are touched.
-    rows, hit = found.select("request_id", "amount_in", "tokens", "pools", "path_key", F.col("amount_out").alias("old")), F.lit(False)
-    for i in range(longest):
-        rows = rows.join(pools.withColumnRenamed("pool", f"_p{i}"), F.get("pools", F.lit(i)) == F.col(f"_p{i}"), "left")
-        hit = hit | F.col(f"_p{i}").isNotNull()
+    rows = marked(found.select("request_id", "amount_in", "tokens", "pools", "path_key", F.col("amount_out").alias("old")), pools, longest)
     if barred is not None:
-        rows = rows.join(barred.select("request_id", F.lit(True).alias("_barred")), "request_id", "left")
-        hit = hit & F.col("_barred").isNull()
-    rows = rows.withColumn("_hit", hit).select("request_id", "amount_in", "tokens", "pools", "path_key", "old", "_hit")
+        rows = rows.join(barred.select("request_id", F.lit(True).alias("_barred")), "request_id", "left").withColumn("_hit", F.col("_hit") & F.col("_barred").isNull())
+    rows = rows.select("request_id", "amount_in", "tokens", "pools", "path_key", "old", "_hit")
     again = rows.where("_hit").select("request_id", "amount_in", "tokens", "pools", "path_key", "old", F.lit(False).alias("probe"))
     if with_probes:
         live = found.join(barred, "request_id", "left_anti") if barred is not None else found
@@ -110,6 +117,12 @@ def apply_count_delta(state: DataFrame, delta: DataFrame) -> DataFrame:
     return state.select("token", "pools").unionByName(minus).unionByName(plus).groupBy("token").agg(F.sum("pools").alias("pools")).where("pools <> 0")
 
 
-def memo_stats(hops: DataFrame) -> DataFrame:
-    """requests, executed, hits, waits of a shared quote memo over hop keys (pool, token_in, token_out, amount_in)."""
-    return hops.agg(F.count("*").alias("requests"), F.count_distinct("pool", "token_in", "token_out", "amount_in").alias("executed")).select("requests", "executed", (F.col("requests") - F.col("executed")).alias("hits"), F.lit(0).cast("long").alias("waits"))
+def memo_stats(hops: DataFrame, times: Column | None = None) -> DataFrame:
+    """requests, executed, hits, waits of a shared quote memo over hop keys (pool, token_in, token_out, amount_in).
+
+    times: how many requests a row of hops stands for; by default one. Keys are summed first, so what is counted is a row a key.
+    """
+    keys = hops.groupBy("pool", "token_in", "token_out", "amount_in").agg(F.count("*").alias("n") if times is None else F.sum(times).alias("n"))
+    # A key with a null isn't executed, as in a count of distinct keys.
+    whole = F.expr("pool IS NOT NULL AND token_in IS NOT NULL AND token_out IS NOT NULL AND amount_in IS NOT NULL")
+    return keys.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("requests"), F.count_if(whole).alias("executed")).select("requests", "executed", (F.col("requests") - F.col("executed")).alias("hits"), F.lit(0).cast("long").alias("waits"))

@@ -7,18 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators import routes
 from waymark.plans.bounded import TRANSFERS
 from waymark.plans.registry import query, walk
 from waymark.sources import fixtures as fx
 from waymark.sources.session import with_package
 from waymark.streaming import live
-from waymark.streaming.store import shared_folder
+from waymark.streaming.store import shared_folder, written
 
 
 def feed_of(spark: SparkSession, df: DataFrame, rows: int = 500_000) -> tuple[DataFrame, str]:
-    """df as a stream of files of about `rows` rows (at least three) in order of seq, and a folder for its checkpoint."""
+    """df as a stream of files of about `rows` rows (at least three) in order of seq, and a folder for its checkpoint.
+
+    df is computed once. It is written again by ranges of seq, so that a file of the feed reads its own rows only, not all of them.
+    """
+    df = written(df)
     files = max(3, -(-df.count() // rows))
     folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    df = written(df.repartitionByRange(files, "seq"))
     cuts = [None, *df.approxQuantile("seq", [i / files for i in range(1, files)], 0.001), None]
     for low, high in zip(cuts, cuts[1:]):  # one after another: the source takes files by their time
         part = df if low is None else df.where(F.col("seq") > low)
@@ -35,10 +41,11 @@ nedge AS (SELECT pool_id AS pool, t0 AS token_in, t1 AS token_out, r0 AS r_in, r
 def live_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions' best routes after the change feed has run through, refreshed batch by batch."""
     feed, checkpoint = feed_of(spark, fx.changes(spark, sf_dir))
-    run = live.LiveRoutes(spark, fx.requests(spark, sf_dir))
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    run = live.LiveRoutes(spark, asked)
     run.baseline(fx.pools(spark, sf_dir))
     run.run(feed, checkpoint)
-    return run.best().select("request_id", "amount_in", "amount_out", "path_key")
+    return routes.handed_out(run.best(), members).select("request_id", "amount_in", "amount_out", "path_key")
 
 
 @query(TRANSFERS + """ SELECT b.pool, b.token, CASE WHEN state='fresh' AND undone=0 AND amount+low>=0 THEN 'fresh' ELSE 'stale' END AS state,

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waymark.model import Search
-from waymark.operators import incremental, routes
-from waymark.streaming.store import Store
+from waymark.operators import incremental, routes, topology
+from waymark.streaming.store import Store, written
 
 ROUTE = ["request_id", "target", "amount_in", "tokens", "pools", "path_key", "amount_out"]
 
@@ -31,7 +31,7 @@ class LiveRoutes:
     """Best routes of subscriptions (requests), kept up to date by a stream of changes.
 
     Each micro-batch: refuse a gap, merge the pools, price again only the routes over touched pools, and commit pools, routes and
-    bests as one generation. A batch that is replayed after a failure finds its version committed and does nothing.
+    bests as one generation. Touched pools and edges are looked up, so no route is shuffled to be priced. A batch that is replayed after a failure finds its version committed and does nothing.
     """
 
     def __init__(self, spark: SparkSession, requests: DataFrame, max_hops: int = 2, store: Store | None = None) -> None:
@@ -49,13 +49,10 @@ class LiveRoutes:
         if version <= self.store.version():
             return
         batch = batch.persist()
-        pools, found = merge_changes(self.store.read("pools"), batch), self.store.read("routes")
-        touched = batch.where("NOT removed").select(F.col("pool_id").alias("pool")).distinct()
-        keys = incremental.index(found).join(touched, "pool", "left_semi").select("request_id", "path_key").distinct()
-        again = found.join(keys, ["request_id", "path_key"], "left_semi")
-        priced = routes.quote_paths(incremental.as_paths(again), edges_of(pools)).select("path_id.request_id", "path_id.path_key", F.col("amount_out").alias("new"))
-        moved = again.drop("amount_out").join(priced, ["request_id", "path_key"]).withColumnRenamed("new", "amount_out").select(*ROUTE)
-        now = found.join(keys, ["request_id", "path_key"], "left_anti").select(*ROUTE).unionByName(moved)
+        pools, touched = written(merge_changes(self.store.read("pools"), batch)), written(batch.where("NOT removed").select(F.col("pool_id").alias("pool")).distinct())
+        found = incremental.marked(self.store.read("routes"), touched, self.max_hops)
+        moved = topology.price_paths(found.where("_hit").drop("_hit", "amount_out"), edges_of(pools), self.max_hops)
+        now = found.where("NOT _hit").select(*ROUTE).unionByName(moved.select(*ROUTE))
         self.store.commit(version, {"pools": pools, "routes": now, "best": self._best(now, version)})
         batch.unpersist()
 
