@@ -16,6 +16,8 @@ from waymark.streaming.store import written
 class Counters:
     """What a search leaves out and why, told by its own jobs while they write their tables; `values` adds up all levels and passes.
 
+    A request that stands for several (`times`, see routes.alike) counts as often.
+
     ordered_groups, protocol_ranked_edges, balance_reads: groups of parallel edges, edges and balances in the ranking.
     shortlist_initial_edges, shortlist_deferred_edges, shortlist_refinement_edges: hops over the first ranked edges, edges that the first pass
     left for the second, and the second's hops. pruned_edges, stale_or_unknown_skipped_for_pruning: by balances. prefix_dominated_states.
@@ -35,6 +37,11 @@ class Counters:
         self._seen.append(Observation())
         return df.observe(self._seen[-1], *(c.cast("long").alias(k) for k, c in counts.items()))
 
+    @staticmethod
+    def count(df: DataFrame, of: Column | str = "true") -> Column:
+        """How many rows of df meet a condition, each as often as its request is asked."""
+        return F.sum(F.when(F.expr(of) if isinstance(of, str) else of, F.col("times") if "times" in df.columns else F.lit(1)))
+
     def values(self) -> dict[str, int]:
         """After the search; a table that never was written would make this wait."""
         out = dict.fromkeys(self.NAMES, 0)
@@ -113,7 +120,7 @@ def capped(front: DataFrame, caps: DataFrame, incumbent: DataFrame, counters: Co
         t = front.join(caps.withColumnRenamed("token", "target"), "target", "left")
     t = t.join(incumbent.select("request_id", F.col("amount_out").alias("_best")), "request_id", "left")
     if counters is not None:
-        t = counters.on(t, upper_bound_pruned_prefixes=F.count_if(F.expr("cap <= _best")), upper_bound_unknown_prefixes=F.count_if(F.expr("cap IS NULL AND _best IS NOT NULL")))
+        t = counters.on(t, upper_bound_pruned_prefixes=counters.count(t, "cap <= _best"), upper_bound_unknown_prefixes=counters.count(t, "cap IS NULL AND _best IS NOT NULL"))
     out = t.where("cap IS NULL OR _best IS NULL OR cap > _best").drop("cap", "_best")
     return out if counters is None else written(out)
 
@@ -127,7 +134,7 @@ def balance_pruned(quotes: DataFrame) -> DataFrame:
     edges of a pair.
     """
     quotes = quotes if "sure" in quotes.columns else quotes.withColumn("sure", F.lit(True))
-    keys = [c for c in ("request_id", "token_in", "token_out", "prefix") if c in quotes.columns]
+    keys = [c for c in ("request_id", "times", "token_in", "token_out", "prefix") if c in quotes.columns]
     out = "CAST(array() AS ARRAY<STRUCT<pool: BIGINT, pruned: BOOLEAN>>)"
     cut = "coalesce(e.sure AND e.out_fresh <= s.best, false)"
     step = F.expr(f"""aggregate(edges, named_struct('best', CAST(NULL AS BIGINT), 'out', {out}),
@@ -165,22 +172,23 @@ def search(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: S
     if h.fast_lane.enabled and bounds.min_hops <= 2:
         lane = fast_lane(requests, edges, balances, h.fast_lane, price).drop("lane")
         if counters is not None:
-            lane = written(counters.on(lane, fast_lane_routes=F.count("*"), fast_lane_quotes=F.count("amount_out")))
+            lane = written(counters.on(lane, fast_lane_routes=counters.count(lane), fast_lane_quotes=counters.count(lane, "amount_out IS NOT NULL")))
         lane = lane.where((F.col("hops") >= bounds.min_hops) & (F.col("hops") <= bounds.max_hops) & F.col("amount_out").isNotNull())
         allowed = F.lit(None).cast("array<bigint>") if bounds.connectors is None else F.array(*map(F.lit, bounds.connectors)).cast("array<bigint>")
         asked = requests.select("request_id", (F.col("connectors") if "connectors" in requests.columns else allowed).alias("_c"))
         # The lane has connectors of its own; given ones hold for it too.
         if bounds.connectors is not None:
             lane = lane.join(asked, "request_id").where("hops = 1 OR array_contains(_c, tokens[1])").drop("_c")
-        done.append(lane)
+        done.append(lane.drop("times"))
     limits = [h.shortlist.initial, h.shortlist.refinement] if h.shortlist.enabled else [None]
     for i, limit in enumerate(limits):
         kept = ranked if limit is None else ranked.where(F.col("position") <= limit)
         told = None
         if counters is not None and limit is not None:
             # A group's first edge stands for those of it that wait.
-            later = F.sum(F.when(F.col("position") == 1, F.greatest(F.col("of") - limit, F.lit(0))).otherwise(0))
-            told = {"shortlist_refinement_edges": F.count("*")} if i else {"shortlist_initial_edges": F.count("*"), "shortlist_deferred_edges": later}
+            later = F.sum(F.when(F.col("position") == 1, F.greatest(F.col("of") - limit, F.lit(0)) * (F.col("times") if "times" in requests.columns else F.lit(1))).otherwise(0))
+            hops = counters.count(requests)
+            told = {"shortlist_refinement_edges": hops} if i else {"shortlist_initial_edges": hops, "shortlist_deferred_edges": later}
         done.append(_pass(requests, kept, balances, bounds, price, counters, told))
     out = done[0]
     for d in done[1:]:
@@ -202,16 +210,16 @@ def _pass(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Se
         if not last:
             grown = grown.join(near.where(F.col("need") <= remaining).select(F.col("node").alias("cur"), "target"), ["cur", "target"], "left_semi")
         if counters is not None and h.balance_pruning:
-            told = (told or {}) | {"stale_or_unknown_skipped_for_pruning": F.count_if(F.col("out_fresh").isNull())}
+            told = (told or {}) | {"stale_or_unknown_skipped_for_pruning": counters.count(grown, "out_fresh IS NULL")}
         if told:
             grown = counters.on(grown, **told)
         if h.balance_pruning or told:
             grown = written(grown)
         if h.balance_pruning:
-            q = grown.select("request_id", F.expr("array_join(CAST(slice(pools, 1, size(pools) - 1) AS ARRAY<STRING>), '|')").alias("prefix"), F.col("cur").alias("token_out"), F.element_at("pools", -1).alias("pool"), "position", "amount", "out_fresh", F.expr("two OR cur = target").alias("sure"))
+            q = grown.select("request_id", *(c for c in ("times",) if c in grown.columns), F.expr("array_join(CAST(slice(pools, 1, size(pools) - 1) AS ARRAY<STRING>), '|')").alias("prefix"), F.col("cur").alias("token_out"), F.element_at("pools", -1).alias("pool"), "position", "amount", "out_fresh", F.expr("two OR cur = target").alias("sure"))
             cut = balance_pruned(q).where("pruned")
             if counters is not None:
-                cut = counters.on(cut, pruned_edges=F.count("*"))
+                cut = counters.on(cut, pruned_edges=counters.count(cut))
             cut = cut.select("request_id", F.concat_ws("|", F.when(F.col("prefix") != "", F.col("prefix")), F.col("pool").cast("string")).alias("_k"), F.col("token_out").alias("cur"))
             grown = grown.withColumn("_k", F.array_join(F.col("pools").cast("array<string>"), "|")).join(cut, ["request_id", "_k", "cur"], "left_anti").drop("_k")
         grown = written(keep_best_edges(grown.drop(*carry), h.parallel_edges))  # bounded by beam x tokens a request
@@ -233,10 +241,10 @@ def _pass(requests: DataFrame, edges: DataFrame, balances: DataFrame, bounds: Se
         if h.dominance:
             labels = future_blocked(front, edges)
             if counters is not None:
-                labels = counters.on(labels, prefix_dominated_states=F.count("*"))
+                labels = counters.on(labels, prefix_dominated_states=counters.count(labels))
             front = undominated(written(labels)).drop("blocked")
             if counters is not None:
-                front = written(counters.on(front, prefix_dominated_states=-F.count("*")))
+                front = written(counters.on(front, prefix_dominated_states=-counters.count(front)))
         if h.beam_width is not None:
             front = beam(front, h.beam_width)
         front = written(front)

@@ -155,20 +155,20 @@ def fast_lane_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress at every improvement and milestone over the real phases: fast lane, bounded search, all other paths."""
-    asked, edges, balances = fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir)
+    (asked, members), edges, balances = routes.alike(fx.requests(spark, sf_dir)), ready(spark, sf_dir), fx.balances(spark, sf_dir)
     lane = written(heuristic.fast_lane(asked, edges, balances, FastLane()))
     first = written(heuristic.find(asked, edges, Search(max_hops=2, mode="heuristic", heuristic=Heuristic.balanced()), balances))
     every = routes.enumerate_priced(asked, edges, Search(max_hops=2))
     log = written(progress.quote_log(first, every, lane))
-    return progress.progress(log).where("best_updated OR step > 0").select("request_id", "seq", "step", "phase", "evaluated", "viable", "failed", "fraction_bps", "confidence_bps", "best", "best_updated")
+    return routes.handed_out(progress.progress(log).where("best_updated OR step > 0"), members).select("request_id", "seq", "step", "phase", "evaluated", "viable", "failed", "fraction_bps", "confidence_bps", "best", "best_updated")
 
 
 FRONT = ", " + walk("request", 2, edge="redge")
 
 
-def _front(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _front(asked: DataFrame, edges: DataFrame) -> DataFrame:
     """All prefixes of one hop that don't close."""
-    return routes.expand(routes.start(fx.requests(spark, sf_dir), Search()), ready(spark, sf_dir), "constant_product", False, False).where("cur <> target")
+    return routes.expand(routes.start(asked, Search()), edges, "constant_product", False, False).where("cur <> target")
 
 
 PREFIX = ", pre AS (SELECT r.request_id, r.token_out AS target, e.token_out AS cur, e.pool, (r.amount_in*9970*e.r_out)//(e.r_in*10000+r.amount_in*9970) AS amount FROM request r JOIN redge e ON e.token_in=r.token_in WHERE e.token_out<>r.token_out)"
@@ -176,12 +176,14 @@ PREFIX = ", pre AS (SELECT r.request_id, r.token_out AS target, e.token_out AS c
 
 @query(LIQ + PREFIX + " SELECT request_id, cur, pool, amount FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cur ORDER BY amount DESC, pool) AS n FROM pre) x WHERE n<=2")
 def parallel_edge_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristic.keep_best_edges(_front(spark, sf_dir), 2).select("request_id", "cur", F.element_at("pools", 1).alias("pool"), "amount")
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    return routes.handed_out(heuristic.keep_best_edges(_front(asked, ready(spark, sf_dir)), 2), members).select("request_id", "cur", F.element_at("pools", 1).alias("pool"), "amount")
 
 
 @query(LIQ + PREFIX + " SELECT request_id, cur, pool, amount FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount DESC, CAST(pool AS VARCHAR)) AS n FROM pre) x WHERE n<=16")
 def beam_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristic.beam(_front(spark, sf_dir), 16).select("request_id", "cur", F.element_at("pools", 1).alias("pool"), "amount")
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    return routes.handed_out(heuristic.beam(_front(asked, ready(spark, sf_dir)), 16), members).select("request_id", "cur", F.element_at("pools", 1).alias("pool"), "amount")
 
 
 #: Prefixes of one and two hops; of parallel edges the one with the largest output.
@@ -196,10 +198,11 @@ lab AS (SELECT *, array_to_string(pools,'|') AS k FROM (SELECT * FROM one UNION
 @query(LIQ + TWO + """ SELECT request_id, cur, k AS path_key, amount FROM lab a WHERE NOT EXISTS (SELECT 1 FROM lab b WHERE b.request_id=a.request_id AND b.cur=a.cur AND b.k<>a.k AND b.amount>=a.amount
   AND list_has_all(a.toks, b.toks) AND list_has_all(a.pools, b.pools) AND (NOT (a.amount=b.amount AND len(a.toks)=len(b.toks) AND len(a.pools)=len(b.pools)) OR b.k<a.k))""")
 def prefix_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = ready(spark, sf_dir)
+    (asked, members), edges = routes.alike(fx.requests(spark, sf_dir)), ready(spark, sf_dir)
     grow = lambda front: heuristic.keep_best_edges(routes.expand(front, edges, "constant_product", False, False).where("cur <> target"), 1)
-    one = grow(routes.start(fx.requests(spark, sf_dir), Search()))
-    return heuristic.undominated(one.unionByName(grow(one))).select("request_id", "cur", F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"), "amount")
+    one = grow(routes.start(asked, Search()))
+    kept = heuristic.undominated(one.unionByName(grow(one))).select("request_id", "cur", F.array_join(F.col("pools").cast("array<string>"), "|").alias("path_key"), "amount")
+    return routes.handed_out(kept, members)
 
 
 @query(LIQ + PREFIX + """, cap AS (SELECT token_out AS token, CASE WHEN count(*)=count(out_fresh) THEN max(out_fresh) END AS cap FROM eb WHERE pool%11<>0 AND pool%7<>0 GROUP BY token_out),
@@ -207,10 +210,10 @@ inc AS (SELECT r.request_id, max((r.amount_in*9970*e.r_out)//(e.r_in*10000+r.amo
 SELECT p.request_id, cur, pool, amount FROM pre p LEFT JOIN cap ON cap.token=p.target LEFT JOIN inc ON inc.request_id=p.request_id WHERE cap IS NULL OR best IS NULL OR cap>best""")
 def upper_bound_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incumbents are made four times as good here, so that some prefixes fall."""
-    edges, requests = ready(spark, sf_dir), fx.requests(spark, sf_dir)
+    edges, (asked, members) = ready(spark, sf_dir), routes.alike(fx.requests(spark, sf_dir))
     caps = liquidity.target_caps(edges.where("pool % 11 <> 0 AND pool % 7 <> 0"), fx.balances(spark, sf_dir))
-    incumbent = routes.best(routes.enumerate_priced(requests, edges, Search(max_hops=1))).select("request_id", (F.col("amount_out") * 4).alias("amount_out"))
-    return heuristic.capped(_front(spark, sf_dir), caps, incumbent).select("request_id", "cur", F.element_at("pools", 1).alias("pool"), "amount")
+    incumbent = routes.best(routes.enumerate_priced(asked, edges, Search(max_hops=1))).select("request_id", (F.col("amount_out") * 4).alias("amount_out"))
+    return routes.handed_out(heuristic.capped(_front(asked, edges), caps, incumbent), members).select("request_id", "cur", F.element_at("pools", 1).alias("pool"), "amount")
 
 
 @query(LIQ + """, g AS (SELECT r.request_id, k.token_in, k.token_out, pool, position, (r.amount_in*9970*r_out)//(r_in*10000+r.amount_in*9970) AS amount, CASE WHEN out_fresh IS NOT NULL THEN out_fresh//4 END AS held FROM request r JOIN rank k ON k.token_in=r.token_in AND k.token_out=r.token_out),
@@ -227,22 +230,24 @@ def balance_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def beam_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole bounded search; its rankings have SQL of their own, the loop has none."""
-    found = heuristic.search(fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir), Search(max_hops=3, mode="heuristic", heuristic=Heuristic.balanced()))
-    return found.select(*SHOWN)
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    found = heuristic.search(asked, ready(spark, sf_dir), fx.balances(spark, sf_dir), Search(max_hops=3, mode="heuristic", heuristic=Heuristic.balanced()))
+    return routes.handed_out(found, members).select(*SHOWN)
 
 
 @query()
 def beam_routes_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bounded search with shortlist, refinement pass and balance pruning."""
     quick = Heuristic(shortlist=Heuristic.latency_first().shortlist, balance_pruning=True)
-    return heuristic.find(fx.requests(spark, sf_dir), ready(spark, sf_dir), Search(max_hops=3, mode="heuristic", heuristic=quick), fx.balances(spark, sf_dir)).select(*SHOWN)
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    return routes.handed_out(heuristic.find(asked, ready(spark, sf_dir), Search(max_hops=3, mode="heuristic", heuristic=quick), fx.balances(spark, sf_dir)), members).select(*SHOWN)
 
 
 @query()
 def prune_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the bounded search over all requests left out, by reason."""
     quick, seen = Heuristic(shortlist=Heuristic.latency_first().shortlist, balance_pruning=True, upper_bound=True, dominance=True, fast_lane=Heuristic.latency_first().fast_lane), heuristic.Counters()
-    written(heuristic.search(fx.requests(spark, sf_dir), ready(spark, sf_dir), fx.balances(spark, sf_dir), Search(max_hops=2, mode="heuristic", heuristic=quick), counters=seen))
+    written(heuristic.search(routes.alike(fx.requests(spark, sf_dir))[0], ready(spark, sf_dir), fx.balances(spark, sf_dir), Search(max_hops=2, mode="heuristic", heuristic=quick), counters=seen))
     return spark.createDataFrame(sorted(seen.values().items()), "counter string, n long")
 
 

@@ -89,7 +89,8 @@ def routes_max_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(", " + walk("request", 2) + " SELECT request_id, amount_in, amount_out, hops, path_key FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hops, path_key) AS n FROM route) x WHERE n<=25", recursive=True)
 def batch_max_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 25 candidates of each request; prefixes that they don't need aren't expanded."""
-    return routes.enumerate_within(fx.requests(spark, sf_dir), fx.edges(spark, sf_dir), Search(max_hops=2, max_candidates=25)).select(*SHOWN)
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    return routes.handed_out(routes.enumerate_within(asked, fx.edges(spark, sf_dir), Search(max_hops=2, max_candidates=25)), members).select(*SHOWN)
 
 
 @query(ONE + walk("one", 3) + " SELECT request_id, amount_in, amount_out, hops, path_key FROM route ORDER BY hops, path_key LIMIT 5000", recursive=True)
@@ -102,26 +103,40 @@ SELECT request_id, amount_in, amount_out, hops, path_key FROM (SELECT r.*, coale
   WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.request_id=r.request_id AND s.path_key=r.path_key)) x WHERE i<=100-n""", recursive=True)
 def remainder_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second phase evaluates after a first one over connectors 3, 5 and 7, out of 100 candidates for both."""
-    asked, edges = fx.requests(spark, sf_dir), fx.edges(spark, sf_dir)
+    (asked, members), edges = routes.alike(fx.requests(spark, sf_dir)), fx.edges(spark, sf_dir)
     seen = routes.enumerate_priced(asked, edges, Search(max_hops=2, connectors=(3, 5, 7))).select("request_id", "path_key")
-    return routes.enumerate_within(asked, edges, Search(max_hops=2, max_candidates=100), written(seen)).select(*SHOWN)
+    return routes.handed_out(routes.enumerate_within(asked, edges, Search(max_hops=2, max_candidates=100), written(seen)), members).select(*SHOWN)
 
 
 BATCH = ", " + walk("request", 2)
 
 
-def batch(spark: SparkSession, sf_dir: str, hops: int = 2) -> DataFrame:
-    return routes.enumerate_priced(fx.requests(spark, sf_dir), fx.edges(spark, sf_dir), Search(max_hops=hops))
+def batch(spark: SparkSession, sf_dir: str, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The routes of what is asked, and the requests that ask it (see routes.alike)."""
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    return routes.enumerate_priced(asked, fx.edges(spark, sf_dir), Search(max_hops=hops)), members
+
+
+def best_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request's best route."""
+    found, members = batch(spark, sf_dir)
+    return routes.handed_out(routes.best(found), members)
+
+
+def top_of_batch(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+    """Each request's best routes with their ranks."""
+    found, members = batch(spark, sf_dir)
+    return routes.handed_out(routes.ranked(found, top), members)
 
 
 @query(BATCH + " SELECT request_id, amount_in, amount_out, hops, path_key FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route) x WHERE n=1", recursive=True)
 def batch_best_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.best(batch(spark, sf_dir)).select(*SHOWN)
+    return best_of_batch(spark, sf_dir).select(*SHOWN)
 
 
 @query(BATCH + " SELECT CAST(n AS INTEGER) AS rank, request_id, amount_in, amount_out, hops, path_key FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route) x WHERE n<=3", recursive=True)
 def batch_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.ranked(batch(spark, sf_dir), 3).select("rank", *SHOWN)
+    return top_of_batch(spark, sf_dir, 3).select("rank", *SHOWN)
 
 
 PAIRS = """, pairs AS (SELECT a.token*25+b.token AS request_id, a.token AS token_in, b.token AS token_out, CAST(1000 AS BIGINT) AS amount_in
@@ -148,14 +163,16 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(", " + walk("request", 2, quote=LINEAR) + " SELECT request_id, failed_pool, count(*) AS paths FROM (SELECT request_id, pools[list_position(list_transform(amounts, lambda a: a IS NULL), true)] AS failed_pool FROM route WHERE amount_out IS NULL) x GROUP BY 1, 2", recursive=True)
 def route_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many paths of each request fail at each pool."""
-    failed = routes.failures(routes.enumerate_priced(fx.requests(spark, sf_dir), rated(spark, sf_dir), Search(max_hops=2), "linear"))
-    return failed.groupBy("request_id", "failed_pool").agg(F.count("*").alias("paths"))
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    failed = routes.failures(routes.enumerate_priced(asked, rated(spark, sf_dir), Search(max_hops=2), "linear"))
+    return routes.handed_out(failed.groupBy("request_id", "failed_pool").agg(F.count("*").alias("paths")), members)
 
 
 @query(", " + walk("request", 2, quote=LINEAR) + " SELECT request_id, max(amount_out) AS amount_out, count(*) AS candidates, count(*)-count(amount_out) AS failed FROM route GROUP BY request_id", recursive=True)
 def linear_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = routes.enumerate_priced(fx.requests(spark, sf_dir), rated(spark, sf_dir), Search(max_hops=2), "linear")
-    return r.groupBy("request_id").agg(F.max("amount_out").alias("amount_out"), F.count("*").alias("candidates"), F.count_if(F.col("amount_out").isNull()).alias("failed"))
+    asked, members = routes.alike(fx.requests(spark, sf_dir))
+    r = routes.enumerate_priced(asked, rated(spark, sf_dir), Search(max_hops=2), "linear")
+    return routes.handed_out(r.groupBy("request_id").agg(F.max("amount_out").alias("amount_out"), F.count("*").alias("candidates"), F.count_if(F.col("amount_out").isNull()).alias("failed")), members)
 
 
 @query(ONE + walk("one", 2, quote="(w.amount*(10000-coalesce(e.fee,30))*e.r_out)//(e.r_in*10000+w.amount*(10000-coalesce(e.fee,30)))") + " SELECT request_id, amount_in, amount_out, hops, path_key FROM route", recursive=True)
@@ -208,7 +225,7 @@ def min_out_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from waymark.functions.pricing import min_amount_out
 
-    top = routes.ranked(batch(spark, sf_dir), 2)
+    top = top_of_batch(spark, sf_dir, 2)
     w = Window.partitionBy("request_id").orderBy("rank")
     return top.withColumn("second_best", F.lead("amount_out").over(w)).where("rank = 1").select("request_id", "amount_out", F.expr(min_amount_out("amount_out", "50")).alias("min_out"), "second_best")
 
@@ -217,11 +234,11 @@ def min_out_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT request_id, CAST(n AS INTEGER) AS rank, path_key FROM r WHERE n<=20 AND len(list_filter(pools, lambda p: p//10000=5))=0""", recursive=True)
 def executable_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the top 20 routes those whose hops all are of allowed venues, at their original ranks."""
-    return routes.ranked(batch(spark, sf_dir), 20).where("forall(pools, p -> p div 10000 <> 5)").select("request_id", "rank", "path_key")
+    return top_of_batch(spark, sf_dir, 20).where("forall(pools, p -> p div 10000 <> 5)").select("request_id", "rank", "path_key")
 
 
 @query(BATCH + """ SELECT request_id, CAST(n AS INTEGER) AS rank, CAST(amount_out AS VARCHAR) AS amount_out FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route) x WHERE n<=2""", recursive=True)
 def route_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wire form: amounts as decimal strings inside JSON, read back here."""
-    r = routes.responses(routes.ranked(batch(spark, sf_dir), 2))
+    r = routes.responses(top_of_batch(spark, sf_dir, 2))
     return r.select("request_id", "rank", F.get_json_object("body", "$.amount_out").alias("amount_out"))

@@ -18,10 +18,10 @@ from waymark.sources.session import with_package
 SELECT request_id, count(*) AS routes, CAST(count_if(gap<100) AS BIGINT) AS close, round(max(gap), 6) AS widest FROM (SELECT r.request_id, CASE WHEN best>0 THEN CAST(greatest(best-amount_out,0) AS DOUBLE)*10000.0/best ELSE 0.0 END AS gap FROM route r JOIN b USING (request_id)) x GROUP BY request_id""", recursive=True)
 def gap_bps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each request's routes are under its best: how many are within 100 basis points, and the widest gap."""
-    r = batch(spark, sf_dir)
+    r, members = batch(spark, sf_dir)
     best = r.groupBy("request_id").agg(F.max("amount_out").alias("best"))
     gaps = r.join(best, "request_id").withColumn("gap", F.expr(pricing.gap_bps("best", "amount_out")))
-    return gaps.groupBy("request_id").agg(F.count("*").alias("routes"), F.count_if(F.col("gap") < 100).alias("close"), F.round(F.max("gap"), 6).alias("widest"))
+    return routes.handed_out(gaps.groupBy("request_id").agg(F.count("*").alias("routes"), F.count_if(F.col("gap") < 100).alias("close"), F.round(F.max("gap"), 6).alias("widest")), members)
 
 
 @query(""" SELECT kind, max(n) AS n, max(CASE WHEN i=((n-1)*50)//100+1 THEN k END) AS p50, max(CASE WHEN i=((n-1)*95)//100+1 THEN k END) AS p95, max(k) AS worst

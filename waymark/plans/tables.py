@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import binary
 from waymark.model import Search
 from waymark.operators import policies, rawlogs, routes, targets, versions
-from waymark.plans.paths import BATCH, batch
+from waymark.plans.paths import BATCH, best_of_batch, top_of_batch
 from waymark.plans.registry import query, walk
 from waymark.plans.topology import YEARS
 from waymark.sources import fixtures as fx
@@ -122,7 +122,7 @@ def packed_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "CASE p div 10000 WHEN 3 THEN " + binary.padded("p", 32) + " WHEN 2 THEN IF(tokens[i] < tokens[i + 1], '0001', '0100') ELSE '' END"
     tag = "CASE p div 10000 WHEN 1 THEN 1 WHEN 2 THEN 6 WHEN 3 THEN 5 WHEN 4 THEN 0 ELSE 4 END"
     hops = f"transform(pools, (p, i) -> struct({tag} AS tag, IF(p div 10000 = 3, 1L, p) AS endpoint, tokens[i] AS token_in, tokens[i + 1] AS token_out, {extra} AS extra))"
-    best = routes.best(batch(spark, sf_dir)).withColumn("steps", F.expr(hops))
+    best = best_of_batch(spark, sf_dir).withColumn("steps", F.expr(hops))
     return best.select("request_id", F.expr(f"lower(hex({binary.packed_route('target', 'steps')}))").alias("packed"))
 
 
@@ -138,14 +138,14 @@ b AS (SELECT a.request_id, a.path_key, a.amount_out, CASE WHEN a.request_id%5=0
 SELECT request_id, path_key, amount_out, CASE WHEN given IS NOT NULL THEN nullif(given,0) ELSE nullif(second,0) END AS minimum, CASE WHEN given=0 THEN 'zero' WHEN given IS NOT NULL THEN NULL WHEN second IS NULL THEN 'no_second_route' WHEN second=0 THEN 'zero' END AS error FROM b""", recursive=True)
 def execution_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least output that each request's best route may be executed at: a given one, or the second route's."""
-    return policies.execution_minimum(routes.ranked(batch(spark, sf_dir), 2), F.expr("CASE WHEN request_id % 5 = 0 THEN request_id % 3 END"))
+    return policies.execution_minimum(top_of_batch(spark, sf_dir, 2), F.expr("CASE WHEN request_id % 5 = 0 THEN request_id % 3 END"))
 
 
 @query(BATCH + """, b AS (SELECT *, amount_out-CASE WHEN request_id%3=0 THEN 1 WHEN request_id%7=0 THEN 2 ELSE 0 END AS simulated FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY amount_out DESC, path_key) AS n FROM route WHERE amount_out IS NOT NULL) x WHERE n=1)
 SELECT request_id, amount_out, simulated, simulated=amount_out OR simulated+1=amount_out AND pools[len(pools)]//10000=2 AS accepted, CASE WHEN amount_in>0 THEN amount_out*9950//amount_in END AS scaled, CASE WHEN amount_out>300 THEN amount_out-300 ELSE 0 END AS over FROM b""", recursive=True)
 def stable_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated outputs beside quoted ones: one unit short is accepted on a final stable-swap hop only."""
-    best = routes.best(batch(spark, sf_dir)).withColumn("simulated", F.expr("amount_out - CASE WHEN request_id % 3 = 0 THEN 1 WHEN request_id % 7 = 0 THEN 2 ELSE 0 END"))
+    best = best_of_batch(spark, sf_dir).withColumn("simulated", F.expr("amount_out - CASE WHEN request_id % 3 = 0 THEN 1 WHEN request_id % 7 = 0 THEN 2 ELSE 0 END"))
     pools = fx.pools(spark, sf_dir).select(F.col("pool_id").alias("pool"), "protocol")
     out = policies.stable_rounding(best, pools)
     return out.select("request_id", "amount_out", "simulated", "accepted", F.expr(policies.scale_amount("amount_out", "9950", "amount_in")).alias("scaled"), F.expr(policies.sub_floor("amount_out", "300L")).alias("over"))
