@@ -77,3 +77,30 @@ def test_live_routes_keep_all_prices(spark):
     key = ["request_id", "path_key", "amount_out"]
     assert sorted(run.store.read("routes").select(*key).collect()) == sorted(want.select(*key).collect())
     assert sorted(run.best().select(*key).collect()) == sorted(routes.best(want).select(*key).collect())
+
+
+def test_copied_customers_get_the_rows_of_their_originals(spark, tmp_path):
+    import duckdb
+
+    from waymark import plans
+
+    source, d = "/root/testdata/sf0.001", str(tmp_path)
+    c = duckdb.connect()
+    tables = "region nation customer supplier part orders lineitem events".split()
+    for t in tables:
+        # 9,000 on, a customer's request asks the same.
+        more = f" UNION ALL SELECT * REPLACE (CAST(c_custkey + 9000 AS {{}}) AS c_custkey) FROM '{source}/{t}.parquet'" if t == "customer" else ""
+        kind = c.execute(f"SELECT any_value(typeof(c_custkey)) FROM '{source}/customer.parquet'").fetchone()[0]
+        c.execute(f"COPY (SELECT * FROM '{source}/{t}.parquet'{more.format(kind)}) TO '{d}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name in WITH_SQL:
+        got, want = plans.QUERIES[name](spark, d), c.sql(plans.ORACLE[name])
+        columns = sorted(want.columns)
+        assert sorted(map(str, (r.asDict() for r in got.select(*columns).collect()))) == sorted(map(str, want.select(*columns).fetchdf().astype(object).where(lambda f: f.notna(), None).to_dict("records"))), name
+    for name in WITHOUT_SQL:
+        rows = sorted(str({k: (v % 9000 if k == "request_id" else v) for k, v in r.asDict().items()}) for r in plans.QUERIES[name](spark, d).collect())
+        assert rows and rows[::2] == rows[1::2], name
+
+
+WITH_SQL = ["batch_top3", "execution_minimum", "quote_memo_stats", "initial_gate", "prefix_dominance", "upper_bound_prune", "refresh_affected", "remainder_budget"]
+WITHOUT_SQL = ["beam_routes_refined", "stream_phases"]
