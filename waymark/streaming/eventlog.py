@@ -53,6 +53,8 @@ def fold(latest: DataFrame, version: int, batch: DataFrame) -> tuple[DataFrame,
       WHEN accepted AND kind = 'result' THEN 'ready' WHEN accepted THEN 'failed' WHEN kind = 'cancel' AND alive_before THEN 'cancelled' END""")
     rows = rows.withColumn("value", value).withColumn("state", state)
     rows = rows.withColumns({"held": F.last("value", True).over(before), "was": F.last("state", True).over(before), "now_value": F.last("value", True).over(upto), "now": F.last("state", True).over(upto), "moved": F.last(F.when(F.col("state").isNotNull(), F.coalesce("was_seq", "seq")), True).over(upto)})
+    # Events, their sampling for the order of numbers, and the latest values all read these rows: the windows run once a batch.
+    rows = written(rows.select("seq", "kind", "request_id", "epoch", "version", "amount", "alive_before", "alive", "opens", "at_epoch", "at_version", "accepted", "refused", "held", "was", "now_value", "now", "moved"))
     published = F.col("held.version").isNotNull() & ((F.col("was") == "ready") | F.col("held.amount").isNotNull())
     event = (
         F.when(F.col("opens"), "accepted").when((F.col("kind") == "commit") & F.col("alive_before") & published, "invalidated").when((F.col("kind") == "replace") & F.col("alive_before") & published, "invalidated")
