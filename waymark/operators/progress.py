@@ -22,8 +22,20 @@ def quote_log(heuristic: DataFrame, exhaustive: DataFrame, lane: DataFrame | Non
         looked = lane.select(*cols).dropDuplicates(key).withColumn("phase", F.lit("fast_lane"))
         first = looked.unionByName(first.join(looked.select(*key), key, "left_anti").select(*cols, "phase"))
     rest = exhaustive.select(*cols).join(first.select(*key), key, "left_anti").select(*cols).withColumn("phase", F.lit("exhaustive"))
+    return _numbered(first.unionByName(rest))
+
+
+def phased_log(found: DataFrame, first: Column) -> DataFrame:
+    """quote_log where one table has the routes of both phases, each once, and `first` tells those of the first phase.
+
+    The routes are neither made twice nor compared by path, and where they are dealt by request (see routes.alike) nothing is shuffled.
+    """
+    return _numbered(found.select("request_id", "hops", "path_key", "amount_out", F.when(first, "heuristic").otherwise("exhaustive").alias("phase")))
+
+
+def _numbered(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("request_id").orderBy(F.expr("CASE phase WHEN 'fast_lane' THEN 0 WHEN 'heuristic' THEN 1 ELSE 2 END"), "hops", "path_key")
-    return first.unionByName(rest).withColumn("seq", F.row_number().over(w))
+    return log.withColumn("seq", F.row_number().over(w))
 
 
 def duplicates(heuristic: DataFrame, exhaustive: DataFrame) -> DataFrame:
@@ -78,8 +90,8 @@ def best_updates(log: DataFrame) -> DataFrame:
     return progress(log).where("best_updated").select("request_id", "seq", "phase", "path_key", "amount_out")
 
 
-def running_top(log: DataFrame, k: int) -> DataFrame:
-    """Quotes that enter the best k so far, with the rank they enter at (earlier equal quotes stay ahead)."""
+def entering(log: DataFrame, k: int) -> DataFrame:
+    """Viable quotes with rank: their place among the best so far (earlier equal quotes stay ahead), or k + 1 where k are ahead."""
     before = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     now = log.where("amount_out IS NOT NULL").withColumn("_x", F.col("amount_out"))
     ahead = F.lit(0)
@@ -89,7 +101,12 @@ def running_top(log: DataFrame, k: int) -> DataFrame:
         now = now.withColumn(f"_held{i}", held)
         ahead = ahead + F.coalesce((F.col(f"_held{i}") >= F.col("amount_out")).cast("int"), F.lit(0))
         now = now.withColumn("_x", F.least("_x", F.coalesce(f"_held{i}", F.lit(-1).cast("long"))))
-    return now.withColumn("rank", ahead + 1).where(F.col("rank") <= k).select("request_id", "seq", "path_key", "amount_out", "rank")
+    return now.select(*log.columns, (ahead + 1).alias("rank"))
+
+
+def running_top(log: DataFrame, k: int) -> DataFrame:
+    """Quotes that enter the best k so far, with the rank they enter at."""
+    return entering(log, k).where(F.col("rank") <= k).select("request_id", "seq", "path_key", "amount_out", "rank")
 
 
 def satisfied(t: Threshold) -> Column:
@@ -102,7 +119,11 @@ def satisfied(t: Threshold) -> Column:
 
 def first_satisfied(events: DataFrame, t: Threshold) -> DataFrame:
     """request_id, at: the first (seq, step) that meets the threshold; null where none does."""
-    return events.groupBy("request_id").agg(F.min(F.when(satisfied(t), F.struct("seq", "step"))).alias("at"))
+    return events.groupBy("request_id").agg(_first_satisfied(t).alias("at"))
+
+
+def _first_satisfied(t: Threshold) -> Column:
+    return F.min(F.when(satisfied(t), F.struct("seq", "step")))
 
 
 def searched(log: DataFrame, config: Streaming) -> DataFrame:
@@ -118,7 +139,7 @@ def searched(log: DataFrame, config: Streaming) -> DataFrame:
         events = events.where("step < 2")
     if not config.stop:
         return events.withColumn("stopped", F.lit(None).cast("struct<seq: int, step: int>"))
-    events = events.join(first_satisfied(events, config.stop).withColumnRenamed("at", "stopped"), "request_id")
+    events = events.withColumn("stopped", _first_satisfied(config.stop).over(Window.partitionBy("request_id")))
     return events.where("stopped IS NULL OR struct(seq, step) <= stopped")
 
 
@@ -129,23 +150,29 @@ def emitted(log: DataFrame, config: Streaming) -> DataFrame:
     nothing is told before it is met; then `initial` brings the best and the top routes (path keys) found by then, once; where it is
     never met, at the end. The quote that releases the results isn't told again.
     """
-    events = searched(log, config)
-    quotes = events.where("step = 0 AND amount_out IS NOT NULL")
-    none = F.lit(None).cast("array<string>").alias("top")
-    if config.emit_all_viable:
-        found = quotes.select("request_id", "seq", "path_key", "amount_out")
-    else:
-        found = running_top(quotes.select("request_id", "seq", "path_key", "amount_out"), config.top_k).select("request_id", "seq", "path_key", "amount_out")
-    told = quotes.where("best_updated").select("request_id", "seq", F.lit("best").alias("event"), "path_key", "amount_out", none)
-    told = told.unionByName(found.select("request_id", "seq", F.lit("route").alias("event"), "path_key", "amount_out", none))
-    if not config.initial:
-        return told
-    release = events.groupBy("request_id").agg(F.min(F.when(satisfied(config.initial), F.col("seq"))).alias("at"), F.max("seq").alias("last")).select("request_id", F.coalesce("at", "last").alias("at"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("amount_out"), "seq")
-    held = quotes.join(release, "request_id").where("seq <= at").withColumn("n", F.row_number().over(w)).where(F.col("n") <= config.top_k)
-    first = held.groupBy("request_id").agg(F.max("at").alias("seq"), F.min_by("path_key", "n").alias("path_key"), F.max("amount_out").alias("amount_out"), F.array_sort(F.collect_list(F.struct("n", "path_key"))).alias("t"))
-    first = first.select("request_id", "seq", F.lit("initial").alias("event"), "path_key", "amount_out", F.col("t.path_key").alias("top"))
-    return told.join(release, "request_id").where("seq > at").drop("at").unionByName(first)
+    events, at = searched(log, config), F.lit(None).cast("int")
+    if config.initial:
+        every = Window.partitionBy("request_id")
+        at = F.coalesce(F.min(F.when(satisfied(config.initial), F.col("seq"))).over(every), F.max("seq").over(every))
+    quotes = events.withColumn("at", at).where("step = 0 AND amount_out IS NOT NULL")
+    if not config.emit_all_viable:
+        quotes = entering(quotes, config.top_k)
+    enters = F.lit(True) if config.emit_all_viable else F.col("rank") <= config.top_k
+    none = F.lit(None).cast("array<string>")
+
+    def told(event: str, seq: Column, when: Column, top: Column = none) -> Column:
+        return F.when(when, F.struct(seq.alias("seq"), F.lit(event).alias("event"), "path_key", "amount_out", top.alias("top")))
+
+    free = F.col("at").isNull() | (F.col("seq") > F.col("at"))
+    rows = [told("best", F.col("seq"), free & F.col("best_updated")), told("route", F.col("seq"), free & enters)]
+    if config.initial:
+        # The best route that was held tells of all: its row has the keys of the first top_k.
+        held = Window.partitionBy("request_id").orderBy(free, F.desc("amount_out"), "seq")
+        quotes = quotes.withColumn("n", F.when(~free, F.row_number().over(held)))
+        every = Window.partitionBy("request_id")
+        quotes = quotes.withColumn("t", F.array_sort(F.collect_list(F.when(F.col("n") <= config.top_k, F.struct("n", "path_key"))).over(every)))
+        rows.append(told("initial", F.col("at"), F.col("n") == 1, F.col("t.path_key")))
+    return quotes.select("request_id", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
 
 
 FINALITY = {"exhaustive": "exhaustive", "heuristic": "heuristic_only", "fast_lane": "fast_lane_only"}
