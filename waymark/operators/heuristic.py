@@ -102,7 +102,10 @@ def undominated(front: DataFrame) -> DataFrame:
     key = F.array_join(F.col("pools").cast("array<string>"), "|")
     label = front.select("request_id", "cur", "amount", "tokens", F.col(held).alias("held"), key.alias("_k"))
     a, b = front.withColumn("_k", key).withColumn("held", F.col(held)).alias("a"), label.alias("b")
-    subset = (F.size(F.array_except("b.tokens", "a.tokens")) == 0) & (F.size(F.array_except("b.held", "a.held")) == 0)
+    # What is cheap to see comes first: most pairs differ in length, in their second token or in their first pool.
+    near = (F.size("b.tokens") <= F.size("a.tokens")) & (F.size("b.held") <= F.size("a.held"))
+    near = near & F.coalesce(F.array_contains("a.tokens", F.get("b.tokens", F.lit(1))), F.lit(True)) & F.coalesce(F.array_contains("a.held", F.get("b.held", F.lit(0))), F.lit(True))
+    subset = near & (F.size(F.array_except("b.tokens", "a.tokens")) == 0) & (F.size(F.array_except("b.held", "a.held")) == 0)
     same = (F.col("a.amount") == F.col("b.amount")) & (F.size("a.tokens") == F.size("b.tokens")) & (F.size("a.held") == F.size("b.held"))
     better = (F.col("b.amount") >= F.col("a.amount")) & subset & (~same | (F.col("b._k") < F.col("a._k")))
     on = (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.cur") == F.col("b.cur")) & (F.col("a._k") != F.col("b._k")) & better
