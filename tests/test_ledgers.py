@@ -95,3 +95,28 @@ def test_index_of_an_empty_delta(spark):
     index.baseline(spark.createDataFrame([(1, [1, 2, 2])], POOLS))
     assert index.apply(spark.createDataFrame([], DELTA).where(F.lit(True)), 1) == "applied"
     assert stats(index, spark, 1) == [(True, 1, 2, 1, 2)]
+
+
+def test_steps_of_tokens_that_start_over_in_time_are_kept(spark, tmp_path):
+    import duckdb
+
+    from waymark import plans
+
+    source, d, c = "/root/testdata/sf0.001", str(tmp_path), duckdb.connect()
+    # Copies have ids and users of their own, but the times of the first: by seq, time starts over with each.
+    c.execute(f"COPY (SELECT * REPLACE (event_id + g * 100000 AS event_id, user_id + g * 1000 AS user_id) FROM range(4) x(g), '{source}/events.parquet') TO '{d}/events.parquet' (FORMAT parquet)")
+    for t in "region nation customer supplier part orders lineitem".split():
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{source}/{t}.parquet'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    want = c.sql(plans.ORACLE["coverage_steps"])
+    columns = sorted(want.columns)
+    got = plans.QUERIES["coverage_steps"](spark, d).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.select(*columns).fetchall()))
+
+
+def test_state_in_given_partitions(spark):
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    with states.keyed_state(spark, 3):
+        assert spark.conf.get(key) == "3"
+    assert spark.conf.get(key) == was

@@ -14,6 +14,9 @@ from waymark.streaming import states
 
 TTL = 2 * 3600 * 1000
 
+#: Rows of events a micro-batch: each batch opens and commits the state of all partitions, whatever it brings, so there are few.
+EVENTS_A_BATCH = 6_000_000
+
 
 @query(f""", s AS (SELECT CAST(event_id AS BIGINT) AS seq, CAST(epoch_ms(ts) AS BIGINT) AS ms, CAST(user_id AS BIGINT) AS token, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'discovering' WHEN 'purchase' THEN 'settled' WHEN 'error' THEN 'failed' ELSE 'graph' END AS kind,
   CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events),
@@ -29,10 +32,13 @@ def coverage_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_package(spark)
     kind = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'discovering' WHEN 'purchase' THEN 'settled' WHEN 'error' THEN 'failed' ELSE 'graph' END"
     e = fx.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    feed, checkpoint = feed_of(spark, e.selectExpr("CAST(event_id AS BIGINT) AS seq", "CAST(ts AS TIMESTAMP) AS at", "CAST(user_id AS BIGINT) AS token", f"{kind} AS kind", "k >= 50 AS present", "k AS pools"))
+    steps = e.selectExpr("CAST(event_id AS BIGINT) AS seq", "CAST(ts AS TIMESTAMP) AS at", "CAST(user_id AS BIGINT) AS token", f"{kind} AS kind", "k >= 50 AS present", "k AS pools")
+    # Steps come in order of seq, not of time; as late as the whole log is long, none is dropped.
+    span = steps.agg(F.coalesce(F.unix_seconds(F.max("at")) - F.unix_seconds(F.min("at")), F.lit(0))).first()[0]
+    feed, checkpoint = feed_of(spark, steps, EVENTS_A_BATCH)
     out = f"{checkpoint}-out"
-    with states.keyed_state(spark):
-        rows = states.coverage_stream(feed, TTL)
+    with states.keyed_state(spark, 2 * spark.sparkContext.defaultParallelism):
+        rows = states.coverage_stream(feed, TTL, f"{span + 2} seconds")
         rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(states.LEDGER).parquet(f"{out}/*").where("kind <> 'expired'")
 
