@@ -91,3 +91,15 @@ def test_memo_stats_take_the_weights_of_routes(spark):
     hops = routes.trace(routes.enumerate_priced(routes.alike(requests)[0], edges, Search(max_hops=2)), "times")
     alone = routes.trace(routes.enumerate_priced(requests, edges, Search(max_hops=2)))
     assert incremental.memo_stats(hops, F.col("times")).collect() == incremental.memo_stats(alone).collect()
+
+
+def test_earlier_phases_are_looked_up(spark):
+    every = log_of(spark, QUOTES)
+    lane = every.where("path_key IN ('p03', 'p04') AND request_id = 1")
+    first = every.where("path_key IN ('p03', 'p07', 'p08') AND request_id < 3")
+    rows, seen = counted(spark, every)
+    key = ["request_id", "seq", "phase", "hops", "path_key", "amount_out"]
+    got = progress.looked_up_log(first, rows, lane).select(*key).orderBy("request_id", "seq").collect()
+    assert seen.value == len(QUOTES)
+    assert got == progress.quote_log(first, every, lane).select(*key).orderBy("request_id", "seq").collect()
+    assert {r["phase"] for r in got} == {"fast_lane", "heuristic", "exhaustive"}

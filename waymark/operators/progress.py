@@ -33,6 +33,21 @@ def phased_log(found: DataFrame, first: Column) -> DataFrame:
     return _numbered(found.select("request_id", "hops", "path_key", "amount_out", F.when(first, "heuristic").otherwise("exhaustive").alias("phase")))
 
 
+def looked_up_log(heuristic: DataFrame, exhaustive: DataFrame, lane: DataFrame) -> DataFrame:
+    """quote_log where the earlier phases' routes are all among the exhaustive ones, with the same outputs, as over the same edges.
+
+    The path keys of the earlier phases, of which a request has few, become a row a request, and each route looks its own up there. So
+    no route is compared by path, and where the exhaustive ones are dealt by request (see routes.alike) none is shuffled.
+    """
+    of = lambda df, phase: df.select("request_id", "path_key", F.lit(phase).alias("phase"))
+    keys = lambda phase: F.collect_set(F.when(F.col("phase") == phase, F.col("path_key")))
+    early = of(lane, "fast_lane").unionByName(of(heuristic, "heuristic"))
+    early = early.groupBy("request_id").agg(keys("fast_lane").alias("_lane"), keys("heuristic").alias("_first"))
+    found = exhaustive.select("request_id", "hops", "path_key", "amount_out").join(early.hint("shuffle_hash"), "request_id", "left")
+    phase = F.when(F.array_contains("_lane", F.col("path_key")), "fast_lane").when(F.array_contains("_first", F.col("path_key")), "heuristic").otherwise("exhaustive")
+    return _numbered(found.select("request_id", "hops", "path_key", "amount_out", phase.alias("phase")))
+
+
 def _numbered(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("request_id").orderBy(F.expr("CASE phase WHEN 'fast_lane' THEN 0 WHEN 'heuristic' THEN 1 ELSE 2 END"), "hops", "path_key")
     return log.withColumn("seq", F.row_number().over(w))

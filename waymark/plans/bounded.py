@@ -159,7 +159,7 @@ def stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     lane = written(heuristic.fast_lane(asked, edges, balances, FastLane()))
     first = written(heuristic.find(asked, edges, Search(max_hops=2, mode="heuristic", heuristic=Heuristic.balanced()), balances))
     every = routes.enumerate_priced(asked, edges, Search(max_hops=2))
-    log = written(progress.quote_log(first, every, lane))
+    log = progress.looked_up_log(first, every, lane)
     return routes.handed_out(progress.progress(log).where("best_updated OR step > 0"), members).select("request_id", "seq", "step", "phase", "evaluated", "viable", "failed", "fraction_bps", "confidence_bps", "best", "best_updated")
 
 
