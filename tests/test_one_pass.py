@@ -93,6 +93,21 @@ def test_memo_stats_take_the_weights_of_routes(spark):
     assert incremental.memo_stats(hops, F.col("times")).collect() == incremental.memo_stats(alone).collect()
 
 
+def test_refresh_reads_the_routes_once(spark):
+    requests, edges, _ = tables(spark)
+    found = routes.enumerate_priced(routes.alike(requests)[0], edges, Search(max_hops=2))
+    changed = spark.createDataFrame([(1,), (20,)], "pool long")
+    moved = edges.withColumn("r_in", F.expr("IF(pool IN (1, 20), r_in + 500, r_in)"))
+    rows, seen = counted(spark, found.select("request_id", "amount_in", "tokens", "pools", "path_key", "amount_out"))
+    got = {r["request_id"]: r for r in incremental.refresh(rows, moved, changed, longest=2).collect()}
+    assert seen.value == found.count()
+    was, now = ({r["request_id"]: r for r in routes.best(f).collect()} for f in (found, routes.enumerate_priced(routes.alike(requests)[0], moved, Search(max_hops=2))))
+    for i, r in was.items():
+        assert (got[i]["previous"], got[i]["amount_out"], got[i]["path_key"]) == (r["amount_out"], now[i]["amount_out"], now[i]["path_key"])
+    assert {r["request_id"]: r["repriced"] for r in got.values()} == {r["request_id"]: r["n"] for r in found.groupBy("request_id").agg(F.count_if(F.expr("arrays_overlap(pools, array(1L, 20L))")).alias("n")).collect()}
+    assert any(r["repriced"] for r in got.values())
+
+
 def test_earlier_phases_are_looked_up(spark):
     every = log_of(spark, QUOTES)
     lane = every.where("path_key IN ('p03', 'p04') AND request_id = 1")

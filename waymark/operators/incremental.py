@@ -63,27 +63,29 @@ def marked(rows: DataFrame, pools: DataFrame, longest: int) -> DataFrame:
     return rows.withColumn("_hit", hit).select(*columns, "_hit")
 
 
-def refresh(found: DataFrame, edges: DataFrame, changed: DataFrame, with_probes: bool = False, price: str = "constant_product", requests: DataFrame | None = None, reasons: DataFrame | None = None) -> DataFrame:
+def refresh(found: DataFrame, edges: DataFrame, changed: DataFrame, with_probes: bool = False, price: str = "constant_product", requests: DataFrame | None = None, reasons: DataFrame | None = None, longest: int | None = None) -> DataFrame:
     """request_id, previous, amount_out, path_key, repriced, status, reason of each request after some pools changed.
 
     Routes (and probes) over a changed pool are priced at the new edges; all others keep their outputs. status: unchanged if
     nothing was priced again and the best is the same, else updated; recompute_required where `reasons` (request_id, reason; see
     fallback) names one, and then nothing is priced and the previous best stays. Requests without a viable route, and those of
-    `requests` without any route, have null outputs. One pass over the routes and one sum by request.
+    `requests` without any route, have null outputs. One pass over the routes and one sum by request; where `longest`, the most pools that a
+    route has, isn't told, one more pass finds it.
     """
     pools = changed.select("pool").distinct()
-    longest = found.agg(F.max(F.size("pools"))).first()[0] or 0
+    if longest is None:
+        longest = found.agg(F.max(F.size("pools"))).first()[0] or 0
     barred = reasons.where("reason IS NOT NULL").select("request_id", "reason") if reasons is not None else None
     rows = marked(found.select("request_id", "amount_in", "tokens", "pools", "path_key", F.col("amount_out").alias("old")), pools, longest)
     if barred is not None:
         rows = rows.join(barred.select("request_id", F.lit(True).alias("_barred")), "request_id", "left").withColumn("_hit", F.col("_hit") & F.col("_barred").isNull())
-    rows = rows.select("request_id", "amount_in", "tokens", "pools", "path_key", "old", "_hit")
-    again = rows.where("_hit").select("request_id", "amount_in", "tokens", "pools", "path_key", "old", F.lit(False).alias("probe"))
+    # Routes that aren't priced again have no hops to look up; they stay in the same rows, so where routes are dealt by request nothing is shuffled.
+    again = rows.select("request_id", "amount_in", "tokens", F.when(F.col("_hit"), F.col("pools")).alias("pools"), "path_key", "old", "_hit", F.lit(False).alias("probe"))
     if with_probes:
         live = found.join(barred, "request_id", "left_anti") if barred is not None else found
-        again = again.unionByName(probes(live, edges, pools).select("request_id", "amount_in", "tokens", "pools", "path_key", F.lit(None).cast("long").alias("old"), F.lit(True).alias("probe")))
-    priced = topology.price_paths(again, edges, longest, price).select("request_id", "path_key", "old", "probe", "amount_out", F.lit(1).alias("n"))
-    every = rows.where("NOT _hit").select("request_id", "path_key", "old", F.lit(False).alias("probe"), F.col("old").alias("amount_out"), F.lit(0).alias("n")).unionByName(priced)
+        again = again.unionByName(probes(live, edges, pools).select("request_id", "amount_in", "tokens", "pools", "path_key", F.lit(None).cast("long").alias("old"), F.lit(True).alias("_hit"), F.lit(True).alias("probe")))
+    priced = topology.price_paths(again, edges, longest, price)
+    every = priced.select("request_id", "path_key", "old", "probe", F.when(F.col("_hit"), F.col("amount_out")).otherwise(F.col("old")).alias("amount_out"), F.col("_hit").cast("int").alias("n"))
     rank = lambda c: F.struct(F.col(c).isNull(), -F.coalesce(c, F.lit(0)), "path_key")
     out = every.groupBy("request_id").agg(
         F.min_by(F.struct("amount_out", "path_key"), rank("amount_out")).alias("b"), F.min_by(F.struct(F.col("old").alias("amount_out"), "path_key"), F.when(~F.col("probe"), rank("old"))).alias("w"), F.sum("n").alias("repriced"),
