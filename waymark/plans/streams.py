@@ -16,20 +16,34 @@ from waymark.streaming import live
 from waymark.streaming.store import shared_folder, written
 
 
+#: Rows that one file of a feed has at most, about; a batch of more rows has several files, written and read by as many tasks.
+ROWS_A_FILE = 125_000
+
+
 def feed_of(spark: SparkSession, df: DataFrame, rows: int = 500_000) -> tuple[DataFrame, str]:
-    """df as a stream of files of about `rows` rows (at least three) in order of seq, and a folder for its checkpoint.
+    """df as a stream of batches of about `rows` rows (at least three) in order of seq, and a folder for its checkpoint.
 
-    df is computed once. It is written again by ranges of seq, so that a file of the feed reads its own rows only, not all of them.
+    df is computed once. It is written again by ranges of seq, whose bounds cut the batches, so that a batch reads its own files only, not all of them.
     """
     df = written(df)
-    files = max(3, -(-df.count() // rows))
+    n = df.count()
+    batches = max(3, -(-n // rows))
+    least, files = -(-n // batches) * 15 // 16, max(1, -(-n // (batches * ROWS_A_FILE)))
     folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
-    df = written(df.repartitionByRange(files, "seq"))
-    cuts = [None, *df.approxQuantile("seq", [i / files for i in range(1, files)], 0.001), None]
+    df = written(df.repartitionByRange(8 * batches, "seq").withColumn("_part", F.spark_partition_id()))
+    cuts, got = [None], 0
+    for part in df.where("seq IS NOT NULL").groupBy("_part").agg(F.max("seq").alias("high"), F.count("*").alias("n")).orderBy("_part").toLocalIterator():  # a row for eight of a batch
+        got += part["n"]
+        if got >= least:
+            cuts, got = [*cuts, part["high"]], 0
+    if got or len(cuts) == 1:
+        cuts.append(None)
     for low, high in zip(cuts, cuts[1:]):  # one after another: the source takes files by their time
-        part = df if low is None else df.where(F.col("seq") > low)
-        (part if high is None else part.where(F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), f"{folder}/checkpoint"
+        own = F.lit(True) if low is None else F.col("seq") > low
+        part = df.where(own if high is None else own & (F.col("seq") <= high)).drop("_part")
+        # Each batch but the last has as many files as the source takes at a time; each of them has rows, as there are far more rows than files.
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(df.drop("_part").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), f"{folder}/checkpoint"
 
 
 NEW = """, mv AS (SELECT pool_id, CAST(sum(k) AS BIGINT) AS moved FROM change WHERE NOT removed GROUP BY pool_id),
@@ -42,7 +56,8 @@ def live_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions' best routes after the change feed has run through, refreshed batch by batch."""
     feed, checkpoint = feed_of(spark, fx.changes(spark, sf_dir))
     asked, members = routes.alike(fx.requests(spark, sf_dir))
-    run = live.LiveRoutes(spark, asked)
+    # Of a request's routes only sums leave a task, so there are few tasks.
+    run = live.LiveRoutes(spark, asked.repartition(2 * spark.sparkContext.defaultParallelism, "request_id"))
     run.baseline(fx.pools(spark, sf_dir))
     run.run(feed, checkpoint)
     return routes.handed_out(run.best(), members).select("request_id", "amount_in", "amount_out", "path_key")

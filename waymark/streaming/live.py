@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waymark.model import Search
-from waymark.operators import incremental, routes, topology
+from waymark.operators import routes, topology
 from waymark.streaming.store import Store, written
 
 ROUTE = ["request_id", "target", "amount_in", "tokens", "pools", "path_key", "amount_out"]
@@ -30,19 +30,33 @@ def edges_of(pools: DataFrame) -> DataFrame:
 class LiveRoutes:
     """Best routes of subscriptions (requests), kept up to date by a stream of changes.
 
-    Each micro-batch: refuse a gap, merge the pools, price again only the routes over touched pools, and commit pools, routes and
-    bests as one generation. Touched pools and edges are looked up, so no route is shuffled to be priced. A batch that is replayed after a failure finds its version committed and does nothing.
+    Each micro-batch: refuse a gap, merge the pools, price the standing bests again, search, and commit pools and bests as one generation.
+    A best that gives as much as before, or more, is only beaten by a route over a touched pool, so these alone are priced; where a best has
+    fallen, all routes of its request are. Paths are found once for all that ask for the same tokens. Routes are not written: they follow
+    from a generation's pools (`routes`).
+    A batch that is replayed after a failure finds its version committed and does nothing.
     """
 
     def __init__(self, spark: SparkSession, requests: DataFrame, max_hops: int = 2, store: Store | None = None) -> None:
-        self.spark, self.requests, self.max_hops, self.store = spark, requests, max_hops, store or Store(spark)
+        self.spark, self.requests, self.search, self.store = spark, requests, Search(max_hops=max_hops), store or Store(spark)
+        self.store.views["routes"], self.paths = self.routes, None
 
-    def baseline(self, pools: DataFrame) -> None:
-        found = routes.enumerate_priced(self.requests, edges_of(pools), Search(max_hops=self.max_hops)).select(*ROUTE)
-        self.store.commit(0, {"pools": pools, "routes": found, "best": self._best(found, 0)})
+    def _paths(self, edges: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """The requests' paths with the numbers of their hops. Changes move reserves, not edges, so the paths themselves are found once."""
+        if self.paths is None:
+            self.paths = written(routes.paths_between(self.requests, edges, self.search))
+        return routes.with_hops(self.paths, edges, self.search, keep)
+
+    def routes(self) -> DataFrame:
+        """All routes at the prices of the last generation."""
+        paths = written(self._paths(edges_of(self.store.read("pools"))))
+        return routes.priced_over(self.requests, paths, self.search).select(*ROUTE)
 
-    def _best(self, found: DataFrame, version: int) -> DataFrame:
-        return routes.best(found.withColumn("hops", F.size("pools").cast("long")).withColumn("amounts", F.lit(None).cast("array<bigint>"))).select("request_id", "amount_in", "amount_out", "path_key", F.lit(version).cast("long").alias("version"))
+    def baseline(self, pools: DataFrame) -> None:
+        pools = written(pools)
+        paths = written(self._paths(edges_of(pools)))
+        found = routes.best_over(self.requests, paths, self.search)
+        self.store.commit(0, {"pools": pools, "best": found.select(*ROUTE, F.lit(0).cast("long").alias("version"))})
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
@@ -50,10 +64,15 @@ class LiveRoutes:
             return
         batch = batch.persist()
         pools, touched = written(merge_changes(self.store.read("pools"), batch)), written(batch.where("NOT removed").select(F.col("pool_id").alias("pool")).distinct())
-        found = incremental.marked(self.store.read("routes"), touched, self.max_hops)
-        moved = topology.price_paths(found.where("_hit").drop("_hit", "amount_out"), edges_of(pools), self.max_hops)
-        now = found.where("NOT _hit").select(*ROUTE).unionByName(moved.select(*ROUTE))
-        self.store.commit(version, {"pools": pools, "routes": now, "best": self._best(now, version)})
+        edges = edges_of(pools).join(touched.withColumn("touched", F.lit(True)), "pool", "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
+        was = self.store.read("best").withColumnRenamed("amount_out", "before").drop("version")
+        standing = written(topology.price_paths(was, edges, self.search.max_hops).withColumn("fell", F.coalesce(F.col("amount_out") < F.col("before"), F.lit(True))))
+        asked = self.requests.join(standing.select("request_id", "fell", F.expr("CASE WHEN NOT fell THEN amount_out END").alias("least")), "request_id", "left")
+        paths = self._paths(edges, ("touched",))
+        paths = written(paths.withColumn("met", F.greatest(F.lit(False), *[F.col(f"h{i}.touched") for i in range(self.search.max_hops)])))
+        found = routes.best_over(asked, paths, self.search, F.col("met") | F.col("fell"))
+        best = better(standing.where("NOT fell").select(*ROUTE), written(found.select(*ROUTE)))
+        self.store.commit(version, {"pools": pools, "best": best.withColumn("version", F.lit(version).cast("long"))})
         batch.unpersist()
 
     def run(self, feed: DataFrame, checkpoint: str) -> None:
@@ -65,6 +84,14 @@ class LiveRoutes:
         return self.store.read("best")
 
 
+def better(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The better of each request's viable routes in two tables that have one of it at most: by amount, then by path key."""
+    side = lambda df, name: df.select("request_id", F.struct(*[c for c in df.columns if c != "request_id"]).alias(name))
+    first = F.expr("b IS NULL OR a.amount_out > b.amount_out OR a.amount_out = b.amount_out AND a.path_key <= b.path_key")
+    both = side(one, "a").join(side(other, "b"), "request_id", "full_outer")
+    return both.select("request_id", F.when(F.col("a").isNotNull() & first, F.col("a")).otherwise(F.col("b")).alias("r")).select("request_id", "r.*")
+
+
 def accepted(results: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results (request_id, epoch, version, ...) that match the subscriptions' current epoch and version, and those rejected as stale."""
     now = current.select("request_id", "epoch", "version")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,14 @@ class GapError(RuntimeError):
 
 
 class Store:
-    """Named tables in immutable generations. Readers see the last generation of which the manifest tells."""
+    """Named tables in immutable generations. Readers see the last generation of which the manifest tells.
+
+    views: tables that follow from a generation's others by name; they are made when they are read, not written.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+        self.views: dict[str, Callable[[], DataFrame]] = {}
 
     def _manifest(self) -> DataFrame:
         return self.spark.read.schema("version LONG, generation STRING, tables STRING").json(f"{self.folder}/manifest")
@@ -68,6 +73,8 @@ class Store:
         row.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
 
     def read(self, name: str) -> DataFrame:
+        if name in self.views:
+            return self.views[name]()
         generation = self._manifest().orderBy(F.desc("version")).first()["generation"]
         return self.spark.read.parquet(f"{self.folder}/{generation}/{name}")
 
