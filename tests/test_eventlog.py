@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.streaming.eventlog import FEED, EventLog, numbered
+from waymark.streaming.eventlog import FEED, LATEST, EventLog, fold, numbered
 
 
 def feed(spark, rows):
@@ -101,3 +101,11 @@ def test_numbers_are_gapless_over_tasks(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k")).repartition(7)
     got = numbered(df, ["k"], 100).collect()
     assert sorted((r.k, r.number) for r in got) == [(i, 100 + i) for i in range(5000)]
+
+
+def test_the_latest_values_come_from_the_windows_of_the_batch(spark):
+    """No second sort of a batch's rows: each of them knows whether it is its request's last."""
+    rows = feed(spark, [ask(1), ask(2), result(1, 0, 0, 5), c(1), ask(2, "cancel"), result(3, 0, 0, 5)])
+    _, values = fold(spark.createDataFrame([], LATEST), 0, rows)
+    assert "Window" not in values._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, values.select("request_id", "state", "alive", "seq").collect())) == [(1, "pending", True, 3), (2, "cancelled", False, 4)]

@@ -31,8 +31,13 @@ r4 AS (SELECT *, last_value(CASE WHEN ok AND kind='result' THEN {'v': version, '
 r5 AS (SELECT *, held IS NOT NULL AND (was='ready' OR held.a IS NOT NULL) AS published FROM r4)"""
 
 
+#: Rows of the feed a micro-batch: each batch passes the latest values of all requests on, whatever it brings, so there are few. Their windows are by request, so
+#: a task's memory doesn't grow with a batch.
+ROWS_A_BATCH = 6_000_000
+
+
 def _logged(spark: SparkSession, sf_dir: str) -> EventLog:
-    feed, checkpoint = feed_of(spark, fx.route_feed(spark, sf_dir))
+    feed, checkpoint = feed_of(spark, fx.route_feed(spark, sf_dir), ROWS_A_BATCH)
     log = EventLog(spark)
     log.run(feed, checkpoint)
     return log

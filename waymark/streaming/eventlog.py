@@ -35,15 +35,17 @@ def fold(latest: DataFrame, version: int, batch: DataFrame) -> tuple[DataFrame,
     rows = rows.unionByName(prior)
 
     order = [F.col("seq"), F.col("kind"), F.col("epoch"), F.col("version"), F.col("amount")]
-    before = Window.partitionBy("request_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("request_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    control = F.expr("CASE kind WHEN 'prior' THEN was_alive WHEN 'subscribe' THEN true WHEN 'cancel' THEN false END")
-    rows = rows.withColumn("alive_before", F.coalesce(F.last(control, True).over(before), F.lit(False))).withColumn("alive", F.coalesce(F.last(control, True).over(upto), F.lit(False)))
+    # What holds at a row is its own value, or else the last before it: one frame for both.
+    spec = Window.partitionBy("request_id").orderBy(*order)
+    before = spec.rowsBetween(Window.unboundedPreceding, -1)
+    control, at = F.expr("CASE kind WHEN 'prior' THEN was_alive WHEN 'subscribe' THEN true WHEN 'cancel' THEN false END"), F.expr("CASE WHEN kind IN ('prior', 'commit') THEN version END")
+    rows = rows.withColumns({"alive_before": F.coalesce(F.last(control, True).over(before), F.lit(False)), "at_version": F.coalesce(at, F.last(at, True).over(before), F.lit(version))})
+    rows = rows.withColumn("alive", F.coalesce(control, "alive_before"))
     # Replacements since the subscription began; a second subscribe of one that lives changes nothing.
     rows = rows.withColumn("opens", (F.col("kind") == "subscribe") & ~F.col("alive_before"))
-    rows = rows.withColumn("reps", F.sum(F.expr("CASE WHEN kind = 'prior' THEN was_epoch WHEN kind = 'replace' AND alive_before THEN 1 ELSE 0 END")).over(upto))
-    rows = rows.withColumn("at_epoch", F.col("reps") - F.coalesce(F.last(F.when(F.col("opens"), F.col("reps")), True).over(upto), F.lit(0)))
-    rows = rows.withColumn("at_version", F.coalesce(F.last(F.expr("CASE WHEN kind IN ('prior', 'commit') THEN version END"), True).over(upto), F.lit(version)))
+    rows = rows.withColumn("reps", F.sum(F.expr("CASE WHEN kind = 'prior' THEN was_epoch WHEN kind = 'replace' AND alive_before THEN 1 ELSE 0 END")).over(spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    opened = F.when(F.col("opens"), F.col("reps"))
+    rows = rows.withColumn("at_epoch", F.col("reps") - F.coalesce(opened, F.last(opened, True).over(before), F.lit(0)))
     done = F.col("kind").isin("result", "failure") & F.col("alive_before")
     ok = done & F.col("epoch").eqNullSafe(F.col("at_epoch")) & F.col("version").eqNullSafe(F.col("at_version"))
     rows = rows.withColumn("accepted", ok).withColumn("refused", done & ~ok)
@@ -52,9 +54,11 @@ def fold(latest: DataFrame, version: int, batch: DataFrame) -> tuple[DataFrame,
     state = F.expr("""CASE WHEN kind = 'prior' THEN was_state WHEN opens OR kind = 'replace' AND alive_before OR kind = 'commit' AND alive_before THEN 'pending'
       WHEN accepted AND kind = 'result' THEN 'ready' WHEN accepted THEN 'failed' WHEN kind = 'cancel' AND alive_before THEN 'cancelled' END""")
     rows = rows.withColumn("value", value).withColumn("state", state)
-    rows = rows.withColumns({"held": F.last("value", True).over(before), "was": F.last("state", True).over(before), "now_value": F.last("value", True).over(upto), "now": F.last("state", True).over(upto), "moved": F.last(F.when(F.col("state").isNotNull(), F.coalesce("was_seq", "seq")), True).over(upto)})
+    rows = rows.withColumn("moves", F.when(F.col("state").isNotNull(), F.coalesce("was_seq", "seq")))
+    rows = rows.withColumns({"held": F.last("value", True).over(before), "was": F.last("state", True).over(before), "_moved": F.last("moves", True).over(before), "ends": F.lead(F.lit(True)).over(spec).isNull()})
+    rows = rows.withColumns({"now_value": F.coalesce("value", "held"), "now": F.coalesce("state", "was"), "moved": F.coalesce("moves", "_moved")})
     # Events, their sampling for the order of numbers, and the latest values all read these rows: the windows run once a batch.
-    rows = written(rows.select("seq", "kind", "request_id", "epoch", "version", "amount", "alive_before", "alive", "opens", "at_epoch", "at_version", "accepted", "refused", "held", "was", "now_value", "now", "moved"))
+    rows = written(rows.select("seq", "kind", "request_id", "epoch", "version", "amount", "alive_before", "alive", "opens", "at_epoch", "at_version", "accepted", "refused", "held", "was", "now_value", "now", "moved", "ends"))
     published = F.col("held.version").isNotNull() & ((F.col("was") == "ready") | F.col("held.amount").isNotNull())
     event = (
         F.when(F.col("opens"), "accepted").when((F.col("kind") == "commit") & F.col("alive_before") & published, "invalidated").when((F.col("kind") == "replace") & F.col("alive_before") & published, "invalidated")
@@ -68,8 +72,7 @@ def fold(latest: DataFrame, version: int, batch: DataFrame) -> tuple[DataFrame,
         F.col("at_epoch").alias("current_epoch"), F.col("at_version").alias("current_version"), F.when(F.col("event") == "published", F.col("amount")).alias("amount"), F.when(F.col("event") == "published", F.col("held.amount")).alias("previous"),
     )
     of_commits = commits.select("seq", F.lit(None).cast("long").alias("request_id"), F.lit("commit_applied").alias("event"), *[F.lit(None).cast(t).alias(c) for c, t in (("reason", "string"), ("epoch", "long"))], "version", F.lit(None).cast("long").alias("current_epoch"), F.col("version").alias("current_version"), *[F.lit(None).cast("long").alias(c) for c in ("amount", "previous")])
-    last = Window.partitionBy("request_id").orderBy(*[c.desc() for c in order])
-    final = rows.where("now IS NOT NULL").withColumn("n", F.row_number().over(last)).where("n = 1")
+    final = rows.where("ends AND now IS NOT NULL")
     values = final.select("request_id", F.col("at_epoch").alias("epoch"), F.col("now").alias("state"), F.col("now_value.version").alias("version"), F.col("now_value.amount").alias("amount"), "alive", (F.col("now") == "ready").alias("ready"), F.col("moved").alias("seq"))
     return of_commits.unionByName(events).select(*EVENT), values
 
